@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reporank import fixed
+from reporank.functions.numbers import round_even, round_up
 from reporank.functions.text import _col
 
 
@@ -12,7 +13,7 @@ def _num(value, default=0.0) -> Column:
 
 
 def rounded(value) -> Column:
-    return F.round(value, fixed.SCORE_DECIMALS)
+    return round_even(value, fixed.SCORE_DECIMALS)
 
 
 def quality(test_ratio, error_density, api_norm) -> Column:
@@ -86,7 +87,7 @@ def lite_quality(description, stars, forks) -> Column:
     tests = F.when(text.contains("test"), fixed.LITE_TEST).otherwise(0.0)
     star = F.least(_num(stars) / fixed.LITE_STAR_CEILING, F.lit(1.0)) * fixed.LITE_STAR
     fork = F.least(_num(forks) / fixed.LITE_FORK_CEILING, F.lit(1.0)) * fixed.LITE_FORK
-    return rounded(tests + star + fork)
+    return round_up(tests + star + fork, fixed.SCORE_DECIMALS)
 
 
 def fractional_days(since, as_of) -> Column:
@@ -105,4 +106,6 @@ def lite_health(updated_at, open_issues, as_of) -> Column:
     issues = F.when(_num(open_issues) > 0, fixed.LITE_OPEN_ISSUES).otherwise(
         fixed.LITE_NO_OPEN_ISSUES
     )
-    return rounded(F.lit(fixed.LITE_RECENCY) * fresh + F.lit(fixed.LITE_ISSUE) * issues)
+    return round_up(
+        F.lit(fixed.LITE_RECENCY) * fresh + F.lit(fixed.LITE_ISSUE) * issues, fixed.SCORE_DECIMALS
+    )

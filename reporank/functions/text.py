@@ -49,8 +49,10 @@ def search_query(text) -> Column:
 
 
 def encoded_query(text) -> Column:
-    """Query text, URL-encoded."""
-    return F.url_encode(_col(text))
+    """Query text, URL-encoded: blanks as ``+``, letters, digits and ``-_.~`` as they are."""
+    return F.replace(
+        F.replace(F.url_encode(_col(text)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")
+    )
 
 
 def is_blank(text) -> Column:
