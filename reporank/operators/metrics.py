@@ -82,7 +82,7 @@ def signature_rows(annotated: DataFrame, cap: int = fixed.SIGNATURE_CAP) -> Data
     repo never meets in one place. Comparing path parts, not path text, puts a
     folder before a file whose name starts with the folder's.
     """
-    order = Window.partitionBy("repo").orderBy(F.split("path", "/"), "line_no")
+    order = Window.partitionBy("repo").orderBy(F.split("path", "/"), "line_no", "sig")
     return (
         annotated.filter(F.col("sig").isNotNull())
         .select("repo", "path", "line_no", "sig", F.row_number().over(order).alias("n"))

@@ -35,7 +35,8 @@ o AS (
 l AS (
   SELECT o_custkey,
          avg(CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e0 END) AS test_file_ratio,
-         avg(l_discount) AS error_handling_density,
+         sum(round(l_discount * 100)::BIGINT)::DOUBLE / (100 * count(*))
+           AS error_handling_density,
          count(DISTINCT l_partkey) AS public_api_count,
          sum(l_quantity)::BIGINT AS total_lines,
          count(DISTINCT l_suppkey) AS contributor_count
@@ -185,7 +186,7 @@ dominant AS (
 FIRST_SIGNATURES = """
 first_signatures AS (
   SELECT repo, sig, row_number() OVER (
-      PARTITION BY repo ORDER BY string_split(path, '/'), line_no) AS n
+      PARTITION BY repo ORDER BY string_split(path, '/'), line_no, sig) AS n
   FROM annotated WHERE sig IS NOT NULL QUALIFY n <= 50)"""
 TOTALS = """
 totals AS (
