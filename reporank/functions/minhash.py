@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reporank import fixed
 from reporank.functions.hashing import token_hashes, white_space_tokens
@@ -12,6 +13,7 @@ from reporank.functions.text import _col
 from reporank.schemas import FINGERPRINT
 
 CHUNK = 1 << 18  # token occurrences hashed at a time: bounds memory whatever the text length
+HELD_KEYS = 1 << 14  # fingerprints a task folds before it passes them on (8 MB)
 _SEEDS = np.arange(fixed.NUM_HASHES, dtype=np.uint32)
 
 
@@ -39,6 +41,11 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return _lists(_minima(tokens, owner, len(texts)))
 
 
+# The same text always gives the same fingerprint. The mark keeps the optimizer
+# from copying the call into pushed-down filters, where it would run again.
+_fingerprints = _fingerprints.asNondeterministic()
+
+
 def minhash(text) -> Column:
     """128 seeded minima over the white-space tokens of one text. No shuffle."""
     return _fingerprints(_col(text))
@@ -47,21 +54,35 @@ def minhash(text) -> Column:
 def minhash_by(df: DataFrame, key: str, text: str) -> DataFrame:
     """One fingerprint per key over many rows of text, as ``(key, minhash_fingerprint)``.
 
-    Each Arrow batch is folded to one fingerprint per key before anything is
+    Each task folds its rows to one fingerprint per key before anything is
     shuffled, then the fingerprints merge by element-wise minimum.
     """
 
+    def packed(held):
+        fps = _lists(np.stack(list(held.values())))
+        keys = pa.array(list(held), key_type)
+        return pa.RecordBatch.from_arrays([keys, fps], ["key", "fp"])
+
     def fold(batches):
+        held = {}
         for batch in batches:
             keys = batch.column(0).dictionary_encode(null_encoding="encode")
             order = np.argsort(keys.indices.to_numpy(), kind="stable")
             tokens, row = white_space_tokens(batch.column(1).take(pa.array(order)))
             owner = keys.indices.to_numpy()[order][row]
             minima = _minima(tokens, owner, len(keys.dictionary))
-            yield pa.RecordBatch.from_arrays([keys.dictionary, _lists(minima)], ["key", "fp"])
+            for name, fp in zip(keys.dictionary.to_pylist(), minima):
+                known = held.get(name)
+                held[name] = fp if known is None else np.minimum(known, fp)
+            if len(held) >= HELD_KEYS:
+                yield packed(held)
+                held = {}
+        if held:
+            yield packed(held)
 
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([slim.schema["key"], T.StructField("fp", FINGERPRINT)])
+    key_type = to_arrow_type(slim.schema["key"].dataType)
     merged = [F.min(F.col("fp")[i]) for i in range(fixed.NUM_HASHES)]
     return (
         slim.mapInArrow(fold, schema)

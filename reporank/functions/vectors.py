@@ -57,7 +57,7 @@ def cosine_to(vector, column) -> Column:
         out[known] = score
         return pa.array(out, mask=~known)
 
-    return similarity(_col(column))
+    return similarity.asNondeterministic()(_col(column))  # see minhash: called once per row
 
 
 def hashed_embedding(text, dims: int = fixed.EMBEDDING_DIMS) -> Column:
@@ -81,7 +81,7 @@ def hashed_embedding(text, dims: int = fixed.EMBEDDING_DIMS) -> Column:
         offsets = np.arange(0, unit.size + 1, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()))
 
-    return encode(F.lower(_col(text)))
+    return encode.asNondeterministic()(F.lower(_col(text)))
 
 
 def embed(
@@ -108,7 +108,7 @@ def embed(
                 rows.extend(np.divide(matrix, size, out=matrix, where=size != 0))
             yield pa.array(rows, pa.list_(pa.float64()))
 
-    return encode(F.coalesce(_col(text), F.lit("")))
+    return encode.asNondeterministic()(F.coalesce(_col(text), F.lit("")))
 
 
 def vector_from_json(text) -> Column:

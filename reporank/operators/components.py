@@ -37,26 +37,28 @@ def _small_star(edges, rows, floor):
 
 
 def _state(edges):
-    mark = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return edges.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first()
+    """Number of edges, and of first endpoints that are not yet the tip of one star."""
+    tips = edges.groupBy("a").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("b").alias("a"), F.lit(True).alias("root")).distinct()
+    open_ = F.count_if((F.col("n") > 1) | F.col("root").isNotNull())
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return tips.join(roots, "a", "left").agg(total.alias("rows"), open_.alias("open")).first()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, floor: int = HOT_FLOOR) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; a component is its smallest node.
 
-    Each round rewrites the edge table (ids only) into the shared folder and stops
-    when a round changes nothing: O(log^2 n) rounds (Kiveris et al., 2014).
+    Each round rewrites the edge table (ids only) into the shared folder, until
+    every component is a star around its smallest node: O(log^2 n) rounds
+    (Kiveris et al., 2014).
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     current = written(pairs.filter("a <> b").distinct())
     state = _state(current)
-    while True:
-        rows = state[0]
-        stars = _small_star(_large_star(current, rows, floor).distinct(), rows, floor).distinct()
-        current = written(stars)
-        previous, state = state, _state(current)
-        if state == previous:
-            break
+    while state.open:
+        larger = _large_star(current, state.rows, floor).distinct()
+        current = written(_small_star(larger, state.rows, floor).distinct())
+        state = _state(current)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots

@@ -15,17 +15,43 @@ def _print(fingerprint):
     return F.md5(F.array_join(F.col(fingerprint).cast("array<string>"), ","))
 
 
+def _rank(key, stars):
+    """Order of keeping: most stars, then the smaller key; the smallest rank is kept."""
+    return F.struct((-F.coalesce(F.col(stars), F.lit(0))).alias("low"), F.col(key).alias("id"))
+
+
+def _memberships(rows):
+    """One row per band of every row of ``(rank, buckets)``."""
+    spread = rows.select("rank", F.posexplode("buckets").alias("band", "hash"))
+    return spread.select("rank", "band", F.unhex("hash").alias("bucket"))
+
+
+def _keepers(members):
+    """Best repo and size of each bucket.
+
+    The aggregate starts in every task, so a bucket that holds a third of all
+    repos still sends one row per task.
+    """
+    return members.groupBy("band", "bucket").agg(
+        F.min("rank").alias("keeper"), F.count("*").alias("size")
+    )
+
+
+def band_winners(df, key="full_name", fingerprint="minhash_fingerprint", stars="stars"):
+    """Keys that win at least one bucket: those the per-bucket rule lets through."""
+    usable = df.filter(M.has_tokens(fingerprint))
+    rows = usable.select(_rank(key, stars).alias("rank"), M.band_keys(fingerprint).alias("buckets"))
+    return _keepers(_memberships(rows)).select(F.col("keeper.id").alias(key)).distinct()
+
+
 def _representatives(df, key, fingerprint, stars):
     """``(print, rank, buckets)`` per distinct fingerprint; rank is that of its best repo.
 
-    Best means most stars, then the smaller key. Exact copies share every bucket,
-    so only the best copy can win one. The aggregate runs before the shuffle: a
-    group of copies sends one row per task.
+    Exact copies share every bucket, so only the best copy needs linking to others.
     """
-    rank = F.struct((-F.coalesce(F.col(stars), F.lit(0))).alias("low"), F.col(key).alias("id"))
     usable = df.filter(M.has_tokens(fingerprint)).select(
         _print(fingerprint).alias("print"),
-        rank.alias("rank"),
+        _rank(key, stars).alias("rank"),
         M.band_keys(fingerprint).alias("buckets"),
     )
     return usable.groupBy("print").agg(
@@ -33,22 +59,12 @@ def _representatives(df, key, fingerprint, stars):
     )
 
 
-def _memberships(best):
-    """One row per representative and band: ``(rank, band, bucket)``."""
-    return best.select("rank", F.posexplode("buckets").alias("band", "bucket"))
-
-
-def _keepers(members):
-    """Best repo and size of each bucket; no bucket is ever gathered in one place."""
-    return members.groupBy("band", "bucket").agg(
-        F.min("rank").alias("keeper"), F.count("*").alias("size")
-    )
-
-
-def band_winners(df, key="full_name", fingerprint="minhash_fingerprint", stars="stars"):
-    """Keys that win at least one bucket: those the per-bucket rule lets through."""
-    members = _memberships(_representatives(df, key, fingerprint, stars))
-    return _keepers(members).select(F.col("keeper.id").alias(key)).distinct()
+def _bucket_links(best, floor):
+    """Every representative linked to the keeper of each bucket it does not win."""
+    members = _memberships(best)
+    shared = _keepers(members).filter("size > 1")
+    linked = join_lookup(members, shared, ["band", "bucket"], "size", floor)
+    return linked.filter("rank <> keeper")
 
 
 def candidate_pairs(
@@ -58,14 +74,12 @@ def candidate_pairs(
 
     A bucket of n repos gives n - 1 links, not n * (n - 1) / 2 pairs; the links
     connect exactly the same repos. ``bands`` counts the shared buckets.
-    Copies of one fingerprint hang on the best copy with all 16 bands.
+    Copies of one fingerprint hang on the best copy with all 16 bands. The
+    representatives are written once, as several steps read them.
     """
-    best = _representatives(df, key, fingerprint, stars)
-    members = _memberships(best)
-    shared = _keepers(members).filter("size > 1")
+    best = written(_representatives(df, key, fingerprint, stars))
     links = (
-        join_lookup(members, shared, ["band", "bucket"], "size", floor)
-        .filter("rank <> keeper")
+        _bucket_links(best, floor)
         .groupBy(F.col("keeper.id").alias("keeper"), F.col("rank.id").alias("duplicate"))
         .agg(F.count("*").alias("bands"))
     )
@@ -91,12 +105,8 @@ def cluster_keepers(
 ) -> DataFrame:
     """Keys kept when each connected cluster of bucket mates keeps its best repo."""
     best = written(_representatives(df, key, fingerprint, stars))
-    members = _memberships(best)
-    shared = _keepers(members).filter("size > 1")
-    links = (
-        join_lookup(members, shared, ["band", "bucket"], "size", floor)
-        .filter("rank <> keeper")
-        .select(F.col("keeper.id").alias("a"), F.col("rank.id").alias("b"))
+    links = _bucket_links(best, floor).select(
+        F.col("keeper.id").alias("a"), F.col("rank.id").alias("b")
     )
     clusters = connected_components(links, "a", "b", floor)
     return (
@@ -142,6 +152,7 @@ def verify_pairs(pairs: DataFrame, df: DataFrame, key="full_name", fingerprint="
     A keeper may have very many duplicates, so its fingerprint is looked up per
     keeper, hot ones by broadcast; duplicates are matched on their own key.
     """
+    pairs = written(pairs)
     prints = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("f"))
     sizes = pairs.groupBy("keeper").agg(F.count("*").alias("size"))
     kept = sizes.join(prints.select(F.col("k").alias("keeper"), F.col("f").alias("left")), "keeper")

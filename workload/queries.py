@@ -17,6 +17,7 @@ from reporank.plans import ranking as R
 from reporank.plans.records import assemble_repos
 from reporank.plans.results import present, result_count
 from reporank.plans.search import find_cached_job, search
+from reporank.session import written
 from reporank.sources.raw import manifest, source_lines
 from reporank.sources.tables import result_rows
 from workload import views as W
@@ -30,7 +31,8 @@ def _joined(array):
 
 
 def _records(spark, d):
-    return W.records(W.with_vectors(W.repos(spark, d), spark, d))
+    """Nested records as the crawl leaves them: a stored table, read by every later step."""
+    return written(W.records(W.with_vectors(W.repos(spark, d), spark, d)))
 
 
 def _scored(spark, d):
@@ -115,7 +117,8 @@ def rank_repos_any_band(spark, d):
 
 def _ranked(spark, d, rule):
     flat = W.with_fingerprints(W.with_vectors(W.repos(spark, d), spark, d), spark, d)
-    best = R.rank_repos(W.records(flat), W.query_vector(spark, d), rule=rule)
+    landed = written(W.records(flat))
+    best = R.rank_repos(landed, W.query_vector(spark, d), rule=rule)
     return best.select("full_name", "stars", *SCORES)
 
 
@@ -234,7 +237,7 @@ def band_keys(spark, d):
 
 
 def _deduped(spark, d, rule):
-    return dedup(W.fingerprints(spark, d), rule, "doc_id").select("doc_id", "is_duplicate")
+    return dedup(W.landed_fingerprints(spark, d), rule, "doc_id").select("doc_id", "is_duplicate")
 
 
 def dedup_any_band(spark, d):
@@ -246,11 +249,11 @@ def dedup_cluster(spark, d):
 
 
 def duplicate_links(spark, d):
-    return candidate_pairs(W.fingerprints(spark, d), "doc_id")
+    return candidate_pairs(W.landed_fingerprints(spark, d), "doc_id")
 
 
 def jaccard_estimate(spark, d):
-    prints = W.fingerprints(spark, d)
+    prints = W.landed_fingerprints(spark, d)
     return verify_pairs(candidate_pairs(prints, "doc_id"), prints, "doc_id")
 
 

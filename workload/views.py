@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reporank.functions.minhash import minhash
 from reporank.schemas import VECTOR
+from reporank.session import written
 
 AS_OF = "2001-08-01"
 
@@ -24,8 +25,12 @@ def as_of():
 
 def repos(spark, folder):
     """One flat row per customer standing in for a crawled repository."""
-    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    customer = table(spark, folder, "customer")
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    lines = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"
+        )
+    )
     is_closed = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
     by_order = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count("*").alias("forks"),
@@ -122,10 +127,15 @@ def fingerprints(spark, folder):
     )
 
 
+def landed_fingerprints(spark, folder):
+    """Fingerprints as the crawl leaves them: a stored table, computed once."""
+    return written(fingerprints(spark, folder))
+
+
 def with_fingerprints(flat, spark, folder):
     """Each repository gets the document whose number is its own, modulo their count."""
-    many = table(spark, folder, "documents").agg(F.count("*").alias("n")).scalar()
     prints = fingerprints(spark, folder).drop("stars")
+    many = table(spark, folder, "documents").agg(F.count("*").alias("n")).scalar()
     return flat.withColumn("doc_id", F.col("repo_id") % many).join(prints, "doc_id", "left")
 
 
@@ -156,13 +166,9 @@ def code_lines(spark, folder):
     Lines cover every extension, public and private names, and shapes that the
     patterns leave out (bare except, Go methods with receiver, static Java).
     """
-    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
-    )
     ext = F.get(
         F.array(*map(F.lit, ["py", "go", "ts", "java", "js", "md"])),
-        (F.col("l_partkey") % 6).cast("int"),
+        (F.col("p_partkey") % 6).cast("int"),
     )
     name, snake = F.replace("p_name", F.lit(" ")), F.replace("p_name", F.lit(" "), F.lit("_"))
     camel = F.concat(
@@ -200,19 +206,22 @@ def code_lines(spark, folder):
     for kind, texts in shapes.items():
         chosen = F.get(F.array(*texts), F.col("p_size") % 4)
         line = F.when(F.col("ext") == kind, chosen).otherwise(line)
-    prefix = F.when(F.col("l_orderkey") % 7 == 0, "test_").otherwise("m_")
-    return (
-        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("ext", ext)
-        .select(
-            F.col("l_suppkey").alias("repo"),
-            F.concat(
-                F.lit("src/"), prefix, (F.col("l_orderkey") % 20).cast("string"), F.lit("."), "ext"
-            ).alias("path"),
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"),
-            line.alias("line"),
+    part = table(spark, folder, "part").withColumn("ext", ext)
+    texts = part.select(F.col("p_partkey").alias("l_partkey"), "ext", line.alias("line"))
+    lines = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
         )
     )
+    prefix = F.when(F.col("l_orderkey") % 7 == 0, "test_").otherwise("m_")
+    return lines.join(texts, "l_partkey").select(
+        F.col("l_suppkey").alias("repo"),
+        F.concat(
+            F.lit("src/"), prefix, (F.col("l_orderkey") % 20).cast("string"), F.lit("."), "ext"
+        ).alias("path"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"),
+        "line",
+    )
 
 
 def commits(spark, folder):
