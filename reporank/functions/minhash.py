@@ -83,15 +83,17 @@ def minhash_by(df: DataFrame, key: str, text: str) -> DataFrame:
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([slim.schema["key"], T.StructField("fp", FINGERPRINT)])
     key_type = to_arrow_type(slim.schema["key"].dataType)
-    merged = [F.min(F.col("fp")[i]) for i in range(fixed.NUM_HASHES)]
-    return (
-        slim.mapInArrow(fold, schema)
-        .groupBy("key")
-        .agg(F.array(*merged).alias("minhash_fingerprint"))
-        .withColumnRenamed("key", key)
+    return merged_fingerprints(slim.mapInArrow(fold, schema), "key", "fp").withColumnRenamed(
+        "key", key
     )
 
 
+def merged_fingerprints(df: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Element-wise minimum of the fingerprints of each key; partial in every task."""
+    minima = [F.min(F.col(fingerprint)[i]) for i in range(fixed.NUM_HASHES)]
+    return df.groupBy(key).agg(F.array(*minima).alias("minhash_fingerprint"))
+
+
 def has_tokens(fingerprint) -> Column:
     """False for a missing fingerprint and for that of a repo without any token."""
     fp = _col(fingerprint)
@@ -101,13 +103,12 @@ def has_tokens(fingerprint) -> Column:
 
 def band_keys(fingerprint) -> Column:
     """One hash key per band of eight minima, in band order."""
-    text = _col(fingerprint).cast("array<string>")
-    return F.array(
-        *[
-            F.md5(F.array_join(F.slice(text, b * fixed.BAND_ROWS + 1, fixed.BAND_ROWS), ","))
-            for b in range(fixed.NUM_BANDS)
-        ]
-    )
+
+    def key(band):
+        rows = F.slice(_col(fingerprint), band * fixed.BAND_ROWS + 1, fixed.BAND_ROWS)
+        return F.md5(F.array_join(rows.cast("array<string>"), ","))
+
+    return F.array(*[key(band) for band in range(fixed.NUM_BANDS)])
 
 
 def jaccard_estimate(left, right) -> Column:

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from reporank import fixed
 from reporank.functions import code as C
-from reporank.functions.minhash import minhash_by
+from reporank.functions.minhash import merged_fingerprints, minhash, minhash_by
 from reporank.functions.text import extension, trimmed
 from reporank.schemas import FINGERPRINT
+from reporank.session import written
+from reporank.sources.raw import content_lines
 
 
 def annotate_lines(lines: DataFrame) -> DataFrame:
@@ -90,32 +92,18 @@ def signature_rows(annotated: DataFrame, cap: int = fixed.SIGNATURE_CAP) -> Data
     )
 
 
-def signatures(annotated: DataFrame) -> DataFrame:
-    """``(repo, function_signatures)`` for repos that have any."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """``(repo, function_signatures)`` from the rows of :func:`signature_rows`."""
     ordered = F.array_sort(F.collect_list(F.struct("n", "sig")))
-    return (
-        signature_rows(annotated)
-        .groupBy("repo")
-        .agg(F.transform(ordered, lambda x: x["sig"]).alias("function_signatures"))
+    return rows.groupBy("repo").agg(
+        F.transform(ordered, lambda x: x["sig"]).alias("function_signatures")
     )
 
 
-def code_metrics(lines: DataFrame) -> DataFrame:
-    """``(repo, ast)`` from ``(repo, path, line_no, line)``: the full metrics record.
-
-    A repo without supported files keeps zeros, an empty language and a
-    fingerprint of 128 empty minima.
-    """
-    annotated = annotate_lines(lines)
-    files = file_counts(annotated)
-    prints = minhash_by(annotated.filter(C.is_source("ext")), "repo", "line")
+def _record(counts, language, names, prints):
+    """The four parts as one ``(repo, ast)``; absent parts take their empty value."""
     empty = F.array_repeat(F.lit(fixed.EMPTY_MINIMUM), fixed.NUM_HASHES).cast(FINGERPRINT)
-    joined = (
-        repo_counts(files)
-        .join(dominant_language(files), "repo")
-        .join(signatures(annotated), "repo", "left")
-        .join(prints, "repo", "left")
-    )
+    joined = counts.join(language, "repo").join(names, "repo", "left").join(prints, "repo", "left")
     return joined.select(
         "repo",
         F.struct(
@@ -129,3 +117,60 @@ def code_metrics(lines: DataFrame) -> DataFrame:
             "language",
         ).alias("ast"),
     )
+
+
+def code_metrics(lines: DataFrame) -> DataFrame:
+    """``(repo, ast)`` from a table of ``(repo, path, line_no, line)``.
+
+    A repo without supported files keeps zeros, an empty language and a
+    fingerprint of 128 empty minima.
+    """
+    annotated = annotate_lines(lines)
+    files = file_counts(annotated)
+    prints = minhash_by(annotated.filter(C.is_source("ext")), "repo", "line")
+    return _record(
+        repo_counts(files), dominant_language(files), signatures(signature_rows(annotated)), prints
+    )
+
+
+def file_metrics(files: DataFrame) -> DataFrame:
+    """What each ``(repo, path, content)`` contributes, in one pass without a shuffle."""
+    source = files.withColumn("ext", extension("path")).select(
+        "repo", "path", "ext", F.when(C.is_source("ext"), F.col("content")).alias("content")
+    )
+    lines = F.transform(content_lines(F.col("content")), trimmed)
+    ext = F.col("ext")
+    found = F.array_compact(F.transform("text", lambda line: C.signature(line, ext)))
+    errors = F.filter("text", lambda line: F.coalesce(C.handles_error(line, ext), F.lit(False)))
+    public = F.filter("sigs", lambda sig: C.is_public(sig, ext))
+    count = lambda array: F.coalesce(F.size(array), F.lit(0)).cast("long")
+    read = source.withColumn("text", lines).withColumn("sigs", found)
+    return read.select(
+        "repo",
+        "path",
+        "ext",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("text")).cast("long").alias("lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(count(errors)).cast("long").alias(
+            "error_lines"
+        ),
+        F.when(F.col("text").isNull(), 0).otherwise(count(public)).cast("long").alias("public"),
+        F.slice("sigs", 1, fixed.SIGNATURE_CAP).alias("sigs"),
+        minhash("content").alias("fp"),
+    )
+
+
+def analyze_files(files: DataFrame) -> DataFrame:
+    """``(repo, ast)`` from whole files, each read once.
+
+    The per-file summary is written to the shared folder; the repo totals are
+    then small aggregates over it.
+    """
+    summary = written(file_metrics(files))
+    named = summary.select("repo", "path", F.posexplode("sigs").alias("line_no", "sig"))
+    prints = merged_fingerprints(summary.filter(C.is_source("ext")), "repo", "fp")
+    return _record(
+        repo_counts(summary),
+        dominant_language(summary),
+        signatures(signature_rows(named)),
+        prints,
+    )

@@ -3,7 +3,7 @@
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,15 +170,20 @@ def read_source_files(spark: SparkSession, root: str, suffixes=None) -> DataFram
     return _list_tree(spark, root).mapInArrow(load, schemas.SOURCE_FILE)
 
 
+def content_lines(content) -> Column:
+    """Lines of a text, null when it has none; a final line break starts no new line."""
+    lines = F.split(F.regexp_replace(content, "\n\\z", ""), "\n")
+    return F.when(F.length(content) > 0, lines)
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """``(repo, path, line_no, line)`` of file rows, in file order.
 
-    A final line break starts no new line; a file without lines gives one row
-    with a null line, so that it still counts as a file.
+    A file without lines gives one row with a null line, so that it still counts
+    as a file.
     """
-    lines = F.split(F.regexp_replace("content", "\n\\z", ""), "\n")
-    kept = F.when(F.length("content") > 0, lines)
-    return files.select("repo", "path", F.posexplode_outer(kept).alias("line_no", "line"))
+    numbered = F.posexplode_outer(content_lines(F.col("content"))).alias("line_no", "line")
+    return files.select("repo", "path", numbered)
 
 
 def read_source_lines(spark: SparkSession, root: str, suffixes=None) -> DataFrame:

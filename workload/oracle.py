@@ -422,6 +422,11 @@ def statements() -> dict[str, str]:
 
     norms = ", ".join(f"{f}_norm" for f in FEATURES)
     words = "bought"
+    twins = _twins(scored, prints, bands, code, ranked, deduped, norms, words)
+    return {**twins, "analyzed_files": twins["code_metrics"]}
+
+
+def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
     return {
         "relevance_topk": f"""SELECT vec_id, coalesce({RELEVANCE}, 0e0) AS relevance_score
             FROM embeddings ORDER BY relevance_score DESC, vec_id LIMIT 20""",

@@ -166,9 +166,9 @@ def dominant_language(spark, d):
     return C.dominant_language(C.file_counts(C.annotate_lines(W.code_lines(spark, d))))
 
 
-def code_metrics(spark, d):
+def _metrics(records):
     ast = F.col("ast")
-    return C.code_metrics(W.code_lines(spark, d)).select(
+    return records.select(
         "repo",
         F.array_join(ast["function_signatures"], ",").alias("signatures"),
         ast["public_api_count"].alias("public_api_count"),
@@ -181,6 +181,14 @@ def code_metrics(spark, d):
     )
 
 
+def code_metrics(spark, d):
+    return _metrics(C.code_metrics(W.code_lines(spark, d)))
+
+
+def analyzed_files(spark, d):
+    return _metrics(C.analyze_files(W.code_files(spark, d)))
+
+
 def document_lines(spark, d):
     """Documents as files: lines per file as the line reader counts them."""
     files = W.table(spark, d, "documents").select(
@@ -398,7 +406,7 @@ REGISTERED = {
         composite_rank, composite_by_job, score_breakdown, rank_repos, rank_repos_any_band,
         lite_scores, lite_rank, search_candidates,
         code_signatures, file_counts, first_signatures, dominant_language, code_metrics,
-        document_lines, contributor_stats, assembled_repos,
+        analyzed_files, document_lines, contributor_stats, assembled_repos,
         minhash, band_keys, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,
         embed_hashing, semantic_cache, cached_job, search_split, vector_json,
         latest_status, job_status, last_write, insert_if_absent, orphan_results,

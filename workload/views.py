@@ -224,6 +224,14 @@ def code_lines(spark, folder):
     )
 
 
+def code_files(spark, folder):
+    """The code lines put together to whole files."""
+    numbered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    content = F.array_join(F.transform(numbered, lambda x: x["line"]), "\n")
+    lines = code_lines(spark, folder)
+    return lines.groupBy("repo", "path").agg(content.alias("content"))
+
+
 def commits(spark, folder):
     """An order line is a commit to its customer's repository, by its supplier."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
