@@ -1,5 +1,7 @@
 """Expressions over one source line or one file path."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +27,28 @@ def is_test_file(path) -> Column:
     return name.contains("test") | name.endswith(".spec.ts")
 
 
+def _has(line, *words):
+    """Cheap test that spares most lines the regular expression."""
+    found = [line.contains(word) for word in words]
+    return reduce(lambda a, b: a | b, found)
+
+
 def signature(line, ext) -> Column:
-    """Name of the function declared on a trimmed line, null when there is none."""
+    """Name of the function declared on a trimmed line, empty when there is none."""
     line, ext = _col(line), _col(ext)
 
     def group(pattern, n=1):
-        return F.nullif(F.regexp_extract(line, pattern, n), F.lit(""))
+        return F.regexp_extract(line, pattern, n)
 
     return (
-        F.when(ext == ".py", group(fixed.PY_FUNCTION))
-        .when(ext == ".go", group(fixed.GO_FUNCTION))
+        F.when((ext == ".py") & line.startswith("def"), group(fixed.PY_FUNCTION))
+        .when((ext == ".go") & line.startswith("func"), group(fixed.GO_FUNCTION))
         .when(
-            ext.isin(*JS_EXTENSIONS),
-            F.coalesce(group(fixed.JS_FUNCTION, 1), group(fixed.JS_FUNCTION, 2)),
+            ext.isin(*JS_EXTENSIONS) & _has(line, "function", "const"),
+            F.concat(group(fixed.JS_FUNCTION, 1), group(fixed.JS_FUNCTION, 2)),
         )
-        .when(ext == ".java", group(fixed.JAVA_FUNCTION))
+        .when((ext == ".java") & _has(line, "public", "protected"), group(fixed.JAVA_FUNCTION))
+        .otherwise("")
     )
 
 
@@ -47,9 +56,9 @@ def is_public(sig, ext) -> Column:
     """Whether a signature is public API; the Java pattern only matches public ones."""
     sig, ext = _col(sig), _col(ext)
     return (
-        F.when(ext == ".py", ~sig.startswith("_"))
+        F.when(ext == ".py", (sig != "") & ~sig.startswith("_"))
         .when(ext == ".go", sig.rlike("^[A-Z]"))
-        .otherwise(sig.isNotNull())
+        .otherwise(sig != "")
     )
 
 
@@ -58,7 +67,7 @@ def handles_error(line, ext) -> Column:
     line, ext = _col(line), _col(ext)
     return (
         F.when(ext == ".go", line.contains(fixed.GO_ERROR))
-        .when(ext == ".py", line.rlike(fixed.PY_ERROR))
-        .when(ext.isin(*JS_EXTENSIONS), line.rlike(fixed.JS_ERROR))
+        .when(ext == ".py", _has(line, "except") & line.rlike(fixed.PY_ERROR))
+        .when(ext.isin(*JS_EXTENSIONS), _has(line, "catch") & line.rlike(fixed.JS_ERROR))
         .otherwise(False)
     )

@@ -18,8 +18,10 @@ def annotate_lines(lines: DataFrame) -> DataFrame:
     A null ``line`` stands for an empty file: it counts as a file, not as a line.
     """
     ext = extension("path")
-    staged = lines.withColumns({"ext": ext, "line": trimmed("line")}).withColumn(
-        "sig", C.signature("line", "ext")
+    staged = (
+        lines.withColumns({"ext": ext, "line": trimmed("line")})
+        .withColumn("sig", C.signature("line", "ext"))
+        .withColumn("sig", F.when(F.col("sig") != "", F.col("sig")))
     )
     return staged.withColumns(
         {
@@ -140,20 +142,21 @@ def file_metrics(files: DataFrame) -> DataFrame:
     )
     lines = F.transform(content_lines(F.col("content")), trimmed)
     ext = F.col("ext")
-    found = F.array_compact(F.transform("text", lambda line: C.signature(line, ext)))
-    errors = F.filter("text", lambda line: F.coalesce(C.handles_error(line, ext), F.lit(False)))
+    found = F.filter(
+        F.transform("text", lambda line: C.signature(line, ext)), lambda sig: sig != ""
+    )
+    errors = F.filter("text", lambda line: C.handles_error(line, ext))
     public = F.filter("sigs", lambda sig: C.is_public(sig, ext))
-    count = lambda array: F.coalesce(F.size(array), F.lit(0)).cast("long")
-    read = source.withColumn("text", lines).withColumn("sigs", found)
+    read = source.withColumn(
+        "text", F.coalesce(lines, F.array().cast("array<string>"))
+    ).withColumn("sigs", found)
     return read.select(
         "repo",
         "path",
         "ext",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("text")).cast("long").alias("lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(count(errors)).cast("long").alias(
-            "error_lines"
-        ),
-        F.when(F.col("text").isNull(), 0).otherwise(count(public)).cast("long").alias("public"),
+        F.size("text").cast("long").alias("lines"),
+        F.size(errors).cast("long").alias("error_lines"),
+        F.size(public).cast("long").alias("public"),
         F.slice("sigs", 1, fixed.SIGNATURE_CAP).alias("sigs"),
         minhash("content").alias("fp"),
     )

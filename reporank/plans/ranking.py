@@ -28,8 +28,9 @@ def search_candidates(
 
 def with_relevance(repos: DataFrame, query_vector, vector: str = "embedding") -> DataFrame:
     """Relevance is the rounded cosine of the query and the repo vector, 0 without one."""
-    score = S.rounded(cosine_to(query_vector, vector))
-    return repos.withColumn("relevance_score", F.coalesce(score, F.lit(0.0)))
+    staged = repos.withColumn("_cosine", cosine_to(query_vector, vector))
+    score = F.coalesce(S.rounded(F.col("_cosine")), F.lit(0.0))
+    return staged.withColumn("relevance_score", score).drop("_cosine")
 
 
 def with_embedding(repos: DataFrame, make_encoder=None) -> DataFrame:
