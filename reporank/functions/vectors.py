@@ -60,6 +60,25 @@ def cosine_to(vector, column) -> Column:
     return similarity.asNondeterministic()(_col(column))  # see minhash: called once per row
 
 
+@F.arrow_udf("double")
+def _row_cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    known = pc.and_(a.is_valid(), b.is_valid())
+    a, b = a.filter(known), b.filter(known)
+    out, known = np.zeros(len(known)), known.to_numpy(zero_copy_only=False)
+    if len(a):
+        dims = len(a[0])
+        a, b = as_matrix(a, dims), as_matrix(b, dims)
+        size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        dots = np.einsum("ij,ij->i", a, b)
+        out[known] = np.divide(dots, size, out=np.zeros(len(a)), where=size != 0)
+    return pa.array(out, mask=~known)
+
+
+def cosine_rows(a, b) -> Column:
+    """Like :func:`cosine`, by Arrow batch: faster for long vectors."""
+    return _row_cosine.asNondeterministic()(_col(a), _col(b))
+
+
 def hashed_embedding(text, dims: int = fixed.EMBEDDING_DIMS) -> Column:
     """Unit vector of signed token counts hashed into ``dims`` slots.
 
@@ -75,7 +94,8 @@ def hashed_embedding(text, dims: int = fixed.EMBEDDING_DIMS) -> Column:
         pick = words.indices.to_numpy()
         slot = (slot_hash % dims)[pick].astype(np.int64)
         sign = 1.0 - 2.0 * (sign_hash & 1)[pick]
-        counts = np.bincount(owner * dims + slot, sign, len(texts) * dims).reshape(-1, dims)
+        counts = np.bincount(owner * dims + slot, sign, len(texts) * dims)
+        counts = counts.astype(np.float64).reshape(-1, dims)
         size = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, size, out=counts, where=size != 0)
         offsets = np.arange(0, unit.size + 1, dims, dtype=np.int32)

@@ -10,9 +10,19 @@ from reporank.operators.skew import HOT_FLOOR, join_lookup
 from reporank.session import written
 
 
-def _print(fingerprint):
+def _scoped(text, by):
+    """Hash text that only meets equal text of the same batch."""
+    return text if by is None else F.md5(F.concat_ws(":", F.col(by).cast("string"), text))
+
+
+def _print(fingerprint, by):
     """Short stand-in for a whole fingerprint, cheap to group and sort by."""
-    return F.md5(F.array_join(F.col(fingerprint).cast("array<string>"), ","))
+    return _scoped(F.md5(F.array_join(F.col(fingerprint).cast("array<string>"), ",")), by)
+
+
+def _buckets(fingerprint, by):
+    keys = M.band_keys(fingerprint)
+    return keys if by is None else F.transform(keys, lambda key: _scoped(key, by))
 
 
 def _rank(key, stars):
@@ -37,22 +47,25 @@ def _keepers(members):
     )
 
 
-def band_winners(df, key="full_name", fingerprint="minhash_fingerprint", stars="stars"):
+def band_winners(
+    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", by=None
+) -> DataFrame:
     """Keys that win at least one bucket: those the per-bucket rule lets through."""
-    usable = df.filter(M.has_tokens(fingerprint))
-    rows = usable.select(_rank(key, stars).alias("rank"), M.band_keys(fingerprint).alias("buckets"))
+    rows = df.filter(M.has_tokens(fingerprint)).select(
+        _rank(key, stars).alias("rank"), _buckets(fingerprint, by).alias("buckets")
+    )
     return _keepers(_memberships(rows)).select(F.col("keeper.id").alias(key)).distinct()
 
 
-def _representatives(df, key, fingerprint, stars):
+def _representatives(df, key, fingerprint, stars, by=None):
     """``(print, rank, buckets)`` per distinct fingerprint; rank is that of its best repo.
 
     Exact copies share every bucket, so only the best copy needs linking to others.
     """
     usable = df.filter(M.has_tokens(fingerprint)).select(
-        _print(fingerprint).alias("print"),
+        _print(fingerprint, by).alias("print"),
         _rank(key, stars).alias("rank"),
-        M.band_keys(fingerprint).alias("buckets"),
+        _buckets(fingerprint, by).alias("buckets"),
     )
     return usable.groupBy("print").agg(
         F.min("rank").alias("rank"), F.first("buckets").alias("buckets")
@@ -89,7 +102,7 @@ def candidate_pairs(
 def _copies(df, best, key, fingerprint, floor):
     """Links from each exact copy to the best copy of its fingerprint."""
     rows = df.filter(M.has_tokens(fingerprint)).select(
-        F.col(key).alias("duplicate"), _print(fingerprint).alias("print")
+        F.col(key).alias("duplicate"), _print(fingerprint, None).alias("print")
     )
     sizes = rows.groupBy("print").agg(F.count("*").alias("size")).filter("size > 1")
     lookup = sizes.join(best.select("print", F.col("rank.id").alias("keeper")), "print")
@@ -101,10 +114,15 @@ def _copies(df, best, key, fingerprint, floor):
 
 
 def cluster_keepers(
-    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", floor=HOT_FLOOR
+    df,
+    key="full_name",
+    fingerprint="minhash_fingerprint",
+    stars="stars",
+    by=None,
+    floor=HOT_FLOOR,
 ) -> DataFrame:
     """Keys kept when each connected cluster of bucket mates keeps its best repo."""
-    best = written(_representatives(df, key, fingerprint, stars))
+    best = written(_representatives(df, key, fingerprint, stars, by))
     links = _bucket_links(best, floor).select(
         F.col("keeper.id").alias("a"), F.col("rank.id").alias("b")
     )
@@ -124,9 +142,12 @@ def dedup(
     key: str = "full_name",
     fingerprint: str = "minhash_fingerprint",
     stars: str = "stars",
+    by: str | None = None,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """``df`` with ``is_duplicate``.
+    """``df`` with ``is_duplicate``; ``key`` is unique over all rows.
+
+    With ``by``, only rows of the same batch are compared.
 
     ``any_band`` drops a repo that wins none of its 16 buckets (one lazy plan);
     ``cluster`` keeps one repo per connected cluster (runs its rounds at once).
@@ -134,11 +155,11 @@ def dedup(
     """
     if rule not in ("any_band", "cluster"):
         raise ValueError("rule is any_band or cluster")
-    slim = df.select(key, fingerprint, stars)
+    slim = df.select(key, fingerprint, stars, *([by] if by else []))
     if rule == "any_band":
-        kept = band_winners(slim, key, fingerprint, stars)
+        kept = band_winners(slim, key, fingerprint, stars, by)
     else:
-        kept = cluster_keepers(slim, key, fingerprint, stars, floor)
+        kept = cluster_keepers(slim, key, fingerprint, stars, by, floor)
     usable = df.withColumn("_usable", M.has_tokens(fingerprint))
     marked = usable.join(kept.withColumn("_kept", F.lit(True)), key, "left")
     return marked.withColumn(

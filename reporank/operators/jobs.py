@@ -25,7 +25,7 @@ def insert_if_absent(
 ) -> DataFrame:
     """Rows of ``new`` to append: keys not in ``existing``, one row per key."""
     once = first_per_key(new, key, order or [F.col(c) for c in new.columns])
-    return once.join(existing.select(*key), key, "left_anti")
+    return once.join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def status_events(job_ids: DataFrame, status: str, at, seq: int = 0) -> DataFram
 
 def orphans(results: DataFrame, queries: DataFrame, key: str = "job_id") -> DataFrame:
     """Results that refer to no query."""
-    return results.join(queries.select(key), key, "left_anti")
+    return results.join(queries.select(key).distinct(), key, "left_anti")
 
 
 def referenced(results: DataFrame, queries: DataFrame, key: str = "job_id") -> DataFrame:
     """Results that refer to a query; what remains after a cascading delete."""
-    return results.join(queries.select(key), key, "left_semi")
+    return results.join(queries.select(key).distinct(), key, "left_semi")
 
 
 def top(df: DataFrame, n: int, score: str, tie: str, by: str | None = None) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from reporank import fixed
 from reporank.functions.vectors import as_matrix
 from reporank.schemas import VECTOR
+from reporank.session import written
 
 BROADCAST_BYTES = 64 << 20  # most incoming vectors that are shipped to every task
 PIVOTS = 64
-STORED_TILE = 20_000  # stored vectors one task holds at a time
+STORED_TILE = 50_000  # stored vectors one task holds at a time
 INCOMING_TILE = 500_000  # incoming vectors streamed past one stored tile
 DIGITS = 12  # similarities that differ by less are a tie
 BLOCK = 1024  # incoming vectors per matrix product
@@ -182,7 +183,7 @@ def nearest_stored(
         if table.num_rows <= room:
             hits = _by_broadcast(table, held, head.n, threshold)
         else:
-            hits = _by_tiles(asked, held, head.n, threshold)
+            hits = _by_tiles(written(asked), held, head.n, threshold)
     best = F.min(F.struct((-F.col("similarity")).alias("far"), F.col("job_id"))).alias("best")
     return (
         hits.groupBy("query_id")

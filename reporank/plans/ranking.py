@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from reporank import fixed
 from reporank.functions import scores as S
 from reporank.functions.text import embedding_text, keywords
-from reporank.functions.vectors import cosine_to, embed
+from reporank.functions.vectors import cosine_rows, cosine_to, embed
 from reporank.operators.dedup import dedup
 from reporank.operators.jobs import top
 from reporank.operators.normalize import minmax_normalize
+from reporank.operators.skew import join_lookup
 
 
 def search_candidates(
@@ -63,6 +64,15 @@ def with_composite(repos: DataFrame) -> DataFrame:
     return repos.withColumns({"composite_score": score, "score_breakdown": S.breakdown()})
 
 
+def _batch(repos, rule, key, by=None):
+    """Repositories without duplicates, with ``normalized``; fingerprints stay behind."""
+    slim = repos.withColumn("_print", F.col("ast.minhash_fingerprint")).withColumn(
+        "ast", F.col("ast").dropFields("minhash_fingerprint")
+    )
+    kept = dedup(slim, rule, key, "_print", by=by).filter("NOT is_duplicate")
+    return minmax_normalize(kept.drop("_print", "is_duplicate"), by)
+
+
 def rank_repos(
     repos: DataFrame,
     query_vector,
@@ -79,17 +89,38 @@ def rank_repos(
     given = "embedding" in repos.columns
     if given:
         repos = with_relevance(repos, query_vector).drop("embedding")
-    slim = repos.withColumn("_print", F.col("ast.minhash_fingerprint")).withColumn(
-        "ast", F.col("ast").dropFields("minhash_fingerprint")
-    )
-    kept = dedup(slim, rule, "full_name", "_print").filter("NOT is_duplicate")
-    batch = minmax_normalize(kept.drop("_print", "is_duplicate"))
+    batch = _batch(repos, rule, "full_name")
     if not given:
         batch = with_relevance(with_embedding(batch, make_encoder), query_vector).drop("embedding")
     scored = with_composite(with_health(with_quality(batch)))
     return top(scored, k, "composite_score", "full_name")
 
 
+def rank_jobs(
+    repos: DataFrame, queries: DataFrame, k: int = fixed.TOP_FULL, rule: str = "cluster"
+) -> DataFrame:
+    """Best ``k`` repositories of every job, all jobs in one plan.
+
+    ``repos`` carries ``job_id`` and ``embedding``; ``queries`` has one
+    ``(job_id, embedding)`` per job. Each job is deduplicated, normalized and cut
+    to ``k`` by itself, and a job may hold most of the rows: its vector and its
+    bounds are looked up by broadcast, and its best rows are cut in every task.
+    """
+    sizes = repos.groupBy("job_id").agg(F.count("*").alias("_size"))
+    asked = queries.select("job_id", F.col("embedding").alias("_asked"))
+    paired = join_lookup(repos, sizes.join(asked, "job_id"), ["job_id"], "_size")
+    staged = paired.withColumn("_cosine", cosine_rows("embedding", "_asked"))
+    scored = staged.withColumns(
+        {
+            "relevance_score": F.coalesce(S.rounded(F.col("_cosine")), F.lit(0.0)),
+            "_key": F.concat_ws("\n", F.col("job_id").cast("string"), "full_name"),
+        }
+    ).drop("embedding", "_asked", "_cosine")
+    batch = _batch(scored, rule, "_key", by="job_id").drop("_key")
+    ranked = with_composite(with_health(with_quality(batch)))
+    return top(ranked, k, "composite_score", "full_name", by="job_id")
+
+
 def lite_scores(items: DataFrame, as_of, query_vector=None) -> DataFrame:
     """Scores of search items from public metadata; the composite is not rounded.
 

@@ -1,6 +1,7 @@
 """Reading landed repository records and source trees; writing raw records."""
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,15 @@ def read_repos(spark: SparkSession, path: str) -> DataFrame:
     return _tidy(raw.filter(F.col(CORRUPT).isNull() | F.col("full_name").isNotNull()))
 
 
+def read_job_repos(spark: SparkSession, path: str) -> DataFrame:
+    """Like :func:`read_repos`, with the job folder each record lies in as ``job_id``."""
+    raw = spark.read.schema(_raw_schema()).options(**read_options()).json(path)
+    root = re.escape(path.rstrip("/").rsplit("/", 1)[-1])
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{root}/(?:job_id=)?([^/]+)/", 1)
+    whole = F.col(CORRUPT).isNull() | F.col("full_name").isNotNull()
+    return _tidy(raw.withColumn("job_id", F.url_decode(folder)).filter(whole))
+
+
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """The lines :func:`read_repos` skips."""
     raw = spark.read.schema(_raw_schema()).options(**read_options()).json(path)

@@ -86,11 +86,11 @@ QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 RELEVANCE = _even(f"list_cosine_similarity(embedding::DOUBLE[], {QUERY_VECTOR})")
 
 
-def _scored(batch="scaled"):
+def _scored(batch="scaled", relevance=RELEVANCE):
     """All scores of every repository in a scaled batch."""
     return f"""
 parts AS (
-  SELECT r.*, coalesce({RELEVANCE}, 0e0) AS relevance_score,
+  SELECT r.*, coalesce({relevance}, 0e0) AS relevance_score,
          {QUALITY} AS quality_score, {HEALTH} AS health_score
   FROM {batch} r LEFT JOIN embeddings
     ON vec_id = repo_id % (SELECT count(*) FROM embeddings)),
@@ -264,20 +264,20 @@ bands AS (
   FROM prints, range(16) r(b))"""
 
 
-def _buckets(ranked):
+def _buckets(ranked, batch="0"):
     """Members of every bucket in keeping order; ``ranked`` is (id, k, stars)."""
     return f"""
 members AS (
   SELECT r.id, band, bucket, row_number() OVER (
-      PARTITION BY band, bucket ORDER BY r.stars DESC, r.id) AS place,
+      PARTITION BY {batch}, band, bucket ORDER BY r.stars DESC, r.id) AS place,
     first_value(r.id) OVER (
-      PARTITION BY band, bucket ORDER BY r.stars DESC, r.id) AS keeper
+      PARTITION BY {batch}, band, bucket ORDER BY r.stars DESC, r.id) AS keeper
   FROM ({ranked}) r JOIN bands USING (k))"""
 
 
 DOCUMENTS_RANKED = "SELECT doc_id AS id, doc_id AS k, n_chars AS stars FROM documents"
-REPOS_RANKED = """SELECT full_name AS id, repo_id % (SELECT count(*) FROM documents) AS k, stars
-    FROM repos"""
+REPOS_RANKED = """SELECT full_name AS id, repo_id % (SELECT count(*) FROM documents) AS k, stars,
+    job_id FROM repos"""
 ANY_BAND = "dropped AS (SELECT id FROM members GROUP BY id HAVING min(place) > 1)"
 
 
@@ -404,8 +404,9 @@ def statements() -> dict[str, str]:
     bands = [*DOCUMENT_PRINTS, BANDS, _buckets(DOCUMENTS_RANKED)]
     code = _with(CODE, FILES)
 
+    kept = "kept AS (SELECT * FROM repos WHERE full_name NOT IN (SELECT id FROM dropped))"
+
     def ranked(dropped):
-        kept = "kept AS (SELECT * FROM repos WHERE full_name NOT IN (SELECT id FROM dropped))"
         return (
             _with(
                 REPOS, *DOCUMENT_PRINTS, BANDS, _buckets(REPOS_RANKED), dropped, kept,
@@ -414,6 +415,17 @@ def statements() -> dict[str, str]:
             + f"SELECT full_name, stars, {SCORES} FROM scored {BEST}"
         )
 
+    jobs_ranked = (
+        _with(
+            REPOS, *DOCUMENT_PRINTS, BANDS, _buckets(REPOS_RANKED, "r.job_id"),
+            _cluster(REPOS_RANKED), kept, _scaled("kept", by="job_id"),
+            _scored(relevance=_even("""list_cosine_similarity(embedding::DOUBLE[],
+              (SELECT q.embedding::DOUBLE[] FROM embeddings q WHERE q.vec_id = r.job_id))""")),
+        )
+        + f"""SELECT job_id, full_name, stars, {SCORES} FROM scored QUALIFY row_number() OVER (
+            PARTITION BY job_id ORDER BY composite_score DESC, full_name) <= 20"""
+    )
+
     def deduped(dropped):
         return (
             _with(*bands, dropped)
@@ -423,7 +435,7 @@ def statements() -> dict[str, str]:
     norms = ", ".join(f"{f}_norm" for f in FEATURES)
     words = "bought"
     twins = _twins(scored, prints, bands, code, ranked, deduped, norms, words)
-    return {**twins, "analyzed_files": twins["code_metrics"]}
+    return {**twins, "analyzed_files": twins["code_metrics"], "rank_jobs": jobs_ranked}
 
 
 def _twins(scored, prints, bands, code, ranked, deduped, norms, words):

@@ -115,10 +115,18 @@ def rank_repos_any_band(spark, d):
     return _ranked(spark, d, "any_band")
 
 
-def _ranked(spark, d, rule):
+def rank_jobs(spark, d):
+    best = R.rank_jobs(_printed(spark, d), W.job_queries(spark, d))
+    return best.select("job_id", "full_name", "stars", *SCORES)
+
+
+def _printed(spark, d):
     flat = W.with_fingerprints(W.with_vectors(W.repos(spark, d), spark, d), spark, d)
-    landed = written(W.records(flat))
-    best = R.rank_repos(landed, W.query_vector(spark, d), rule=rule)
+    return written(W.records(flat))
+
+
+def _ranked(spark, d, rule):
+    best = R.rank_repos(_printed(spark, d), W.query_vector(spark, d), rule=rule)
     return best.select("full_name", "stars", *SCORES)
 
 
@@ -404,7 +412,7 @@ REGISTERED = {
     for f in (
         relevance_topk, cosine_pairs, minmax, minmax_by_job, quality_score, health_score,
         composite_rank, composite_by_job, score_breakdown, rank_repos, rank_repos_any_band,
-        lite_scores, lite_rank, search_candidates,
+        rank_jobs, lite_scores, lite_rank, search_candidates,
         code_signatures, file_counts, first_signatures, dominant_language, code_metrics,
         analyzed_files, document_lines, contributor_stats, assembled_repos,
         minhash, band_keys, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,

@@ -271,6 +271,11 @@ def stored_queries(spark, folder):
     )
 
 
+def job_queries(spark, folder):
+    """The question of each job: the vector whose number is the job's."""
+    return stored_queries(spark, folder)
+
+
 def incoming_queries(spark, folder):
     """Every vector, pulled towards the next one by 0 to 90 percent, is asked again."""
     stored = stored_queries(spark, folder)
