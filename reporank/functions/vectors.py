@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reporank import fixed
 from reporank.functions.hashing import token_hashes, white_space_tokens
@@ -46,7 +47,7 @@ def cosine_to(vector, column) -> Column:
     query = np.asarray(vector, dtype=np.float64)
     query_size = np.linalg.norm(query)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def similarity(vectors: pa.Array) -> pa.Array:
         present = vectors.is_valid()
         matrix = as_matrix(vectors.drop_null(), len(query))
@@ -60,7 +61,7 @@ def cosine_to(vector, column) -> Column:
     return similarity.asNondeterministic()(_col(column))  # see minhash: called once per row
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _row_cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     known = pc.and_(a.is_valid(), b.is_valid())
     a, b = a.filter(known), b.filter(known)

@@ -72,6 +72,24 @@ def _representatives(df, key, fingerprint, stars, by=None):
     )
 
 
+def bucket_flags(
+    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", floor=HOT_FLOOR
+) -> DataFrame:
+    """``(key, band, is_duplicate)``: per bucket, every repo but the keeper is flagged.
+
+    Each row compares itself to its bucket's keeper, so no bucket has to be
+    sorted, or even to fit, in one task.
+    """
+    rows = df.filter(M.has_tokens(fingerprint)).select(
+        _rank(key, stars).alias("rank"), M.band_keys(fingerprint).alias("buckets")
+    )
+    members = _memberships(rows)
+    linked = join_lookup(members, _keepers(members), ["band", "bucket"], "size", floor)
+    return linked.select(
+        F.col("rank.id").alias(key), "band", (F.col("rank") != F.col("keeper")).alias("is_duplicate")
+    )
+
+
 def _bucket_links(best, floor):
     """Every representative linked to the keeper of each bucket it does not win."""
     members = _memberships(best)

@@ -161,3 +161,10 @@ def rank_lite(items: DataFrame, as_of, k: int = fixed.TOP_LITE, query_vector=Non
     """The ``k`` most starred items, scored and then sorted by composite score."""
     chosen = top(items, k, "stargazers_count", "full_name")
     return lite_scores(chosen, as_of, query_vector).orderBy(F.desc("composite_score"), "full_name")
+
+
+def lite_records(ranked: DataFrame) -> DataFrame:
+    """Ranked search items under the names the results table is filled from."""
+    return ranked.withColumnsRenamed(
+        {"html_url": "url", "stargazers_count": "stars", "forks_count": "forks"}
+    )

@@ -27,7 +27,7 @@ def component_of(edges):
 @pytest.mark.parametrize("floor", [0, 100_000])
 def test_components(spark, floor):
     rng = random.Random(3)
-    chain = [(i, i + 1) for i in range(1000, 1060)]
+    chain = [(i, i + 1) for i in range(1000, 1025)]
     star = [(2000, 2000 + i) for i in range(1, 300)]
     rest = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
     edges = chain + star + rest
@@ -144,6 +144,15 @@ def test_a_bucket_with_most_rows(spark, floor):
     assert checked.filter("bands = 16 AND jaccard < 1").count() == 0
 
 
+@pytest.mark.parametrize("floor", [0, 100_000])
+def test_flags_per_bucket(spark, floor):
+    rows = repos(9)
+    flags = D.bucket_flags(spark.createDataFrame(rows, SCHEMA), floor=floor).collect()
+    flagged = sorted(r.full_name for r in flags if r.is_duplicate)
+    assert flagged == sorted(name for g in buckets(rows) for _, name in g[1:])
+    assert len(flags) == sum(map(len, buckets(rows)))
+
+
 def test_unknown_rule(spark):
     with pytest.raises(ValueError):
         D.dedup(spark.createDataFrame([], SCHEMA), "first")

@@ -519,6 +519,8 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         + "SELECT k AS doc_id, array_to_string(fp, ',') AS fingerprint FROM prints",
         "band_keys": _with(*DOCUMENT_PRINTS, BANDS)
         + "SELECT k AS doc_id, band, bucket FROM bands",
+        "bucket_flags": _with(*bands)
+        + "SELECT id AS doc_id, band, place > 1 AS is_duplicate FROM members",
         "dedup_any_band": deduped(ANY_BAND),
         "dedup_cluster": deduped(_cluster(DOCUMENTS_RANKED)),
         "duplicate_links": _with(*bands, LINKS) + "SELECT * FROM pairs",
@@ -579,6 +581,15 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
             regexp_matches(text, '^\\s*$') AS blank FROM conversations""",
         "encoded_queries": """SELECT conv_id, turn,
             replace(url_encode(text), '%20', '+') AS encoded FROM conversations""",
+        "token_counts": f"""SELECT doc_id, count(t) AS tokens, count(DISTINCT t) AS distinct_tokens
+            FROM (SELECT doc_id, unnest(string_split_regex(text, '{SPACES}')) AS t FROM documents)
+            WHERE t <> '' GROUP BY doc_id""",
+        "lite_results": _with(REPOS, LITE)
+        + """SELECT sha256('lite-job' || chr(10) || full_name) AS id, 'lite-job' AS job_id,
+            full_name AS repo_full_name, url AS repo_url,
+            coalesce(description, '') AS description, coalesce(language, '') AS language, stars,
+            quality_score, health_score
+          FROM lite ORDER BY stars DESC, full_name LIMIT 10""",
         "embed_text": _with(
             REPOS,
             f"""{words} AS (SELECT o_custkey, list(DISTINCT p_name ORDER BY p_name) AS parts

@@ -7,10 +7,10 @@ from reporank.functions import minhash as M
 from reporank.functions import scores as S
 from reporank.functions import text as T
 from reporank.functions import vectors as V
+from reporank.operators import dedup as D
 from reporank.operators import jobs as J
 from reporank.operators import metrics as C
 from reporank.operators import stats as ST
-from reporank.operators.dedup import candidate_pairs, dedup, verify_pairs
 from reporank.operators.nearest import nearest_stored
 from reporank.operators.normalize import minmax_normalize
 from reporank.plans import ranking as R
@@ -252,8 +252,13 @@ def band_keys(spark, d):
     )
 
 
+def bucket_flags(spark, d):
+    flags = D.bucket_flags(W.landed_fingerprints(spark, d), "doc_id")
+    return flags.withColumn("band", F.col("band").cast("long"))
+
+
 def _deduped(spark, d, rule):
-    return dedup(W.landed_fingerprints(spark, d), rule, "doc_id").select("doc_id", "is_duplicate")
+    return D.dedup(W.landed_fingerprints(spark, d), rule, "doc_id").select("doc_id", "is_duplicate")
 
 
 def dedup_any_band(spark, d):
@@ -265,12 +270,12 @@ def dedup_cluster(spark, d):
 
 
 def duplicate_links(spark, d):
-    return candidate_pairs(W.landed_fingerprints(spark, d), "doc_id")
+    return D.candidate_pairs(W.landed_fingerprints(spark, d), "doc_id")
 
 
 def jaccard_estimate(spark, d):
     prints = W.landed_fingerprints(spark, d)
-    return verify_pairs(candidate_pairs(prints, "doc_id"), prints, "doc_id")
+    return D.verify_pairs(D.candidate_pairs(prints, "doc_id"), prints, "doc_id")
 
 
 # embedding and semantic reuse
@@ -377,6 +382,26 @@ def encoded_queries(spark, d):
     return said.select("conv_id", "turn", T.encoded_query("text").alias("encoded"))
 
 
+def token_counts(spark, d):
+    documents = W.spread(W.table(spark, d, "documents").select("doc_id", "text"))
+    words = T.tokens("text")
+    return documents.select(
+        "doc_id",
+        F.size(words).cast("long").alias("tokens"),
+        F.size(F.array_distinct(words)).cast("long").alias("distinct_tokens"),
+    )
+
+
+def lite_results(spark, d):
+    """Stored rows of a metadata-only job."""
+    ranked = R.lite_records(R.rank_lite(W.items(W.repos(spark, d)), W.as_of()))
+    rows = result_rows(ranked, "lite-job")
+    return rows.select(
+        "id", "job_id", "repo_full_name", "repo_url", "description", "language", "stars",
+        "quality_score", "health_score",
+    )
+
+
 def embed_text(spark, d):
     """Customer description, then the names of the parts as signatures."""
     orders, lines = W.table(spark, d, "orders"), W.table(spark, d, "lineitem")
@@ -415,10 +440,10 @@ REGISTERED = {
         rank_jobs, lite_scores, lite_rank, search_candidates,
         code_signatures, file_counts, first_signatures, dominant_language, code_metrics,
         analyzed_files, document_lines, contributor_stats, assembled_repos,
-        minhash, band_keys, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,
+        minhash, band_keys, bucket_flags, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,
         embed_hashing, semantic_cache, cached_job, search_split, vector_json,
         latest_status, job_status, last_write, insert_if_absent, orphan_results,
         referenced_results, job_manifest, result_counts, fetch_results, present_results,
-        keywords, encoded_queries, embed_text, path_functions,
+        keywords, encoded_queries, token_counts, lite_results, embed_text, path_functions,
     )
 }
