@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, a: str, b: str, floor: int = HOT_FLOO
     current = written(pairs.filter("a <> b").distinct())
     state = _state(current)
     while state.open:
-        larger = _large_star(current, state.rows, floor).distinct()
+        larger = _large_star(current, state.rows, floor)  # at most one row per edge
         current = written(_small_star(larger, state.rows, floor).distinct())
         state = _state(current)
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

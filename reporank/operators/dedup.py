@@ -15,16 +15,16 @@ def _scoped(text, by):
     return text if by is None else F.md5(F.concat_ws(":", F.col(by).cast("string"), text))
 
 
-def _print(fingerprint, by):
-    """Short stand-in for a whole fingerprint, cheap to group and sort by."""
-    return _scoped(F.md5(F.array_join(F.col(fingerprint).cast("array<string>"), ",")), by)
-
-
 def _buckets(fingerprint, by):
     keys = M.band_keys(fingerprint)
     return keys if by is None else F.transform(keys, lambda key: _scoped(key, by))
 
 
+def _print(buckets):
+    """Short stand-in for a whole fingerprint: equal when all its band keys are."""
+    return F.md5(F.array_join(buckets, ""))
+
+
 def _rank(key, stars):
     """Order of keeping: most stars, then the smaller key; the smallest rank is kept."""
     return F.struct((-F.coalesce(F.col(stars), F.lit(0))).alias("low"), F.col(key).alias("id"))
@@ -63,11 +63,9 @@ def _representatives(df, key, fingerprint, stars, by=None):
     Exact copies share every bucket, so only the best copy needs linking to others.
     """
     usable = df.filter(M.has_tokens(fingerprint)).select(
-        _print(fingerprint, by).alias("print"),
-        _rank(key, stars).alias("rank"),
-        _buckets(fingerprint, by).alias("buckets"),
+        _rank(key, stars).alias("rank"), _buckets(fingerprint, by).alias("buckets")
     )
-    return usable.groupBy("print").agg(
+    return usable.groupBy(_print("buckets").alias("print")).agg(
         F.min("rank").alias("rank"), F.first("buckets").alias("buckets")
     )
 
@@ -120,7 +118,7 @@ def candidate_pairs(
 def _copies(df, best, key, fingerprint, floor):
     """Links from each exact copy to the best copy of its fingerprint."""
     rows = df.filter(M.has_tokens(fingerprint)).select(
-        F.col(key).alias("duplicate"), _print(fingerprint, None).alias("print")
+        F.col(key).alias("duplicate"), _print(M.band_keys(fingerprint)).alias("print")
     )
     sizes = rows.groupBy("print").agg(F.count("*").alias("size")).filter("size > 1")
     lookup = sizes.join(best.select("print", F.col("rank.id").alias("keeper")), "print")

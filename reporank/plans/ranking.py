@@ -102,13 +102,13 @@ def rank_jobs(
     """Best ``k`` repositories of every job, all jobs in one plan.
 
     ``repos`` carries ``job_id`` and ``embedding``; ``queries`` has one
-    ``(job_id, embedding)`` per job. Each job is deduplicated, normalized and cut
+    ``(job_id, embedding)`` per job (without it, relevance is 0). Each job is deduplicated, normalized and cut
     to ``k`` by itself, and a job may hold most of the rows: its vector and its
     bounds are looked up by broadcast, and its best rows are cut in every task.
     """
     sizes = repos.groupBy("job_id").agg(F.count("*").alias("_size"))
     asked = queries.select("job_id", F.col("embedding").alias("_asked"))
-    paired = join_lookup(repos, sizes.join(asked, "job_id"), ["job_id"], "_size")
+    paired = join_lookup(repos, sizes.join(asked, "job_id", "left"), ["job_id"], "_size")
     staged = paired.withColumn("_cosine", cosine_rows("embedding", "_asked"))
     scored = staged.withColumns(
         {

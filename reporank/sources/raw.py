@@ -74,8 +74,8 @@ def read_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 def write_raw(repos: DataFrame, path: str) -> None:
     """One JSON object per repository below ``path/job_id=<job>``; reruns replace only
-    the jobs they contain."""
-    writer = repos.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    the jobs they contain. Rows of a job are brought together, big jobs in several files."""
+    writer = repos.hint("rebalance", "job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("job_id").json(path)
 
 

@@ -19,11 +19,14 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         raise
 
 
-def _append_absent(new, path, schema, key):
+def _append_absent(new, path, schema, key, job_id=None):
+    """Append the rows whose key the table lacks, sorted so that files can be skipped by key."""
     existing = read_or_empty(new.sparkSession, path, schema)
+    if job_id is not None:
+        existing = existing.filter(F.col("job_id") == job_id)
     order = [F.col(c) for c in schema.names if c not in ("id", "created_at", "embedding")]
     rows = insert_if_absent(new.select(*schema.names), existing, key, order)
-    rows.write.mode("append").parquet(path)
+    rows.sortWithinPartitions(*key).write.mode("append").parquet(path)
 
 
 def save_queries(queries: DataFrame, queries_path: str, events_path: str, at) -> None:
@@ -72,7 +75,7 @@ def write_results(ranked: DataFrame, path: str, job_id=None, n: int = fixed.TOP_
     """Append the best ``n`` rows per job; rows a job already has stay as they are."""
     rows = result_rows(ranked, job_id)
     best = top(rows, n, "composite_score", "repo_full_name", None if job_id else "job_id")
-    _append_absent(best, path, schemas.RESULTS, ["job_id", "repo_full_name"])
+    _append_absent(best, path, schemas.RESULTS, ["job_id", "repo_full_name"], job_id)
 
 
 def write_table(df: DataFrame, path: str) -> None:
