@@ -10,19 +10,29 @@ from reporank.operators.skew import HOT_FLOOR, join_lookup
 from reporank.session import written
 
 
-def _scoped(text, by):
-    """Hash text that only meets equal text of the same batch."""
-    return text if by is None else F.md5(F.concat_ws(":", F.col(by).cast("string"), text))
+def _hash(values, by):
+    """Two 64-bit hashes: a stand-in for ``values``, only equal within one batch."""
+    scope = [] if by is None else [F.col(by)]
+    return [F.xxhash64(F.lit(seed), *scope, *values) for seed in (1, 2)]
 
 
-def _buckets(fingerprint, by):
-    keys = M.band_keys(fingerprint)
-    return keys if by is None else F.transform(keys, lambda key: _scoped(key, by))
+def _print(fingerprint, by):
+    x, y = _hash([F.col(fingerprint)], by)
+    return F.struct(x.alias("x"), y.alias("y"))
+
 
+def _buckets(fingerprint, by):
+    """Struct ``x0, y0, ... x15, y15``: per band, what its eight minima hash to.
 
-def _print(buckets):
-    """Short stand-in for a whole fingerprint: equal when all its band keys are."""
-    return F.md5(F.array_join(buckets, ""))
+    Plain numbers, as they sort and shuffle faster than text keys.
+    """
+    fields = []
+    for band in range(fixed.NUM_BANDS):
+        first = band * fixed.BAND_ROWS
+        minima = [F.get(fingerprint, F.lit(first + i)) for i in range(fixed.BAND_ROWS)]
+        x, y = _hash(minima, by)
+        fields += [x.alias(f"x{band}"), y.alias(f"y{band}")]
+    return F.struct(*fields)
 
 
 def _rank(key, stars):
@@ -30,10 +40,15 @@ def _rank(key, stars):
     return F.struct((-F.coalesce(F.col(stars), F.lit(0))).alias("low"), F.col(key).alias("id"))
 
 
+BUCKET = ["band", "x", "y"]
+
+
 def _memberships(rows):
     """One row per band of every row of ``(rank, buckets)``."""
-    spread = rows.select("rank", F.posexplode("buckets").alias("band", "hash"))
-    return spread.select("rank", "band", F.unhex("hash").alias("bucket"))
+    fields = []
+    for band in range(fixed.NUM_BANDS):
+        fields += [F.lit(band), F.col("buckets")[f"x{band}"], F.col("buckets")[f"y{band}"]]
+    return rows.select("rank", F.stack(F.lit(fixed.NUM_BANDS), *fields).alias(*BUCKET))
 
 
 def _keepers(members):
@@ -42,7 +57,7 @@ def _keepers(members):
     The aggregate starts in every task, so a bucket that holds a third of all
     repos still sends one row per task.
     """
-    return members.groupBy("band", "bucket").agg(
+    return members.groupBy(*BUCKET).agg(
         F.min("rank").alias("keeper"), F.count("*").alias("size")
     )
 
@@ -63,9 +78,11 @@ def _representatives(df, key, fingerprint, stars, by=None):
     Exact copies share every bucket, so only the best copy needs linking to others.
     """
     usable = df.filter(M.has_tokens(fingerprint)).select(
-        _rank(key, stars).alias("rank"), _buckets(fingerprint, by).alias("buckets")
+        _print(fingerprint, by).alias("print"),
+        _rank(key, stars).alias("rank"),
+        _buckets(fingerprint, by).alias("buckets"),
     )
-    return usable.groupBy(_print("buckets").alias("print")).agg(
+    return usable.groupBy("print").agg(
         F.min("rank").alias("rank"), F.first("buckets").alias("buckets")
     )
 
@@ -79,10 +96,10 @@ def bucket_flags(
     sorted, or even to fit, in one task.
     """
     rows = df.filter(M.has_tokens(fingerprint)).select(
-        _rank(key, stars).alias("rank"), M.band_keys(fingerprint).alias("buckets")
+        _rank(key, stars).alias("rank"), _buckets(fingerprint, None).alias("buckets")
     )
     members = _memberships(rows)
-    linked = join_lookup(members, _keepers(members), ["band", "bucket"], "size", floor)
+    linked = join_lookup(members, _keepers(members), BUCKET, "size", floor)
     return linked.select(
         F.col("rank.id").alias(key), "band", (F.col("rank") != F.col("keeper")).alias("is_duplicate")
     )
@@ -92,7 +109,7 @@ def _bucket_links(best, floor):
     """Every representative linked to the keeper of each bucket it does not win."""
     members = _memberships(best)
     shared = _keepers(members).filter("size > 1")
-    linked = join_lookup(members, shared, ["band", "bucket"], "size", floor)
+    linked = join_lookup(members, shared, BUCKET, "size", floor)
     return linked.filter("rank <> keeper")
 
 
@@ -118,7 +135,7 @@ def candidate_pairs(
 def _copies(df, best, key, fingerprint, floor):
     """Links from each exact copy to the best copy of its fingerprint."""
     rows = df.filter(M.has_tokens(fingerprint)).select(
-        F.col(key).alias("duplicate"), _print(M.band_keys(fingerprint)).alias("print")
+        F.col(key).alias("duplicate"), _print(fingerprint, None).alias("print")
     )
     sizes = rows.groupBy("print").agg(F.count("*").alias("size")).filter("size > 1")
     lookup = sizes.join(best.select("print", F.col("rank.id").alias("keeper")), "print")
