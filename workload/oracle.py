@@ -461,9 +461,9 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         "score_breakdown": scored
         + """SELECT full_name, relevance_score AS relevance, quality_score AS quality,
             health_score AS health,
-            round(coalesce(test_file_ratio, 0), 6) AS test_file_ratio,
-            round(coalesce(error_handling_density, 0), 6) AS error_handling_density,
-            round(coalesce(issue_close_rate, 0), 6) AS issue_close_rate,
+            coalesce(test_file_ratio, 0) AS test_file_ratio,
+            coalesce(error_handling_density, 0) AS error_handling_density,
+            coalesce(issue_close_rate, 0) AS issue_close_rate,
             coalesce(public_api_count, 0) AS public_api_count,
             coalesce(commit_recency, 0) AS commit_recency_days,
             coalesce(contributor_count, 0) AS contributor_count FROM scored""",
@@ -491,9 +491,9 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
             _tokens("source", "repo", "line"), _murmur(128), MINIMA,
         )
         + """SELECT repo, signatures, public_api_count,
-            round(CASE WHEN total_files > 0 THEN test_files::DOUBLE / total_files ELSE 0e0 END, 9)
+            CASE WHEN total_files > 0 THEN test_files::DOUBLE / total_files ELSE 0e0 END
               AS test_file_ratio,
-            round(CASE WHEN total_lines > 0 THEN error_lines::DOUBLE / total_lines ELSE 0e0 END, 9)
+            CASE WHEN total_lines > 0 THEN error_lines::DOUBLE / total_lines ELSE 0e0 END
               AS error_handling_density,
             array_to_string(coalesce(fp, list_transform(range(128), lambda i: 4294967295)), ',')
               AS fingerprint,
@@ -508,7 +508,7 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
             AS line FROM documents) GROUP BY doc_id""",
         "contributor_stats": _with(STATS)
         + """SELECT repo, contributor_count, trunc(days)::BIGINT AS commit_recency,
-            round(rate, 9) AS issue_close_rate FROM stats""",
+            rate AS issue_close_rate FROM stats""",
         "assembled_repos": _with(REPOS, CODE, FILES, LANGUAGE, TOTALS, STATS)
         + """SELECT full_name, url, description, r.language, stars, forks, t.total_lines,
             d.language AS code_language, s.contributor_count,

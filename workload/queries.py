@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reporank import fixed
+from reporank import schemas
 from reporank.functions import minhash as M
 from reporank.functions import scores as S
 from reporank.functions import text as T
@@ -97,14 +97,8 @@ def composite_by_job(spark, d):
 
 def score_breakdown(spark, d):
     b = F.col("score_breakdown")
-    rounded = ["test_file_ratio", "error_handling_density", "issue_close_rate"]
-    whole = ["public_api_count", "commit_recency_days", "contributor_count"]
-    return _scored(spark, d).select(
-        "full_name",
-        *[b[n].alias(n) for n in ("relevance", "quality", "health")],
-        *[F.round(b[n], 6).alias(n) for n in rounded],
-        *[b[n].alias(n) for n in whole],
-    )
+    parts = schemas.BREAKDOWN.names[:9]
+    return _scored(spark, d).select("full_name", *[b[n].alias(n) for n in parts])
 
 
 def rank_repos(spark, d):
@@ -180,8 +174,8 @@ def _metrics(records):
         "repo",
         F.array_join(ast["function_signatures"], ",").alias("signatures"),
         ast["public_api_count"].alias("public_api_count"),
-        F.round(ast["test_file_ratio"], 9).alias("test_file_ratio"),
-        F.round(ast["error_handling_density"], 9).alias("error_handling_density"),
+        ast["test_file_ratio"].alias("test_file_ratio"),
+        ast["error_handling_density"].alias("error_handling_density"),
         F.array_join(ast["minhash_fingerprint"].cast("array<string>"), ",").alias("fingerprint"),
         ast["total_files"].alias("total_files"),
         ast["total_lines"].alias("total_lines"),
@@ -213,7 +207,7 @@ def contributor_stats(spark, d):
         "repo",
         "contributor_stats.contributor_count",
         "contributor_stats.commit_recency",
-        F.round("contributor_stats.issue_close_rate", 9).alias("issue_close_rate"),
+        "contributor_stats.issue_close_rate",
     )
 
 
