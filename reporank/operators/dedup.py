@@ -159,7 +159,7 @@ def cluster_keepers(
     links = _bucket_links(best, floor).select(
         F.col("keeper.id").alias("a"), F.col("rank.id").alias("b")
     )
-    clusters = connected_components(links, "a", "b", floor)
+    clusters = connected_components(links, "a", "b")
     return (
         best.select("rank", F.col("rank.id").alias("node"))
         .join(clusters, "node", "left")

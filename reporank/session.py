@@ -22,13 +22,24 @@ def scratch_root(spark) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def written_at(df):
+    """Write ``df`` as a table in the shared folder; the table read back, and its path."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/reporank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df):
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage once and for all: a lost executor costs a re-read, not a
     re-run, and the plan is executed once (a checkpoint would run it twice).
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/reporank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df)[0]
+
+
+def dropped(spark, path):
+    """Delete a table of ``written_at`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
