@@ -2,9 +2,12 @@
 
 import sys
 import types
+import uuid
 
 from pyspark.sql import functions as F
 
+from reporank.session import dropped, scratch_root
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,3 +41,21 @@ def worker_wide(name, make):
     return getattr(held, name)
 
 
+
+
+def bucketed(df, key, partitions):
+    """Write `df` to the shared folder in buckets of `key`, one per shuffle partition.
+
+    Joins on the key then read the table where it lies instead of shuffling it. Returns the
+    table and a function that deletes it.
+    """
+    spark, name = df.sparkSession, f"reporank_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    spread = df.write.bucketBy(partitions, key).option("path", path).option("compression", "zstd")
+    spread.saveAsTable(name)
+
+    def delete():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        dropped(spark, path)
+
+    return spark.table(name), delete

@@ -33,6 +33,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+# The patterns of the secret scan, as RE2 reads them.
+SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "AKIA[A-Z0-9]+", 20),
+    ("hex", "[0-9a-f]{24,}", 24),
+    ("long", "[A-Za-z0-9+/_-]{20,}", 20),
+)
 
+
+def _secrets():
+    def quoted(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    kinds = " UNION ALL ".join(
+        f"""SELECT n, doc_id, source, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, {quoted(pattern)}) AS hits,
+          string_split_regex(text, {quoted(pattern)}) AS gaps FROM d WHERE regexp_matches(text, {quoted(pattern)})"""
+        for kind, pattern, least in SECRETS
+    )
+    return f"""WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+m AS MATERIALIZED ({kinds}),
+s AS (
+  SELECT n, doc_id, source, kind, least, hits[i] AS hit,
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS a
+  FROM m, unnest(range(1, len(hits) + 1)) AS r(i)),
+v AS MATERIALIZED (
+  SELECT *, a + length(hit) AS z,
+    CASE WHEN kind = 'assign' THEN regexp_extract(hit, {quoted(SECRETS[0][1])}, 2) ELSE hit END AS val FROM s),
+k AS MATERIALIZED (SELECT * FROM v WHERE length(val) >= least),
+f AS (
+  SELECT val, count(DISTINCT coalesce(source, chr(1))) > 1 OR count(DISTINCT doc_id) > 8 AS copied,
+    bool_or(regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
+      AND len(list_distinct(regexp_extract_all(val, '.'))) >= 10) AS random
+  FROM k GROUP BY val),
+j AS (
+  SELECT n, a::BIGINT AS a, z::BIGINT AS z,
+    CASE WHEN kind <> 'long' THEN kind WHEN copied THEN 'copied' WHEN random THEN 'owned' ELSE 'unclear' END AS kind
+  FROM k JOIN f USING (val)),
+o AS (
+  SELECT *, list_position(['assign', 'access', 'hex', 'owned', 'copied'], kind) AS rank,
+    kind || ':' || a::VARCHAR || ':' || z::VARCHAR AS one FROM j WHERE kind <> 'unclear'),
+g AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, string_agg(one, ',' ORDER BY a, rank) FILTER (rank <= 3) AS base,
+    string_agg(one, ',' ORDER BY a, rank) AS spans FROM o GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)"""
+
+
+#: Fingerprints need XXH64, which DuckDB lacks; no twin for op4.
 def statements():
-    return {"op2_exact_dedup": EXACT, "op7_decontamination": LEAKS}
+    return {"op2_exact_dedup": EXACT, "op7_decontamination": LEAKS, "op10_secret_scan": _secrets()}
