@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reporank.llm.bpe import content_digest, word_ids
+from reporank.session import written
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -91,6 +92,7 @@ def count_tokens(
     missing = distinct.join(_stored(spark, cache, version), "digest", "left_anti")
     missing.mapInArrow(_encoder(tokenizer, version), CACHE).write.mode("append").parquet(cache)
     keyed = rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return keyed.join(_stored(spark, cache, version), "digest").select(
+    counts = written(_stored(spark, cache, version))  # so that the join can split a digest many share
+    return keyed.join(counts, "digest").select(
         F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
