@@ -181,7 +181,8 @@ def _compared(members, similarity):
 def _similar(lines, partitions, similarity, rows, bands, held):
     """Edges between similar lines of the bucketed table `lines`."""
     keyed = _keyed(lines, rows, bands)
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join below can split a key that very many share
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = keyed.join(shared, "key")
     parts = F.ceil(F.col("n") / held).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
@@ -224,7 +225,7 @@ def line_groups(
     slim = slim.filter("n > 1 OR component IS NOT NULL")
     slim = written(slim.select("id", "first", F.coalesce("component", "id").alias("component")))
     place = F.struct("first.doc_id", "first.line")
-    keepers = slim.groupBy("component").agg(F.min(place).alias("keep"))
+    keepers = written(slim.groupBy("component").agg(F.min(place).alias("keep")))
     kept = slim.join(keepers, "component").select(
         "id", F.col("first.check").alias("check"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")
     )

@@ -360,19 +360,20 @@ def _windows(members, length):
 def _repeated_ranges(texts, length, gram, held):
     """(id, start, n): runs of n windows from `start` on that occur more than once."""
     all_ = _stretch_rows(texts, length, gram)
-    counts = all_.groupBy("key").agg(F.sum("copies").alias("places")).filter("places > 1").select("key")
+    # written, so that the join below can split a minimizer that very many stretches have
+    counts = written(all_.groupBy("key").agg(F.sum("copies").alias("places")).filter("places > 1").select("key"))
     shared = written(all_.join(counts, "key"))
     contents = shared.groupBy("key", "content").agg(
         F.sum("copies").alias("weight"), F.min(F.struct("id", "start", "n", "at")).alias("one")
     )
     contents = written(contents.select("key", "content", "weight", "one.*"))
     mixed_keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("weight").alias("least"))
-    mixed_keys = mixed_keys.filter("m > 1 AND least = 1").select("key", "m")
+    mixed_keys = written(mixed_keys.filter("m > 1 AND least = 1").select("key", "m"))
     open_ = written(_with_bytes(contents.join(mixed_keys, "key"), texts, length))
     few, many = open_.filter(F.col("m") <= held), open_.filter(F.col("m") > held)
     sorted_ = _sorted_groups(few.repartition("key").sortWithinPartitions("key"), length)
     windows = _windows(many, length)
-    twice = windows.groupBy("window").agg(F.sum("weight").alias("w")).filter("w > 1").select("window")
+    twice = written(windows.groupBy("window").agg(F.sum("weight").alias("w")).filter("w > 1").select("window"))
     cut = windows.join(twice, "window").select("key", "content", "skip", F.lit(1).cast("long").alias("n"))
     whole = contents.filter("weight > 1").select(
         "key", "content", F.lit(0).cast("long").alias("skip"), F.col("n").cast("long").alias("n")
