@@ -52,15 +52,15 @@ LANGUAGES = {
 }
 
 # Line patterns, written for both java.util.regex and RE2.
-# [\t\n\f\r ] and [0-9A-Za-z_] are what \s and \w mean in RE2.
-PY_FUNCTION = r"^def[\t\n\f\r ]+([a-zA-Z_][0-9A-Za-z_]*)[\t\n\f\r ]*\("
-GO_FUNCTION = r"^func[\t\n\f\r ]+([0-9A-Za-z_]+)[\t\n\f\r ]*\("
+# [\t\n\f\r ] is what \s means in RE2; Java's has the vertical tab too.
+PY_FUNCTION = r"^def[\t\n\f\r ]+([a-zA-Z_]\w*)[\t\n\f\r ]*\("
+GO_FUNCTION = r"^func[\t\n\f\r ]+(\w+)[\t\n\f\r ]*\("
 JS_FUNCTION = (
-    r"(?:function[\t\n\f\r ]+([0-9A-Za-z_]+)"
-    r"|const[\t\n\f\r ]+([0-9A-Za-z_]+)[\t\n\f\r ]*=[\t\n\f\r ]*(?:async[\t\n\f\r ]*)?\()"
+    r"(?:function[\t\n\f\r ]+(\w+)"
+    r"|const[\t\n\f\r ]+(\w+)[\t\n\f\r ]*=[\t\n\f\r ]*(?:async[\t\n\f\r ]*)?\()"
 )
 JAVA_FUNCTION = (
-    r"(?:public|protected)[\t\n\f\r ]+[0-9A-Za-z_]+[\t\n\f\r ]+([0-9A-Za-z_]+)[\t\n\f\r ]*\("
+    r"(?:public|protected)[\t\n\f\r ]+\w+[\t\n\f\r ]+(\w+)[\t\n\f\r ]*\("
 )
 GO_ERROR = "if err != nil"
 PY_ERROR = r"except[\t\n\f\r ]+"

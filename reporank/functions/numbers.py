@@ -24,8 +24,15 @@ def _text(value, digits):
 
 
 def round_even(value, digits: int) -> Column:
-    """Nearest number of ``digits`` decimals, exact ties to the even one."""
-    return _text(value, digits).cast("double") + F.lit(0.0)
+    """Nearest number of ``digits`` decimals, exact ties to the even one.
+
+    Arithmetic decides, except next to a tie, where scaling may have rounded: there, and for
+    numbers too large to scale, the decimal text does.
+    """
+    scaled = value * 10.0**digits
+    unsure = (F.abs(F.pmod(scaled, F.lit(1.0)) - 0.5) < 1e-6) | ~(F.abs(scaled) < 1e9)
+    exact = F.rint(scaled) / F.lit(10.0**digits)
+    return F.when(unsure, _text(value, digits).cast("double")).otherwise(exact) + F.lit(0.0)
 
 
 def _lifted(value, digits):

@@ -1,7 +1,5 @@
 """String expressions: tokens, keywords, embedding text, paths."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,9 +91,3 @@ def sanitize(name) -> Column:
 def job_path(root, *parts) -> Column:
     """Slash-joined path below ``root``."""
     return F.concat_ws("/", F.lit(root), *[_col(p) for p in parts])
-
-
-def matches_all(text, words) -> Column:
-    """True when ``text`` contains every one of ``words`` (case-insensitive)."""
-    low = F.lower(_col(text))
-    return reduce(lambda a, b: a & b, [low.contains(w) for w in words], F.lit(True))

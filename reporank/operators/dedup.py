@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from reporank import fixed
 from reporank.functions import minhash as M
 from reporank.operators.components import connected_components
-from reporank.operators.skew import HOT_FLOOR, join_lookup
+from reporank.operators.skew import join_lookup
 from reporank.session import written
 
 
@@ -35,20 +35,52 @@ def _buckets(fingerprint, by):
     return F.struct(*fields)
 
 
-def _rank(key, stars):
-    """Order of keeping: most stars, then the smaller key; the smallest rank is kept."""
-    return F.struct((-F.coalesce(F.col(stars), F.lit(0))).alias("low"), F.col(key).alias("id"))
+BUCKET = ["band", "x", "y"]
 
 
-BUCKET = ["band", "x", "y"]
+def _usable(df, key, fingerprint, stars, by=None):
+    """``(low, id, print, buckets)`` of the rows that can be duplicates.
+
+    Kept first: most stars, then the smaller key, so the smallest ``(low, id)``.
+    """
+    return df.filter(M.has_tokens(fingerprint)).select(
+        (-F.coalesce(F.col(stars), F.lit(0))).alias("low"),
+        F.col(key).alias("id"),
+        _print(fingerprint, by).alias("print"),
+        _buckets(fingerprint, by).alias("buckets"),
+    )
+
+
+def _numbered(rows):
+    """``rows`` with ``no``, a number that grows in keeping order; written once.
+
+    From here on the best of several is the smallest number: one long, which hash
+    aggregates handle, and names travel with none of the sixteen band rows.
+    """
+    order = ["low", "id"]
+    ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranked.withColumn("no", F.monotonically_increasing_id()))
 
 
-def _memberships(rows):
-    """One row per band of every row of ``(rank, buckets)``."""
+def _representatives(df, key, fingerprint, stars, by=None):
+    """One numbered row per distinct fingerprint: that of its best repo.
+
+    Exact copies share every bucket, so only the best copy needs linking to others.
+    """
+    best = (
+        _usable(df, key, fingerprint, stars, by)
+        .groupBy("print")
+        .agg(F.min(F.struct("low", "id")).alias("rank"), F.first("buckets").alias("buckets"))
+    )
+    return _numbered(best.select("rank.*", "print", "buckets"))
+
+
+def _memberships(rows, *columns):
+    """One row per band of every row of ``(no, buckets)``."""
     fields = []
     for band in range(fixed.NUM_BANDS):
         fields += [F.lit(band), F.col("buckets")[f"x{band}"], F.col("buckets")[f"y{band}"]]
-    return rows.select("rank", F.stack(F.lit(fixed.NUM_BANDS), *fields).alias(*BUCKET))
+    return rows.select("no", *columns, F.stack(F.lit(fixed.NUM_BANDS), *fields).alias(*BUCKET))
 
 
 def _keepers(members):
@@ -57,64 +89,40 @@ def _keepers(members):
     The aggregate starts in every task, so a bucket that holds a third of all
     repos still sends one row per task.
     """
-    return members.groupBy(*BUCKET).agg(
-        F.min("rank").alias("keeper"), F.count("*").alias("size")
-    )
+    return members.groupBy(*BUCKET).agg(F.min("no").alias("keeper"), F.count("*").alias("size"))
 
 
 def band_winners(
     df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", by=None
 ) -> DataFrame:
     """Keys that win at least one bucket: those the per-bucket rule lets through."""
-    rows = df.filter(M.has_tokens(fingerprint)).select(
-        _rank(key, stars).alias("rank"), _buckets(fingerprint, by).alias("buckets")
-    )
-    return _keepers(_memberships(rows)).select(F.col("keeper.id").alias(key)).distinct()
+    rows = _numbered(_usable(df, key, fingerprint, stars, by).drop("print"))
+    won = _keepers(_memberships(rows)).select(F.col("keeper").alias("no")).distinct()
+    return rows.select("no", F.col("id").alias(key)).join(won, "no", "left_semi").select(key)
 
 
-def _representatives(df, key, fingerprint, stars, by=None):
-    """``(print, rank, buckets)`` per distinct fingerprint; rank is that of its best repo.
-
-    Exact copies share every bucket, so only the best copy needs linking to others.
-    """
-    usable = df.filter(M.has_tokens(fingerprint)).select(
-        _print(fingerprint, by).alias("print"),
-        _rank(key, stars).alias("rank"),
-        _buckets(fingerprint, by).alias("buckets"),
-    )
-    return usable.groupBy("print").agg(
-        F.min("rank").alias("rank"), F.first("buckets").alias("buckets")
-    )
-
-
-def bucket_flags(
-    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", floor=HOT_FLOOR
-) -> DataFrame:
+def bucket_flags(df, key="full_name", fingerprint="minhash_fingerprint", stars="stars") -> DataFrame:
     """``(key, band, is_duplicate)``: per bucket, every repo but the keeper is flagged.
 
     Each row compares itself to its bucket's keeper, so no bucket has to be
     sorted, or even to fit, in one task.
     """
-    rows = df.filter(M.has_tokens(fingerprint)).select(
-        _rank(key, stars).alias("rank"), _buckets(fingerprint, None).alias("buckets")
-    )
-    members = _memberships(rows)
-    linked = join_lookup(members, _keepers(members), BUCKET, "size", floor)
-    return linked.select(
-        F.col("rank.id").alias(key), "band", (F.col("rank") != F.col("keeper")).alias("is_duplicate")
-    )
+    rows = _numbered(_usable(df, key, fingerprint, stars).drop("print"))
+    linked = join_lookup(_memberships(rows, "id"), _keepers(_memberships(rows)), BUCKET, "size")
+    flag = F.col("no") != F.col("keeper")
+    return linked.select(F.col("id").alias(key), "band", flag.alias("is_duplicate"))
 
 
-def _bucket_links(best, floor):
+def _bucket_links(best):
     """Every representative linked to the keeper of each bucket it does not win."""
     members = _memberships(best)
     shared = _keepers(members).filter("size > 1")
-    linked = join_lookup(members, shared, BUCKET, "size", floor)
-    return linked.filter("rank <> keeper")
+    linked = join_lookup(members, shared, BUCKET, "size")
+    return linked.filter("no <> keeper").select("keeper", "no")
 
 
 def candidate_pairs(
-    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", floor=HOT_FLOOR
+    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars"
 ) -> DataFrame:
     """``(keeper, duplicate, bands)``: every repo linked to the keeper of its buckets.
 
@@ -123,50 +131,43 @@ def candidate_pairs(
     Copies of one fingerprint hang on the best copy with all 16 bands. The
     representatives are written once, as several steps read them.
     """
-    best = written(_representatives(df, key, fingerprint, stars))
-    links = (
-        _bucket_links(best, floor)
-        .groupBy(F.col("keeper.id").alias("keeper"), F.col("rank.id").alias("duplicate"))
-        .agg(F.count("*").alias("bands"))
+    best = _representatives(df, key, fingerprint, stars)
+    linked = written(_bucket_links(best).groupBy("keeper", "no").agg(F.count("*").alias("bands")))
+    names = best.select(F.col("no").alias("n"), F.col("id").alias("duplicate"))
+    led = linked.groupBy("keeper").agg(F.count("*").alias("size"))
+    leaders = led.join(names, led["keeper"] == names["n"]).select(
+        "keeper", F.col("duplicate").alias("leader"), "size"
     )
-    return links.unionByName(_copies(df, best, key, fingerprint, floor))
+    links = join_lookup(linked, leaders, ["keeper"], "size").join(names, F.col("no") == F.col("n"))
+    links = links.select(F.col("leader").alias("keeper"), "duplicate", "bands")
+    return links.unionByName(_copies(df, best, key, fingerprint))
 
 
-def _copies(df, best, key, fingerprint, floor):
+def _copies(df, best, key, fingerprint):
     """Links from each exact copy to the best copy of its fingerprint."""
     rows = df.filter(M.has_tokens(fingerprint)).select(
         F.col(key).alias("duplicate"), _print(fingerprint, None).alias("print")
     )
     sizes = rows.groupBy("print").agg(F.count("*").alias("size")).filter("size > 1")
-    lookup = sizes.join(best.select("print", F.col("rank.id").alias("keeper")), "print")
+    lookup = sizes.join(best.select("print", F.col("id").alias("keeper")), "print")
     return (
-        join_lookup(rows, lookup, ["print"], "size", floor)
+        join_lookup(rows, lookup, ["print"], "size")
         .filter("duplicate <> keeper")
         .select("keeper", "duplicate", F.lit(fixed.NUM_BANDS).cast("long").alias("bands"))
     )
 
 
 def cluster_keepers(
-    df,
-    key="full_name",
-    fingerprint="minhash_fingerprint",
-    stars="stars",
-    by=None,
-    floor=HOT_FLOOR,
+    df, key="full_name", fingerprint="minhash_fingerprint", stars="stars", by=None
 ) -> DataFrame:
-    """Keys kept when each connected cluster of bucket mates keeps its best repo."""
-    best = written(_representatives(df, key, fingerprint, stars, by))
-    links = _bucket_links(best, floor).select(
-        F.col("keeper.id").alias("a"), F.col("rank.id").alias("b")
-    )
-    clusters = connected_components(links, "a", "b")
-    return (
-        best.select("rank", F.col("rank.id").alias("node"))
-        .join(clusters, "node", "left")
-        .groupBy(F.coalesce("component", "node"))
-        .agg(F.min("rank").alias("keeper"))
-        .select(F.col("keeper.id").alias(key))
-    )
+    """Keys kept when each connected cluster of bucket mates keeps its best repo.
+
+    The best repo has the smallest number, which is what a component is named by.
+    """
+    best = _representatives(df, key, fingerprint, stars, by)
+    clusters = connected_components(_bucket_links(best), "keeper", "no")
+    others = clusters.filter("node <> component").select(F.col("node").alias("no"))
+    return best.select("no", F.col("id").alias(key)).join(others, "no", "left_anti").select(key)
 
 
 def dedup(
@@ -176,23 +177,21 @@ def dedup(
     fingerprint: str = "minhash_fingerprint",
     stars: str = "stars",
     by: str | None = None,
-    floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """``df`` with ``is_duplicate``; ``key`` is unique over all rows.
 
     With ``by``, only rows of the same batch are compared.
 
-    ``any_band`` drops a repo that wins none of its 16 buckets (one lazy plan);
-    ``cluster`` keeps one repo per connected cluster (runs its rounds at once).
+    ``any_band`` drops a repo that wins none of its 16 buckets; ``cluster`` keeps one
+    repo per connected cluster. Both write the numbered repos, ``cluster`` its rounds
+    too, before they return.
     Repos without tokens are never duplicates. Equal stars: the smaller key wins.
     """
     if rule not in ("any_band", "cluster"):
         raise ValueError("rule is any_band or cluster")
     slim = df.select(key, fingerprint, stars, *([by] if by else []))
-    if rule == "any_band":
-        kept = band_winners(slim, key, fingerprint, stars, by)
-    else:
-        kept = cluster_keepers(slim, key, fingerprint, stars, by, floor)
+    keepers = band_winners if rule == "any_band" else cluster_keepers
+    kept = keepers(slim, key, fingerprint, stars, by)
     usable = df.withColumn("_usable", M.has_tokens(fingerprint))
     marked = usable.join(kept.withColumn("_kept", F.lit(True)), key, "left")
     return marked.withColumn(

@@ -6,17 +6,6 @@ from pyspark.sql import functions as F
 from reporank.functions.scores import whole_days
 
 
-def contributor_count(commits: DataFrame) -> DataFrame:
-    """Distinct authors per repo; distinct (repo, author) pairs are formed first."""
-    return commits.groupBy("repo").agg(F.count_distinct("author").alias("contributor_count"))
-
-
-def commit_recency(commits: DataFrame, as_of) -> DataFrame:
-    """Full days between the latest commit and ``as_of``."""
-    latest = commits.groupBy("repo").agg(F.max("committed_at").alias("latest"))
-    return latest.select("repo", whole_days("latest", as_of).alias("commit_recency"))
-
-
 def issue_close_rate(issues: DataFrame) -> DataFrame:
     """Share of issues that are closed."""
     closed = F.when(F.col("closed"), 1.0).otherwise(0.0)

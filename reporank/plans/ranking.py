@@ -1,4 +1,8 @@
-"""Full and metadata-only ranking, each as one lazy plan."""
+"""Full and metadata-only ranking.
+
+The full rankings write intermediate tables (numbered repositories, cluster rounds, batch
+sizes) before they return; the final steps are one lazy plan.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,7 +12,7 @@ from reporank.functions import scores as S
 from reporank.functions.text import embedding_text, keywords
 from reporank.functions.vectors import cosine_rows, cosine_to, embed
 from reporank.operators.dedup import dedup
-from reporank.operators.jobs import top
+from reporank.operators.jobs import last_per_key, top
 from reporank.operators.normalize import minmax_normalize
 from reporank.operators.skew import join_lookup
 
@@ -73,15 +77,22 @@ def _batch(repos, rule, key, by=None):
     return minmax_normalize(kept.drop("_print", "is_duplicate"), by)
 
 
+def latest_records(repos: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """One record per repository: the last by ``order``, then by content, which makes it total."""
+    return last_per_key(repos, keys, [*(order or []), F.struct(*repos.columns)])
+
+
 def rank_repos(
     repos: DataFrame,
     query_vector,
     k: int = fixed.TOP_FULL,
     rule: str = "cluster",
     make_encoder=None,
+    order: list | None = None,
 ) -> DataFrame:
     """Best ``k`` repositories for a query vector.
 
+    Of several records under one name the last counts (``order``: columns that tell).
     Duplicates leave before the batch bounds are taken, as they would shift them.
     A given ``embedding`` is scored before the dedup shuffle, so vectors do not
     travel; a missing one is computed after it, for the survivors only.
@@ -89,7 +100,7 @@ def rank_repos(
     given = "embedding" in repos.columns
     if given:
         repos = with_relevance(repos, query_vector).drop("embedding")
-    batch = _batch(repos, rule, "full_name")
+    batch = _batch(latest_records(repos, ["full_name"], order), rule, "full_name")
     if not given:
         batch = with_relevance(with_embedding(batch, make_encoder), query_vector).drop("embedding")
     scored = with_composite(with_health(with_quality(batch)))
@@ -97,9 +108,15 @@ def rank_repos(
 
 
 def rank_jobs(
-    repos: DataFrame, queries: DataFrame, k: int = fixed.TOP_FULL, rule: str = "cluster"
+    repos: DataFrame,
+    queries: DataFrame,
+    k: int = fixed.TOP_FULL,
+    rule: str = "cluster",
+    order: list | None = None,
 ) -> DataFrame:
-    """Best ``k`` repositories of every job, all jobs in one plan.
+    """Best ``k`` repositories of every job, all jobs together.
+
+    Of several records under one name in a job the last counts (``order``: columns that tell).
 
     ``repos`` carries ``job_id`` and ``embedding``; ``queries`` has one
     ``(job_id, embedding)`` per job (without it, relevance is 0). Each job is deduplicated, normalized and cut
@@ -116,6 +133,7 @@ def rank_jobs(
             "_key": F.concat_ws("\n", F.col("job_id").cast("string"), "full_name"),
         }
     ).drop("embedding", "_asked", "_cosine")
+    scored = latest_records(scored, ["_key"], order)
     batch = _batch(scored, rule, "_key", by="job_id").drop("_key")
     ranked = with_composite(with_health(with_quality(batch)))
     return top(ranked, k, "composite_score", "full_name", by="job_id")

@@ -10,10 +10,14 @@ from reporank.operators.jobs import latest_status
 from reporank.operators.nearest import nearest_stored
 
 
-def reusable(stored: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Stored queries whose job is done; all of them without ``events``."""
-    if events is None:
+def reusable(
+    stored: DataFrame, events: DataFrame | None = None, any_status: bool = False
+) -> DataFrame:
+    """Stored queries whose job is done by ``events``; with ``any_status``, all of them."""
+    if any_status:
         return stored
+    if events is None:
+        raise ValueError("give the status events, or any_status=True")
     done = latest_status(events).filter(F.col("status") == "done").select("job_id")
     return stored.join(done, "job_id", "left_semi")
 
@@ -40,14 +44,19 @@ def rejected_queries(incoming: DataFrame) -> DataFrame:
     return incoming.filter(is_blank("text"))
 
 
-def search(incoming: DataFrame, stored: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def search(
+    incoming: DataFrame,
+    stored: DataFrame,
+    events: DataFrame | None = None,
+    any_status: bool = False,
+) -> DataFrame:
     """``(query_id, job_id, cached)`` for every non-blank query.
 
     A query near a reusable stored one gets that job; any other gets a new job
     id, derived from its own id so that a retried task gives the same one.
     """
     asked = valid_queries(incoming)
-    hits = nearest_stored(asked, reusable(stored, events))
+    hits = nearest_stored(asked, reusable(stored, events, any_status))
     fresh = F.sha2(F.col("query_id").cast("string"), 256)
     return asked.join(hits, "query_id", "left").select(
         "query_id",

@@ -1,6 +1,5 @@
 """Reading landed repository records and source trees; writing raw records."""
 
-import json
 import re
 
 import pyarrow as pa
@@ -84,11 +83,6 @@ def manifest(repos: DataFrame) -> DataFrame:
     return repos.groupBy("job_id").agg(F.count("*").alias("count"))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A parquet table with a declared schema."""
-    return spark.read.schema(schema).parquet(path)
-
-
 def _filesystem(path):
     from pyarrow import fs
 
@@ -198,8 +192,3 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 def read_source_lines(spark: SparkSession, root: str, suffixes=None) -> DataFrame:
     return source_lines(read_source_files(spark, root, suffixes))
-
-
-def vector_argument(text: str) -> list[float]:
-    """A query vector given as JSON text."""
-    return [float(x) for x in json.loads(text)]

@@ -4,23 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reporank.sources.raw import CORRUPT, _raw_schema, _tidy, read_options
-from reporank.sources.tables import write_results
 
 
 def stream_repos(spark: SparkSession, path: str) -> DataFrame:
-    """Like ``read_repos``, over files as they land. Scores apply to it unchanged."""
-    raw = spark.readStream.schema(_raw_schema()).options(**read_options()).json(path)
-    return _tidy(raw.filter(F.col(CORRUPT).isNull() | F.col("full_name").isNotNull()))
-
-
-def rank_arrivals(stream: DataFrame, rank, job_id, results_path: str, checkpoint: str):
-    """Rank every micro-batch as one batch and append its results.
+    """Like ``read_repos``, over files as they land.
 
-    ``rank`` maps a batch of records to ranked rows. Rows a job already has are
-    not written again, so a batch replayed after a failure changes nothing.
+    Bounds and best rows are those of a whole job, so records are landed as a table and the
+    job is ranked over it; scores that need no batch apply to the stream unchanged.
     """
-
-    def append(batch, _epoch):
-        write_results(rank(batch), results_path, job_id)
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    raw = spark.readStream.schema(_raw_schema()).options(**read_options()).json(path)
+    return _tidy(raw.filter(F.col(CORRUPT).isNull() | F.col("full_name").isNotNull()))

@@ -313,12 +313,13 @@ pairs AS (
 
 INCOMING = """
 stored AS (SELECT vec_id AS job_id, embedding::DOUBLE[] AS e FROM embeddings),
-incoming AS (
+followed AS (
+  SELECT job_id, e, (job_id + 1) % count(*) OVER () AS next FROM stored),
+incoming AS MATERIALIZED (
   SELECT s.job_id AS query_id,
     list_transform(range(1, len(s.e) + 1), lambda i:
       s.e[i] + f.e[i] * ((s.job_id % 10) / 10e0)) AS e
-  FROM stored s JOIN stored f
-    ON f.job_id = (s.job_id + 1) % (SELECT count(*) FROM stored))"""
+  FROM followed s JOIN stored f ON f.job_id = s.next)"""
 
 
 def _nearest(stored):
@@ -449,6 +450,21 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         "minmax": _with(REPOS, _scaled("repos")) + f"SELECT full_name, {norms} FROM scaled",
         "minmax_by_job": _with(REPOS, _scaled("repos", by="job_id"))
         + f"SELECT job_id, full_name, {norms} FROM scaled",
+        "minmax_by_job_nulls": _with(
+            REPOS,
+            """nulled AS (SELECT * REPLACE (CASE WHEN repo_id % 7 <> 0 THEN job_id END AS job_id)
+              FROM repos)""",
+            _scaled("nulled", by="job_id"),
+        )
+        + f"SELECT job_id, full_name, {norms} FROM scaled",
+        "minmax_text_values": _with(
+            REPOS,
+            """texts AS (SELECT full_name, CASE WHEN repo_id % 5 = 0 THEN NULL
+              ELSE coalesce(total_lines, 0)::DOUBLE END AS v FROM repos),
+            ends AS (SELECT coalesce(min(v), 0) AS lo, coalesce(max(v), 1) AS hi FROM texts)""",
+        )
+        + f"""SELECT full_name, {_even("(v - lo) / CASE WHEN hi = lo THEN 1e0 ELSE hi - lo END")}
+            AS total_lines_norm FROM texts, ends""",
         "quality_score": _with(REPOS, _scaled("repos"))
         + f"SELECT full_name, {QUALITY} AS quality_score FROM scaled",
         "health_score": _with(REPOS)
@@ -469,6 +485,25 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
             coalesce(contributor_count, 0) AS contributor_count FROM scored""",
         "rank_repos": ranked(_cluster(REPOS_RANKED)),
         "rank_repos_any_band": ranked(ANY_BAND),
+        "rank_repos_recrawled": f"SELECT * REPLACE (stars + 7 AS stars) FROM ({ranked(_cluster(REPOS_RANKED))})",
+        "lite_search": _with(REPOS, LITE)
+        + """SELECT 'lite-job' AS job_id, full_name AS repo_full_name, url AS repo_url, stars,
+            quality_score, health_score FROM (SELECT * FROM (SELECT * FROM lite
+              WHERE contains(lower(concat_ws(' ', full_name, description)), 'machinery')
+              ORDER BY stars DESC, full_name LIMIT 20)
+            ORDER BY stars DESC, full_name LIMIT 10)""",
+        "raw_round_trip": _with(REPOS)
+        + """SELECT job_id::VARCHAR AS job_id, full_name, url, description, language, stars, forks,
+            total_lines, public_api_count, contributor_count, commit_recency FROM repos""",
+        "stored_results": scored
+        + f"""SELECT job_id::VARCHAR AS job_id, full_name AS repo_full_name, stars, {SCORES}
+            FROM scored QUALIFY row_number() OVER (
+            PARTITION BY job_id ORDER BY composite_score DESC, full_name) <= 20""",
+        "stored_lite_results": _with(REPOS, LITE)
+        + """SELECT 'lite-job' AS job_id, full_name AS repo_full_name, stars, quality_score,
+            health_score FROM lite ORDER BY stars DESC, full_name LIMIT 10""",
+        "status_log": """SELECT c_custkey::VARCHAR AS job_id,
+            CASE WHEN c_custkey % 3 <> 0 THEN 'done' ELSE 'running' END AS status FROM customer""",
         "lite_scores": _with(REPOS, LITE)
         + f"""SELECT full_name, relevance_score, quality_score, health_score, {LITE_COMPOSITE}
             FROM lite""",
@@ -549,7 +584,7 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
               embedding::DOUBLE[], {QUERY_VECTOR}) DESC, vec_id) = 1 AND similarity >= 0.92""",
         "search_split": _with(
             INCOMING, STATUS,
-            """done AS (SELECT * FROM stored WHERE job_id IN (
+            """done AS MATERIALIZED (SELECT * FROM stored WHERE job_id IN (
               SELECT job_id FROM current WHERE status = 'done'))""",
             _nearest("done"),
         )

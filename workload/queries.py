@@ -1,8 +1,10 @@
 """Registered queries: each runs an operator over whole given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from reporank import schemas
+from reporank import fixed, schemas
 from reporank.functions import minhash as M
 from reporank.functions import scores as S
 from reporank.functions import text as T
@@ -17,9 +19,9 @@ from reporank.plans import ranking as R
 from reporank.plans.records import assemble_repos
 from reporank.plans.results import present, result_count
 from reporank.plans.search import find_cached_job, search
-from reporank.session import written
-from reporank.sources.raw import manifest, source_lines
-from reporank.sources.tables import result_rows
+from reporank.session import scratch_root, written
+from reporank.sources.raw import manifest, read_job_repos, source_lines, write_raw
+from reporank.sources.tables import append_status, read_or_empty, result_rows, write_results
 from workload import views as W
 
 QUESTION = "I need a good MACHINERY library, please!"
@@ -69,6 +71,24 @@ def minmax_by_job(spark, d):
     return scaled.select("job_id", "full_name", "normalized.*")
 
 
+def minmax_by_job_nulls(spark, d):
+    """Every seventh repository belongs to no job; those are a batch of their own."""
+    flat = W.repos(spark, d)
+    flat = flat.withColumn("job_id", F.when(F.col("repo_id") % 7 != 0, F.col("job_id")))
+    scaled = minmax_normalize(W.records(flat), by="job_id")
+    return scaled.select("job_id", "full_name", "normalized.*")
+
+
+def minmax_text_values(spark, d):
+    """Features that arrive as text, some of it no number."""
+    flat = W.repos(spark, d)
+    lines = F.when(F.col("repo_id") % 5 == 0, "n/a").otherwise(F.col("total_lines").cast("string"))
+    scaled = minmax_normalize(
+        flat.select("full_name", lines.alias("lines")), features={"total_lines": F.col("lines")}
+    )
+    return scaled.select("full_name", "normalized.*")
+
+
 def quality_score(spark, d):
     repos = minmax_normalize(W.records(W.repos(spark, d)))
     return R.with_quality(repos).select("full_name", "quality_score")
@@ -109,6 +129,15 @@ def rank_repos_any_band(spark, d):
     return _ranked(spark, d, "any_band")
 
 
+def rank_repos_recrawled(spark, d):
+    """Every repository landed twice; the later record has seven stars more."""
+    printed = _printed(spark, d)
+    later = printed.withColumn("stars", F.col("stars") + 7).withColumn("landing", F.lit(2))
+    landed = printed.withColumn("landing", F.lit(1)).unionByName(later)
+    best = R.rank_repos(landed, W.query_vector(spark, d), order=[F.col("landing")])
+    return best.select("full_name", "stars", *SCORES)
+
+
 def rank_jobs(spark, d):
     best = R.rank_jobs(_printed(spark, d), W.job_queries(spark, d))
     return best.select("job_id", "full_name", "stars", *SCORES)
@@ -142,6 +171,15 @@ def lite_rank(spark, d):
     )
 
 
+def lite_search(spark, d):
+    """From the question to the stored rows: keywords, most starred matches, scores, best ten."""
+    found = R.search_candidates(
+        W.items(W.repos(spark, d)), QUESTION, fixed.CANDIDATES_LITE, "stargazers_count"
+    )
+    rows = result_rows(R.lite_records(R.rank_lite(found, W.as_of())), "lite-job")
+    return rows.select("job_id", "repo_full_name", "repo_url", "stars", *SCORES[1:3])
+
+
 def search_candidates(spark, d):
     found = R.search_candidates(W.repos(spark, d), QUESTION)
     return found.select("full_name", "description", "stars")
@@ -339,6 +377,53 @@ def referenced_results(spark, d):
     return J.referenced(results, queries)
 
 
+def _place(spark, what):
+    return f"{scratch_root(spark)}/reporank-{what}-{uuid.uuid4().hex}"
+
+
+def raw_round_trip(spark, d):
+    """Every repository written as raw JSON below its job and read back."""
+    place = _place(spark, "raw")
+    write_raw(W.records(W.repos(spark, d)), place)
+    return read_job_repos(spark, place).select(
+        "job_id", "full_name", "url", "description", "language", "stars", "forks",
+        F.col("ast.total_lines").alias("total_lines"),
+        F.col("ast.public_api_count").alias("public_api_count"),
+        "contributor_stats.contributor_count", "contributor_stats.commit_recency",
+    )
+
+
+def stored_results(spark, d):
+    """Results of every job written twice; the second time nothing is added."""
+    place, scored = _place(spark, "results"), _scored(spark, d)
+    for _ in range(2):
+        write_results(scored, place)
+    stored = read_or_empty(spark, place, schemas.RESULTS)
+    return stored.select("job_id", "repo_full_name", "stars", *SCORES)
+
+
+def stored_lite_results(spark, d):
+    place, ranked = _place(spark, "lite"), R.rank_lite(W.items(W.repos(spark, d)), W.as_of())
+    for _ in range(2):
+        write_results(R.lite_records(ranked), place, "lite-job", fixed.TOP_LITE)
+    stored = read_or_empty(spark, place, schemas.RESULTS)
+    return stored.select("job_id", "repo_full_name", "stars", *SCORES[1:3])
+
+
+def status_log(spark, d):
+    """Every customer's job opened, started and (for two thirds) finished, as appended events."""
+    place = _place(spark, "events")
+    customer = W.table(spark, d, "customer")
+    jobs = customer.select(
+        F.col("c_custkey").cast("string").alias("job_id"), F.col("c_name").alias("query"), "c_custkey"
+    )
+    for n, status in enumerate(("pending", "running", "done")):
+        reached = jobs.filter(F.col("c_custkey") % 3 != 0) if status == "done" else jobs
+        append_status(reached.drop("c_custkey"), status, place, "2024-01-01 00:00:00", n)
+    log = read_or_empty(spark, place, schemas.JOB_EVENTS)
+    return J.latest_status(log).select("job_id", "status")
+
+
 def job_manifest(spark, d):
     return manifest(W.repos(spark, d))
 
@@ -438,6 +523,8 @@ REGISTERED = {
         embed_hashing, semantic_cache, cached_job, search_split, vector_json,
         latest_status, job_status, last_write, insert_if_absent, orphan_results,
         referenced_results, job_manifest, result_counts, fetch_results, present_results,
+        minmax_by_job_nulls, minmax_text_values, rank_repos_recrawled, lite_search,
+        raw_round_trip, stored_results, stored_lite_results, status_log,
         keywords, encoded_queries, token_counts, lite_results, embed_text, path_functions,
     )
 }
