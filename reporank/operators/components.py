@@ -37,32 +37,56 @@ def _forest():
     return link
 
 
-def _large_star(edges):
+def _large_star(edges, least):
     """Link every larger neighbour of a node to the smallest node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.groupBy("a").agg(F.min("b").alias("least"))
-    around = around.withColumn("least", F.least("a", "least"))
-    return both.join(around, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    linked = _both(edges).join(least, "a").filter("b > a")
+    return linked.select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
 
 
-def _small_star(edges):
+def _both(edges):
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _small_star(edges, least):
     """Link every node and its smaller neighbours to the smallest of them."""
-    around = edges.groupBy("a").agg(F.min("b").alias("least"))
-    linked = edges.join(around, "a").filter("b <> least")
+    linked = edges.join(least, "a").filter("b <> least")
     return linked.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-        around.select("a", F.col("least").alias("b"))
+        least.select("a", F.col("least").alias("b"))
     )
 
 
-def _landed(edges):
-    """The edges written to the shared folder, where, and a digest of them from that write."""
-    mark = Observation()
-    hashed = F.xxhash64("a", "b")
-    seen = edges.observe(
-        mark, F.count(F.lit(1)).alias("n"), F.bit_xor(hashed).alias("x"), F.sum(hashed % (1 << 40)).alias("s")
-    )
-    table, path = written_at(seen)
-    return table, path, mark.get
+class _Round:
+    """Tables of one round in the shared folder, deleted when the next one is there.
+
+    The smallest neighbours are written before they are joined: only then does the join
+    shuffle both of its sides, so that adaptive execution can split a star with many tips.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def landed(self, df):
+        table, path = written_at(df)
+        self.paths.append(path)
+        return table
+
+    def least(self, edges):
+        return self.landed(edges.groupBy("a").agg(F.min("b").alias("least")))
+
+    def edges(self, df):
+        """The table, and a digest of it taken during the write."""
+        mark, hashed = Observation(), F.xxhash64("a", "b")
+        count = F.count(F.lit(1)).alias("n")
+        seen = df.observe(mark, count, F.bit_xor(hashed).alias("x"), F.sum(hashed % (1 << 40)).alias("s"))
+        return self.landed(seen), mark.get
+
+    def following(self, edges):
+        larger = self.landed(_large_star(edges, self.least(_both(edges))))
+        return _small_star(larger, self.least(larger)).distinct()
+
+    def delete(self):
+        for path in self.paths:
+            dropped(self.spark, path)
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -72,19 +96,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     fewer rows than it has nodes. Then each round rewrites the edge table (ids only) into
     the shared folder until a round changes nothing: stars around the smallest nodes are
     the only fixed point (Kiveris et al., 2014, O(log^2 n) rounds). Whether it changed is
-    told by the write itself. Folders of finished rounds are deleted. A star with very many
-    tips is an ordinary skewed join, which adaptive execution splits.
+    told by the write itself. Folders of finished rounds are deleted.
 
     Null ends are ignored; a node linked only to itself is not returned.
     """
     spark = edges.sparkSession
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current, path, state = _landed(pairs.mapInArrow(_forest(), pairs.schema).distinct())
+    own = _Round(spark)
+    current, state = own.edges(pairs.mapInArrow(_forest(), pairs.schema).distinct())
     while True:
-        following, to, seen = _landed(_small_star(_large_star(current)).distinct())
-        dropped(spark, path)
-        same, current, path, state = seen == state, following, to, seen
+        next_ = _Round(spark)
+        following, seen = next_.edges(own.following(current))
+        own.delete()
+        same, own, current, state = seen == state, next_, following, seen
         if same:
             break
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
