@@ -6,12 +6,15 @@ dictionary per worker remembers the ids of words, so that the library only sees
 """
 
 import hashlib
+import re
 
 import numpy as np
 
 from reporank.llm.common import worker_wide
 
-WORDS_HELD = 400_000
+WORDS_HELD = 600_000
+#: Words of small ASCII letters and letters of Latin-1 as UTF-8: one piece each, in normal form.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 PROBES = (
     "A b", "a  b\tc\n", " x's y 's 12 ab12 ...", "été é ́ aΣ Σ", "<|endoftext|> a<|startoftext|>b",
     "#!? ,. a.b,c", "中文 İ ﬁ",
@@ -35,6 +38,7 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.lowers = self.whole("AZ") == self.whole("az")
+        self.letters = self._letters()
         self.simple = self._letters_are_model_input()
         self.marks = {m: self.whole(m.decode()) for m in (b",", b".", b";", b":", b"!", b"?")}
         self.by_word = all(self.whole(p) == b"".join(map(self.__getitem__, p.encode().split())) for p in PROBES)
@@ -45,17 +49,25 @@ class WordIds(dict):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def _letters(self):
+        """What the library makes of each letter of Latin-1 before the model sees it."""
+        small = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        pieces = (self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in small)
+        return {ord(c): own[0][0] for c, own in zip(small, pieces) if len(own) == 1}
+
     def _letters_are_model_input(self):
-        """Whether words of a-z reach the model as they are."""
-        return all(self._model(w) == self.whole(w) for w in ("a", "the", "qzxv", "internationalisation", "erstsh"))
+        """Whether words of letters reach the model as they are, but for the letters' spelling."""
+        probes = ("a", "the", "qzxv", "internationalisation", "erstsh", "é", "übergrößeñ", "ÄÖçàÿß")
+        return all(self._model(w) == self.whole(w) for w in probes)
 
     def _model(self, word):
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype=self.kind).tobytes()
+        spelled = word.lower().translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=self.kind).tobytes()
 
     def __missing__(self, word):
-        if word.isalpha() and word.islower() and self.simple:
+        if self.simple and LETTERS.fullmatch(word):
             ids = self._model(word.decode())
-        elif word[-1:] in self.marks and word[:-1].isalpha() and self.simple:
+        elif self.simple and word[-1:] in self.marks and LETTERS.fullmatch(word, 0, len(word) - 1):
             ids = self[word[:-1]] + self.marks[word[-1:]]
         else:
             ids = self.whole(word.decode())
