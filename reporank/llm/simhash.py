@@ -93,7 +93,8 @@ def links(prints: DataFrame, blocks: int = BLOCKS, paired: int = PAIRED) -> Data
         )
     )
     keyed = prints.select("print", F.inline(keys))
-    shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join below can split a key that very many share
+    shared = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = written(keyed.join(shared, ["t", "key"]))
     few = members.filter(F.col("n") <= paired)
     a, b = few.select("t", "key", F.col("print").alias("a")), few.select("t", "key", F.col("print").alias("b"))
@@ -111,7 +112,7 @@ def near_duplicates(
     found = connected_components(links(prints.select("print"), blocks), "a", "b")
     group = F.coalesce("component", "print").alias("component")
     grouped = prints.join(found, prints.print == found.node, "left").select("print", "first", group)
-    named = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = written(grouped.groupBy("component").agg(F.min("first").alias("component_id")))
     by_print = grouped.select("print", "component").join(named, "component").select("print", "component_id")
     return rows.join(by_print, "print").select(F.col("doc_id").alias(id_column), "print", "component_id")
 
