@@ -98,7 +98,8 @@ def scan(
     rows = written(rows)  # the row numbers are what they are from here on
     spans = _spans(rows).select("*", F.unhex(F.sha2("value", 256)).alias("digest"), _random_looking(F.col("value")).alias("random"))
     spans = written(spans.drop("value"))
-    judged = spans.join(ownership(spans), "digest")
+    # written, so that the join can split a value that very many texts have
+    judged = spans.join(written(ownership(spans)), "digest")
     kind = F.when(F.col("kind") == "long", F.col("verdict")).otherwise(F.col("kind"))
     judged = judged.withColumn("kind", kind).filter("kind <> 'unclear'")
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
