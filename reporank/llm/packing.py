@@ -27,6 +27,7 @@ from reporank.llm.bpe import word_ids
 from reporank.session import written
 
 BUCKETS, DIMENSIONS, LEVELS = 256, 4, 12  # the key has DIMENSIONS * LEVELS bits
+STRETCH_BYTES = 64 << 20  # of ids that one task cuts, on average, at most
 SEED = 20177
 
 PIECES = (
@@ -136,8 +137,13 @@ def _encoded(path, end_id):
                 ids = [held.ids(t.as_py() or "") for t in part.column("text")]
                 arrays = [np.concatenate([np.frombuffer(x, dtype=held.kind), end]) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(curve.keys(arrays)), pa.array([a.tobytes() for a in arrays], pa.binary())],
-                    ["doc_id", "key", "ids"],
+                    [
+                        part.column("doc_id"),
+                        pa.array(curve.keys(arrays)),
+                        pa.array([a.nbytes for a in arrays], pa.int64()),
+                        pa.array([a.tobytes() for a in arrays], pa.binary()),
+                    ],
+                    ["doc_id", "key", "n_bytes", "ids"],
                 )
 
     return encode
@@ -184,9 +190,11 @@ def pack(
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    encoded = written(rows.mapInArrow(_encoded(tokenizer, end_id), f"doc_id {kind}, key long, ids binary"))
+    encoded = written(rows.mapInArrow(_encoded(tokenizer, end_id), f"doc_id {kind}, key long, n_bytes long, ids binary"))
     order = ["key", "doc_id", F.crc32("ids")]
+    total = encoded.agg(F.sum("n_bytes")).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(partitions, -(-total // STRETCH_BYTES))
     sorted_ = encoded.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     schema = PIECES.format(id=kind)
     names = [c.split()[0] for c in schema.split(", ")]
