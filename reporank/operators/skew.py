@@ -3,7 +3,7 @@
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reporank.session import written
@@ -21,9 +21,10 @@ def join_lookup(
     At most as many keys as there are partitions can have salts, which bounds what is
     broadcast. ``rows`` is read once; ``lookup`` is written once and small.
     """
-    small = written(lookup)
+    seen = Observation()
+    small = written(lookup.observe(seen, F.sum(weight).alias("total")))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.greatest(F.lit(1.0), small.agg(F.sum(weight)).scalar() / partitions)
+    share = max(1.0, (seen.get["total"] or 0) / partitions)
     named = {k: f"_key_{i}" for i, k in enumerate(keys)}
     salted = small.withColumn("_salts", F.ceil(F.col(weight) / share).cast("int"))
     salted = salted.drop(weight).withColumnsRenamed(named)

@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reporank import fixed
+from reporank import fixed, schemas
 from reporank.functions.text import is_blank
 from reporank.functions.vectors import cosine_to
-from reporank.operators.jobs import latest_status
+from reporank.operators.jobs import latest_status, top
 from reporank.operators.nearest import nearest_stored
+from reporank.plans.ranking import rank_jobs
+from reporank.session import written
+from reporank.sources.tables import append_status, read_or_empty, save_queries, write_results
 
 
 def reusable(
@@ -63,3 +66,35 @@ def search(
         F.coalesce(F.col("job_id").cast("string"), fresh).alias("job_id"),
         F.col("job_id").isNotNull().alias("cached"),
     )
+
+
+def run_searches(incoming: DataFrame, candidates: DataFrame, folder: str, at, rule: str = "cluster"):
+    """Answer every non-blank query; ``(query_id, job_id, cached)`` with its best results.
+
+    ``incoming`` has ``query_id, text, embedding``; ``candidates`` the crawled repositories
+    of each query, by ``query_id``. Tables ``queries``, ``events`` and ``results`` lie below
+    ``folder``. Queries near one whose job is done get that job's stored results. All others
+    are saved, ranked together in one plan and stored; their jobs go from pending over
+    running to done, or to failed if the ranking fails.
+    """
+    spark = incoming.sparkSession
+    queries, events, results = (f"{folder}/{name}" for name in ("queries", "events", "results"))
+    stored = read_or_empty(spark, queries, schemas.QUERIES)
+    log = read_or_empty(spark, events, schemas.JOB_EVENTS)
+    asked = written(search(incoming, stored, log))
+    new = asked.filter("NOT cached").join(incoming, "query_id").drop("cached")
+    new = written(new.select("query_id", "job_id", "text", "embedding"))
+    save_queries(new, queries, events, at)
+    jobs = new.select("job_id", F.col("text").alias("query"))
+    append_status(jobs, "running", events, at, 1)
+    try:
+        found = candidates.join(new.select("query_id", "job_id"), "query_id").drop("query_id")
+        write_results(rank_jobs(found, new.select("job_id", "embedding"), rule=rule), results)
+    except Exception:
+        append_status(jobs, "failed", events, at, 2)
+        raise
+    append_status(jobs, "done", events, at, 2)
+    rows = read_or_empty(spark, results, schemas.RESULTS).drop("id", "created_at")
+    rows = rows.join(asked.select("job_id").distinct(), "job_id", "left_semi")
+    best = top(rows, fixed.TOP_READ, "composite_score", "repo_full_name", by="job_id")
+    return asked.join(best, "job_id")

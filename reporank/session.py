@@ -39,7 +39,17 @@ def written(df):
     return written_at(df)[0]
 
 
+def _place(spark, path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark, path) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
 def dropped(spark, path):
     """Delete a table of ``written_at`` that nothing reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(spark, path)
+    files.delete(place, True)

@@ -1,22 +1,19 @@
 """Stored tables: queries, job status events and results, as append-only parquet."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reporank import fixed, schemas
 from reporank.functions.scores import breakdown
 from reporank.operators.jobs import insert_if_absent, status_events, top
+from reporank.session import exists
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or an empty one when nothing was written yet."""
-    try:
+    if exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+    return spark.createDataFrame([], schema)
 
 
 def _append_absent(new, path, schema, key, job_id=None):
@@ -25,7 +22,8 @@ def _append_absent(new, path, schema, key, job_id=None):
     if job_id is not None:
         existing = existing.filter(F.col("job_id") == job_id)
     order = [F.col(c) for c in schema.names if c not in ("id", "created_at", "embedding")]
-    rows = insert_if_absent(new.select(*schema.names), existing, key, order)
+    typed = new.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    rows = insert_if_absent(typed, existing, key, order)
     rows.sortWithinPartitions(*key).write.mode("append").parquet(path)
 
 

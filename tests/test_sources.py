@@ -189,7 +189,7 @@ def test_stream_of_landed_records(spark, landed, tmp_path):
         writer.format("parquet").start(results).awaitTermination(120)
     stored = spark.read.parquet(results)
     assert sorted(r.full_name for r in stored.collect()) == sorted(
-        r.full_name for r in read_repos(spark, landed).collect()
+        r.full_name for r in raw.read_repos(spark, landed).collect()
     )
 
 

@@ -427,6 +427,33 @@ def statements() -> dict[str, str]:
             PARTITION BY job_id ORDER BY composite_score DESC, full_name) <= 20"""
     )
 
+    answers = (
+        _with(
+            REPOS, *DOCUMENT_PRINTS, BANDS, _buckets(REPOS_RANKED, "r.job_id"),
+            _cluster(REPOS_RANKED), kept, _scaled("kept", by="job_id"), INCOMING, _nearest("stored"),
+            f"""base AS (
+              SELECT s.*, {QUALITY} AS quality_score, {HEALTH} AS health_score, embedding::DOUBLE[] AS re
+              FROM scaled s LEFT JOIN embeddings
+                ON vec_id = repo_id % (SELECT count(*) FROM embeddings)),
+            asked AS (
+              SELECT i.query_id + 1000000 AS query_id, h.job_id IS NOT NULL AS cached,
+                sha256(coalesce(h.job_id, i.query_id + 1000000)::VARCHAR) AS job,
+                coalesce(s.e, i.e) AS qe, coalesce(h.job_id, i.query_id) % 25 AS nation
+              FROM incoming i LEFT JOIN hits h ON h.query_id = i.query_id
+              LEFT JOIN stored s ON s.job_id = h.job_id),
+            related AS (
+              SELECT a.query_id, a.job AS job_id, cached, full_name AS repo_full_name, stars,
+                coalesce({_even("list_cosine_similarity(re, qe)")}, 0e0) AS relevance_score,
+                quality_score, health_score
+              FROM asked a JOIN base b ON b.job_id = a.nation)""",
+        )
+        + f"""SELECT *,
+            {_even('0.5e0 * relevance_score + 0.3e0 * quality_score + 0.2e0 * health_score')}
+              AS composite_score
+          FROM related QUALIFY row_number() OVER (
+            PARTITION BY query_id ORDER BY composite_score DESC, repo_full_name) <= 10"""
+    )
+
     def deduped(dropped):
         return (
             _with(*bands, dropped)
@@ -436,7 +463,7 @@ def statements() -> dict[str, str]:
     norms = ", ".join(f"{f}_norm" for f in FEATURES)
     words = "bought"
     twins = _twins(scored, prints, bands, code, ranked, deduped, norms, words)
-    return {**twins, "analyzed_files": twins["code_metrics"], "rank_jobs": jobs_ranked}
+    return {**twins, "analyzed_files": twins["code_metrics"], "rank_jobs": jobs_ranked, "search_answers": answers}
 
 
 def _twins(scored, prints, bands, code, ranked, deduped, norms, words):

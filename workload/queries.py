@@ -18,7 +18,7 @@ from reporank.operators.normalize import minmax_normalize
 from reporank.plans import ranking as R
 from reporank.plans.records import assemble_repos
 from reporank.plans.results import present, result_count
-from reporank.plans.search import find_cached_job, search
+from reporank.plans.search import find_cached_job, run_searches, search
 from reporank.session import scratch_root, written
 from reporank.sources.raw import manifest, read_job_repos, source_lines, write_raw
 from reporank.sources.tables import append_status, read_or_empty, result_rows, write_results
@@ -335,6 +335,25 @@ def search_split(spark, d):
     )
 
 
+def search_answers(spark, d):
+    """Every stored query asked and ranked, then every incoming one: reused, or ranked too."""
+    place = _place(spark, "searches")
+    flat = W.with_fingerprints(W.with_vectors(W.repos(spark, d), spark, d), spark, d)
+    repos = written(W.records(flat)).withColumnRenamed("job_id", "nation")
+
+    def candidates(asked):
+        of = asked.select("query_id", (F.col("query_id") % 25).cast("int").alias("nation"))
+        return of.join(repos, "nation").drop("nation")
+
+    first = W.stored_queries(spark, d).select(
+        F.col("job_id").alias("query_id"), F.lit("stored").alias("text"), "embedding"
+    )
+    run_searches(first, candidates(first), place, "2024-01-01 00:00:00")
+    second = W.incoming_queries(spark, d).withColumn("query_id", F.col("query_id") + 1_000_000)
+    answers = run_searches(second, candidates(second), place, "2024-01-02 00:00:00")
+    return answers.select("query_id", "job_id", "cached", "repo_full_name", "stars", *SCORES)
+
+
 def vector_json(spark, d):
     vectors = W.stored_queries(spark, d).withColumn("text", V.vector_to_json("embedding"))
     back = V.vector_from_json("text")
@@ -524,7 +543,7 @@ REGISTERED = {
         latest_status, job_status, last_write, insert_if_absent, orphan_results,
         referenced_results, job_manifest, result_counts, fetch_results, present_results,
         minmax_by_job_nulls, minmax_text_values, rank_repos_recrawled, lite_search,
-        raw_round_trip, stored_results, stored_lite_results, status_log,
+        search_answers, raw_round_trip, stored_results, stored_lite_results, status_log,
         keywords, encoded_queries, token_counts, lite_results, embed_text, path_functions,
     )
 }
