@@ -61,7 +61,9 @@ s AS (
 v AS MATERIALIZED (
   SELECT *, a + length(hit) AS z,
     CASE WHEN kind = 'assign' THEN regexp_extract(hit, {quoted(SECRETS[0][1])}, 2) ELSE hit END AS val FROM s),
-k AS MATERIALIZED (SELECT * FROM v WHERE length(val) >= least),
+k AS MATERIALIZED (
+  SELECT * FROM v WHERE length(val) >= least AND (kind <> 'long' OR (regexp_matches(val, '[0-9]')
+    AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(regexp_extract_all(val, '.'))) >= 10))),
 f AS (
   SELECT val, count(DISTINCT coalesce(source, chr(1))) > 1 OR count(DISTINCT doc_id) > 8 AS copied,
     bool_or(regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')

@@ -5,7 +5,7 @@ over the corpus: in how many repositories (documents, unless another column is n
 of how many owners (`source`) it occurs. A value that several owners have is a widely
 copied example; one that a single owner has in a few repositories, and that looks drawn at
 random, is likely live. Base findings are reported whatever the counts say; besides them,
-long random-looking tokens of any kind are reported as `owned` or `copied`.
+long tokens that look drawn at random are reported as `owned` or `copied`.
 
 Positions are code points. Spark's functions give matches but no positions, so a text with
 matches is also split at them; running sums over the lengths give the positions.
@@ -15,6 +15,9 @@ or repository of its own kind; repeated rows get the same answer; other columns
 ignored; an empty table gives an empty result.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +35,20 @@ OWNED_REPOS = 8  # a value in more repositories of its only owner is taken for a
 
 
 def _found(text):
-    """Matches of each kind, and the lengths of what lies before each of them."""
+    """Matches of each kind, and the lengths of what lies before each of them.
+
+    A pattern is only tried on texts that hold a string every match of it holds.
+    """
+    none, low = F.array().cast("array<string>"), F.lower(text)
+    may = {
+        "assign": reduce(or_, [low.contains(word) for word in ("password", "passwd", "secret", "token", "api")]),
+        "access": text.contains("AKIA"),
+        "hex": F.lit(True),
+        "long": text.rlike("[0-9]"),  # without a digit no token looks drawn at random
+    }
     columns = []
     for kind, pattern, _ in KINDS:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        hits = F.when(may[kind], F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
         lengths = F.transform(F.split(text, pattern, -1), F.char_length)
         columns.append(F.struct(F.lit(kind).alias("kind"), hits.alias("hits"), F.when(F.size(hits) > 0, lengths).alias("gaps")))
     return F.filter(F.array(*columns), lambda x: F.size(x["hits"]) > 0)
@@ -52,7 +65,8 @@ def _spans(rows):
     value = F.when(F.col("kind") == "assign", F.regexp_extract("hit.hits", ASSIGN, 2)).otherwise(F.col("hit.hits"))
     spans = hits.select("row", "repo", "owner", "kind", (until - length).alias("start"), until.alias("end"), value.alias("value"))
     least = F.create_map(*(F.lit(x) for kind, _, n in KINDS for x in (kind, n)))
-    return spans.filter(F.char_length("value") >= least[F.col("kind")])
+    kept = (F.col("kind") != "long") | _random_looking(F.col("value"))
+    return spans.filter(kept & (F.char_length("value") >= least[F.col("kind")]))
 
 
 def _random_looking(value):

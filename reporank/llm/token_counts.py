@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reporank.llm.bpe import content_digest, word_ids
-from reporank.session import written
+from reporank.session import exists, written
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -69,8 +69,7 @@ def _encoder(path, version):
 
 def _stored(spark, cache, version):
     """Counts by digest; empty while nothing is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    there = exists(spark, cache)
     rows = spark.read.schema(CACHE).parquet(cache) if there else spark.createDataFrame([], CACHE)
     return rows.filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
