@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from reporank.session import dropped, written_at
 
+EDGES_HELD = 500_000  # by one task: bounds the memory of its union-find
+
 
 def _forest():
     """Function for mapInArrow that replaces a task's edges by (node, smallest node reached)."""
@@ -89,14 +91,18 @@ class _Round:
             dropped(self.spark, path)
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(
+    edges: DataFrame, a: str, b: str, held: int = EDGES_HELD
+) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; a component is its smallest node.
 
     Every task first contracts its own edges with a union-find, so that a task hands on
-    fewer rows than it has nodes. Then each round rewrites the edge table (ids only) into
-    the shared folder until a round changes nothing: stars around the smallest nodes are
-    the only fixed point (Kiveris et al., 2014, O(log^2 n) rounds). Whether it changed is
-    told by the write itself. Folders of finished rounds are deleted.
+    fewer rows than it has nodes; these forests are then merged the same way by as many
+    tasks as it takes to give each about ``held`` edges at most. A graph that one such task
+    holds is finished by then. For what still spans tasks, each round rewrites the edge
+    table (ids only) into the shared folder until a round changes nothing: stars around the
+    smallest nodes are the only fixed point (Kiveris et al., 2014, O(log^2 n) rounds).
+    Whether it changed is told by the write itself. Folders of finished rounds are deleted.
 
     Null ends are ignored; a node linked only to itself is not returned.
     """
@@ -104,8 +110,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     own = _Round(spark)
-    current, state = own.edges(pairs.mapInArrow(_forest(), pairs.schema).distinct())
-    while True:
+    forest, state = own.edges(pairs.mapInArrow(_forest(), pairs.schema))
+    tasks = max(1, -(-state["n"] // held))
+    merged = _Round(spark)
+    current, state = merged.edges(forest.coalesce(tasks).mapInArrow(_forest(), pairs.schema))
+    own.delete()
+    own = merged
+    while tasks > 1:
         next_ = _Round(spark)
         following, seen = next_.edges(own.following(current))
         own.delete()

@@ -24,7 +24,8 @@ def component_of(edges):
     return {x: find(x) for x in parent}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [20, 500_000])
+def test_components(spark, held):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(1000, 1025)]
     star = [(2000, 2000 + i) for i in range(1, 300)]
@@ -32,7 +33,7 @@ def test_components(spark):
     edges = chain + star + rest
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "x long, y long")
-    got = {r.node: r.component for r in connected_components(df, "x", "y").collect()}
+    got = {r.node: r.component for r in connected_components(df.repartition(6), "x", "y", held).collect()}
     assert got == component_of([(a, b) for a, b in edges if a != b])
 
 
