@@ -11,7 +11,8 @@ A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)
 0.995 at 0.8, 0.9998 at 0.87. Lines that share a key are compared in the task that holds
 the key, as far as they are not connected yet; no pairs are produced. A key with more than
 `HELD` lines is cut into parts, and every two parts meet in a task of their own, so all
-lines of the key are still compared.
+lines of the key are still compared. Keys that the same lines share (by their number and a
+64-bit hash of their ids) are one.
 
 The different lines' texts are shuffled once, into a table in buckets of the line's hash,
 which later joins read in place.
@@ -49,8 +50,10 @@ def shingle_hashes(lines: list[bytes], powers: Powers, size: int = SHINGLE):
     count = np.maximum(1, length - size + 1)
     first = np.cumsum(count) - count
     prefixes = Prefixes(data, powers)
-    at = np.arange(int(count.sum())) - np.repeat(first - begin, count)
-    hashes = mixed(prefixes.of(at, np.repeat(np.minimum(length, size), count)))
+    grams = np.append(prefixes.grams(size), np.zeros(min(size, len(data) + 1), dtype=np.uint64))
+    hashes = grams[np.arange(int(count.sum())) - np.repeat(first - begin, count)]
+    short = np.flatnonzero(length < size)
+    hashes[first[short]] = mixed(prefixes.of(begin[short], length[short]))
     return hashes, first, count
 
 
@@ -181,8 +184,10 @@ def _compared(members, similarity):
 def _similar(lines, partitions, similarity, rows, bands, held):
     """Edges between similar lines of the bucketed table `lines`."""
     keyed = _keyed(lines, rows, bands)
-    # written, so that the join below can split a key that very many share
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    # The same lines mostly share several keys: one key is enough for each set of lines.
+    # Written, so that the join below can split a key that very many share.
+    shared = written(found.filter("n > 1").groupBy("n", "who").agg(F.min("key").alias("key")))
     members = keyed.join(shared, "key")
     parts = F.ceil(F.col("n") / held).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
