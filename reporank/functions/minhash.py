@@ -12,7 +12,7 @@ from reporank.functions.hashing import token_hashes, white_space_tokens
 from reporank.functions.text import _col
 from reporank.schemas import FINGERPRINT
 
-CHUNK = 1 << 18  # token occurrences hashed at a time: bounds memory whatever the text length
+CHUNK = 1 << 15  # token occurrences hashed at a time (16 MB), whatever the text length
 HELD_KEYS = 1 << 14  # fingerprints a task folds before it passes them on (8 MB)
 _SEEDS = np.arange(fixed.NUM_HASHES, dtype=np.uint32)
 
@@ -25,8 +25,8 @@ def _minima(values: pa.Array, rows: np.ndarray, n_rows: int) -> np.ndarray:
         hashes, pick = token_hashes(part.dictionary, _SEEDS), part.indices.to_numpy()
         owner = rows[start : start + CHUNK]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
-        for row, a, b in zip(owner[first], first, np.append(first[1:], len(owner))):
-            np.minimum(out[row], hashes[pick[a:b]].min(axis=0), out=out[row])
+        least = np.minimum.reduceat(hashes[pick], first, axis=0)
+        out[owner[first]] = np.minimum(out[owner[first]], least)
     return out
 
 

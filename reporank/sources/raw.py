@@ -103,11 +103,14 @@ def _batches(rows, names, size=4096):
 
 
 def _content(system, name):
-    """Text of a file; a file that cannot be read counts as one without lines."""
+    """Text of a file; one that is not there (a dangling link) or closed to us has no lines.
+
+    Any other failure, such as a lost datanode, fails the task, which is then tried again.
+    """
     try:
         with system.open_input_file(name) as file:
             return file.read().decode("utf-8", "replace")
-    except OSError:
+    except (FileNotFoundError, PermissionError):
         return None
 
 
@@ -135,7 +138,7 @@ def _list_tree(spark, root):
                 rows = (
                     {"repo": repo, "path": info.path[len(start) + 1 :]}
                     for info in infos
-                    if info.type == fs.FileType.File
+                    if info.type != fs.FileType.Directory
                 )
                 yield from _batches(rows, files)
 

@@ -202,3 +202,15 @@ def test_scratch_folder_must_be_shared(spark):
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError, match="shared folder"):
         scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_unreadable_files_count(spark, tmp_path):
+    """A dangling link is a file without lines; it is not lost."""
+    repo = tmp_path / "tree" / "r"
+    repo.mkdir(parents=True)
+    (repo / "a.py").write_text("def f():\n")
+    (repo / "b.py").symlink_to(repo / "nowhere.py")
+    files = raw.read_source_files(spark, str(tmp_path / "tree")).collect()
+    assert {r.path: r.content for r in files} == {"a.py": "def f():\n", "b.py": None}
+    metrics = analyze_files(raw.read_source_files(spark, str(tmp_path / "tree"))).first()
+    assert (metrics.ast.total_files, metrics.ast.total_lines) == (2, 1)
