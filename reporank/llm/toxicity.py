@@ -23,6 +23,7 @@ same answer; other columns are kept by `without_toxic` and ignored otherwise.
 """
 
 from collections import Counter
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -87,17 +88,17 @@ def log_odds(n_toxic, n_clean, toxic, clean):
     return log((n_toxic + 0.5) / (toxic + 1)) - log((n_clean + 0.5) / (clean + 1))
 
 
-def telling(counts, toxic, min_documents):
+def telling(counts, toxic, min_documents, features=features):
     """Features in enough documents and not equally common in both classes, with log odds."""
     in_toxic, in_clean = Counter(), Counter()
     for own, mark in zip(counts, toxic):
-        (in_toxic if mark else in_clean).update({f for w in own for f in features(w)})
+        (in_toxic if mark else in_clean).update(set().union(*map(features, own)))
     n, m = int(np.sum(toxic)), int(len(toxic) - np.sum(toxic))
     odds = {f: log_odds(in_toxic[f], in_clean[f], n, m) for f in {*in_toxic, *in_clean} if in_toxic[f] + in_clean[f] >= min_documents}
     return {f: x for f, x in odds.items() if abs(x) >= TELLING}
 
 
-def grades(counts, toxic, odds):
+def grades(counts, toxic, odds, features=features):
     """Grades 0, 1, 2 of labelled documents from their word counts and toxic marks."""
     strength = np.array(
         [sum(c for w, c in own.items() if max(odds.get(f, 0.0) for f in features(w)) >= TYPICAL) for own in counts]
@@ -111,13 +112,14 @@ def fit(counts, toxic, min_documents=MIN_DOCUMENTS, ridge=2e-4, rounds=150, rate
     toxic = np.asarray(toxic, dtype=bool)
     if not toxic.any() or toxic.all():
         return Ordinal({}, np.zeros(0))
-    odds = telling(counts, toxic, min_documents)
-    grade = grades(counts, toxic, odds)
+    known = lru_cache(1 << 18)(features)  # common words come up in most documents
+    odds = telling(counts, toxic, min_documents, known)
+    grade = grades(counts, toxic, odds, known)
     vocabulary = {w: i for i, w in enumerate(sorted(odds))}
     row, column, value = [], [], []
     for i, own in enumerate(counts):
         for w, c in own.items():
-            for f in features(w) & odds.keys():
+            for f in known(w) & odds.keys():
                 row.append(i), column.append(vocabulary[f]), value.append(1.0 + log(c))
     row, column, value = np.array(row, int), np.array(column, int), np.array(value)
     steps = np.arange(1, grade.max() + 1)
