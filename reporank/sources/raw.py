@@ -1,5 +1,6 @@
 """Reading landed repository records and source trees; writing raw records."""
 
+import os
 import re
 
 import pyarrow as pa
@@ -114,6 +115,19 @@ def _content(system, name):
         return None
 
 
+def _files(system, start):
+    """Paths of all files below a folder; dangling links, which only local folders have, too."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        for folder, _, names in os.walk(start):
+            yield from (f"{folder}/{name}" for name in names)
+    else:
+        for info in system.get_file_info(fs.FileSelector(start, recursive=True)):
+            if info.type == fs.FileType.File:
+                yield info.path
+
+
 def _list_tree(spark, root):
     """``(repo, path, uri)`` of every file below ``root/<repo>/``; listing runs in tasks."""
     from pyarrow import fs
@@ -134,12 +148,7 @@ def _list_tree(spark, root):
         for batch in batches:
             for repo in batch.column(0).to_pylist():
                 start = f"{folder.rstrip('/')}/{repo}"
-                infos = system.get_file_info(fs.FileSelector(start, recursive=True))
-                rows = (
-                    {"repo": repo, "path": info.path[len(start) + 1 :]}
-                    for info in infos
-                    if info.type != fs.FileType.Directory
-                )
+                rows = ({"repo": repo, "path": p[len(start) + 1 :]} for p in _files(system, start))
                 yield from _batches(rows, files)
 
     top = spark.createDataFrame([(root,)], "root string")
