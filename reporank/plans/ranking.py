@@ -78,8 +78,9 @@ def _batch(repos, rule, key, by=None):
 
 
 def latest_records(repos: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """One record per repository: the last by ``order``, then by content, which makes it total."""
-    return last_per_key(repos, keys, [*(order or []), F.struct(*repos.columns)])
+    """One record per repository: the last by ``order``, then by a hash of its content, so that
+    the choice never depends on the order of the rows."""
+    return last_per_key(repos, keys, [*(order or []), F.xxhash64(*repos.columns)])
 
 
 def rank_repos(
