@@ -36,7 +36,7 @@ from reporank.llm.common import words
 SAMPLE_ROWS, MIN_DOCUMENTS, REJECT_AT = 4000, 8, 0.25
 PREFIXES = (4, 5, 6)
 TELLING, TYPICAL = 1.0, 3.0  # log odds of features that are used, and that mark severity
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 
 
 def counted(text):
