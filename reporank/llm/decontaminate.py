@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from reporank.llm.common import words
 
 SHARD_WORDS = 1 << 20
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
+CELLS = 1 << 20  # words compared at a time
 
 MATCHES = "item_id string, start int, n_words int, doc_id {id}, position long"
 
@@ -98,9 +99,16 @@ def suffix_array(text, depth):
 
 def _bound(text, array, tests, lengths, upper):
     """Per suffix of `tests`, how many of the array's suffixes are below it (or equal, if
-    `upper`) when both are cut to that many words."""
-    width = int(lengths.max(initial=0))
-    wanted = tests.text[tests.suffix[:, None] + np.arange(width)]
+    `upper`) when both are cut to that many words. Looked up in blocks of bounded size."""
+    rows = max(1, CELLS // max(1, int(lengths.max(initial=0))))
+    blocks = [slice(i, i + rows) for i in range(0, len(lengths), rows)]
+    found = [_bound_block(text, array, tests, tests.suffix[b], lengths[b], upper) for b in blocks]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *found])
+
+
+def _bound_block(text, array, tests, suffix, lengths, upper):
+    width = int(lengths.max(initial=1))
+    wanted = tests.text[suffix[:, None] + np.arange(width)]
     wanted = np.where(np.arange(width) < lengths[:, None], wanted, -1)
     low = np.zeros(len(lengths), dtype=np.int64)
     high = np.full(len(lengths), len(array), dtype=np.int64)

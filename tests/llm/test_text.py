@@ -272,7 +272,9 @@ def leak_corpus(seed=7):
 
 
 @pytest.mark.parametrize("shard_words,slice_bytes", [(1 << 20, 1 << 25), (50, 100)])
-def test_decontamination(spark, shard_words, slice_bytes):
+def test_decontamination(spark, monkeypatch, shard_words, slice_bytes):
+    if shard_words == 50:
+        monkeypatch.setattr(decontaminate, "CELLS", 30)
     rows, items = leak_corpus()
     docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     options = {"shard_words": shard_words, "slice_bytes": slice_bytes}
@@ -287,7 +289,9 @@ def test_decontamination(spark, shard_words, slice_bytes):
 
 
 @pytest.mark.parametrize("shard_words", [1 << 20, 50])
-def test_longest_matches(spark, shard_words):
+def test_longest_matches(spark, monkeypatch, shard_words):
+    if shard_words == 50:
+        monkeypatch.setattr(decontaminate, "CELLS", 30)
     rows, items = leak_corpus()
     rows = [r for r in rows if r[0] is not None]
     items = [(i, t) for i, t in items if i not in (3, None)]
