@@ -36,6 +36,7 @@ from reporank.session import written
 
 SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 9, 4, 10, 0.8, 20
 HELD = 4096
+FEW = 4  # lines of a key up to which Python's sets are quicker than arrays
 CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
 
 
@@ -85,12 +86,28 @@ def factors(rows: int = ROWS, bands: int = BANDS, seed: int = 8111) -> np.ndarra
     return drawn * np.uint64(2) + np.uint64(1)
 
 
+def _links_of_few(lines, similarity, size):
+    """The same as `links` for a handful of lines, by sets of shingles."""
+    sets = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in lines]
+    group, out = list(range(len(lines))), []
+    for x, a in enumerate(sets):
+        for y in range(x + 1, len(sets)):
+            if group[x] != group[y]:
+                shared = len(a & sets[y])
+                if shared >= similarity * (len(a) + len(sets[y]) - shared) - 1e-9:
+                    group = [group[x] if g == group[y] else g for g in group]
+                    out.append((x, y))
+    return out
+
+
 def links(lines: list[bytes], powers: Powers, similarity: float, split: int | None = None, size: int = SHINGLE):
     """Index pairs that connect all lines that are similar, as few as needed.
 
     With `split`, only lines before it and lines from it on are compared with each other.
     A line is compared with all others at once, unless it is connected to all of them.
     """
+    if split is None and len(lines) <= FEW and sum(map(len, lines)) < CHUNK:
+        return _links_of_few(lines, similarity, size)
     hashes, first, count = shingle_hashes(lines, powers, size)
     owner = np.repeat(np.arange(len(lines)), count)
     order = np.lexsort((hashes, owner))
