@@ -142,8 +142,9 @@ def _lines(docs, id_column, text_column, min_chars):
     """Every line that can be a duplicate: where it is, its hash, its text."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
-    rows = rows.select("doc_id", "line", lower_ascii(F.trim("text")).alias("text"))
-    rows = rows.filter(F.char_length("text") >= min_chars)
+    # filtered first: lower-casing keeps the length, and a filter after it would do it twice
+    rows = rows.withColumn("text", F.trim("text")).filter(F.char_length("text") >= min_chars)
+    rows = rows.withColumn("text", lower_ascii(F.col("text")))
     return rows.select("doc_id", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
 
 
