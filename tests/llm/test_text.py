@@ -181,6 +181,26 @@ def test_pseudonyms_of_documents(spark):
     assert sorted(map(repr, restored.collect())) == sorted(map(repr, docs.collect()))
 
 
+ALONE = {
+    "email": ["a@b.org"],
+    "iban": ["GB82WEST12345698765432", "BE68 5390 0754 7034"],
+    "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+    "ssn": ["078-05-1120"],
+    "phone": ["269-555-3296", "(269) 555-3296", "(269)555-3296", "269.555.3296", "+4930123456", "+49 30 1234567", "+49.3.0.1.2.3.4.5"],
+    "date": ["12/05/1980", "2020/12/05", "2020-12-05", "31.01.1980", "31/12/1999"],
+    "ip": ["9.8.7.6", "16.195.23.156"],
+}
+
+
+@pytest.mark.parametrize("kind", pseudonyms.KINDS)
+def test_each_format_alone_in_a_text(kind):
+    to = pseudonyms.Pseudonyms(b"k")
+    for value in ALONE[kind]:
+        new, found = to(f"x {value}.")
+        assert [f[0] for f in found] == [kind] and value not in new
+        assert found[0][3] in to(f"x {value} and 4111-1111-1111-1111")[0]
+
+
 # toxicity
 
 
