@@ -9,6 +9,14 @@ them. Separators and case are kept, check digits are computed anew.
 Kinds, in order of precedence where findings overlap: email (letters and digits of the local
 part), iban, card, ssn, phone, date, ip.
 
+What stands behind a card or an IBAN can look like more of it (security code, expiry, year).
+Where the longest reading fails its check, shorter ones up to each group border are tried, and
+then readings from each later group on, these with one kind of mark between groups only
+(blanks or hyphens; with both it is mostly dates and numbers in a row). A pseudonym beside
+such digits can by chance (one in ten for a card) pass its check together with them, and a
+search of the new text then reads another value there; the spans tell where the value is,
+and `Pseudonyms(key, back=True).replace` reverses it.
+
 Defined cases: null text stays null and has no findings; values that fail their check are
 left alone; repeated rows get the same text; other columns are kept by `pseudonymised`; an
 empty table gives an empty result. Whole texts are searched, and a row is rewritten in the
@@ -214,6 +222,33 @@ def _ip(text, permute, back):
 RULES = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date, "ip": _ip}
 
 
+#: Kinds whose pattern can read on into what stands behind the value: characters between
+#: groups, and how many digits or letters the value has.
+GROUPED = {"iban": (" ", 15, 34), "card": (" -", 13, 19)}
+
+
+def _ends(kind, hit):
+    """Where the value can end: with the match or, for grouped kinds, with an earlier group."""
+    ends = [hit.end()]
+    if kind in GROUPED:
+        marks, least, most = GROUPED[kind]
+        text, n = hit.group(), 0
+        borders = []  # digits and letters before each, and where it is
+        for i, c in enumerate(text):
+            if c in marks:
+                borders.append((n, hit.start() + i))
+            else:
+                n += 1
+        ends += [end for n, end in reversed(borders) if least <= n <= most]
+    return ends
+
+
+def _next_group(hit):
+    """Start of the match's second group, or its end if it has one only."""
+    border = re.search("[ -]", hit.group())
+    return hit.start() + border.end() if border else hit.end()
+
+
 class Pseudonyms:
     """Finds and replaces; `back` reverses what the same key replaced."""
 
@@ -226,15 +261,24 @@ class Pseudonyms:
         """(kind, start, end, pseudonym) by start, without overlaps."""
         taken, starts = [], []
         for kind in KINDS[0 if "@" in text else 1 :]:
-            for hit in PATTERNS[kind].finditer(text):
-                start, end = hit.span()
-                place = bisect_left(starts, end)
-                if place and taken[place - 1][2] > start:
-                    continue
-                new = self.replace(kind, hit.group())
-                if new is not None:
-                    starts.insert(place, start)
-                    taken.insert(place, (kind, start, end, new))
+            hit, read = PATTERNS[kind].search(text), 0
+            while hit:
+                start, ends = hit.start(), _ends(kind, hit)
+                if start < read:  # part of an earlier reading
+                    ends = [e for e in ends if not {" ", "-"} <= set(text[start:e])]
+                read = max(read, hit.end())
+                after = _next_group(hit) if kind in GROUPED else hit.end()
+                for end in ends:
+                    place = bisect_left(starts, end)
+                    if place and taken[place - 1][2] > start:
+                        continue
+                    new = self.replace(kind, text[start:end])
+                    if new is not None:
+                        starts.insert(place, start)
+                        taken.insert(place, (kind, start, end, new))
+                        after = end
+                        break
+                hit = PATTERNS[kind].search(text, after)
         return taken
 
     def __call__(self, text):

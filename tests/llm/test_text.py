@@ -201,6 +201,30 @@ def test_each_format_alone_in_a_text(kind):
         assert found[0][3] in to(f"x {value} and 4111-1111-1111-1111")[0]
 
 
+@pytest.mark.parametrize("kind,value", [("card", "4111111111111111"), ("card", "4111 1111 1111 1111"), ("card", "4222222222222"),
+    ("iban", "BE68539007547034"), ("iban", "BE68 5390 0754 7034"), ("iban", "GB82 WEST 1234 5698 7654 32")])
+@pytest.mark.parametrize("before,after", [("", " 123"), ("", " 12/25"), ("", " 2031"), ("", " YEAR 2031"), ("12 ", ""), ("no 7 ", " 99 1")])
+def test_values_beside_other_groups(kind, value, before, after):
+    """A value is found whatever stands beside it, unless the longer reading is valid too."""
+    to, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    text = before + value + after
+    new, found = to(text)
+    assert value not in new
+    one = next(f for f in found if f[0] == kind)
+    if (one[1], one[2]) == (len(before), len(before + value)):
+        assert one[3] == to(value)[0]
+    else:
+        assert kind == "card" and pseudonyms.luhn("".join(c for c in text[one[1] : one[2]] if c.isdigit())) % 10 == 0
+    assert back.replace(kind, new[one[1] : one[2]]) == text[one[1] : one[2]]
+
+
+def test_cards_before_code_and_expiry():
+    to = pseudonyms.Pseudonyms(b"k")
+    for text in ("4111111111111111 123", "4111 1111 1111 1111 12/25"):
+        (kind, start, end, _), = to(text)[1]
+        assert (kind, start, text[end:]) in (("card", 0, " 123"), ("card", 0, " 12/25"))
+
+
 # toxicity
 
 
