@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 Lines are compared after trimming blanks and lower-casing A-Z. Equal lines become one row.
-Each different line gets `BANDS` x `ROWS` minimum hashes over its shingles of `SHINGLE`
-bytes; lines that agree in all rows of a band share a key and are compared exactly: they are
+Each different line gets `BANDS` x `ROWS` minimum hashes over its shingles of `size` code
+points; lines that agree in all rows of a band share a key and are compared exactly: they are
 linked if the Jaccard similarity of their shingle sets is at least `SIMILARITY`. Linked
 lines form groups (connected components, distributed union-find), and of each group the
 first line in (identifier, line number) order stays.
@@ -10,15 +10,19 @@ first line in (identifier, line number) order stays.
 A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)^BANDS:
 0.995 at 0.8, 0.9998 at 0.87. Lines that share a key are compared in the task that holds
 the key, as far as they are not connected yet; no pairs are produced. A key with more than
-`HELD` lines is cut into parts, and every two parts meet in a task of their own, so all
+`HELD` lines, or `HELD_BYTES` of text, is cut into parts, and every two parts meet in a task of their own, so all
 lines of the key are still compared. Keys that the same lines share (by their number and a
 64-bit hash of their ids) are one.
 
 The different lines' texts are shuffled once, into a table in buckets of the line's hash,
 which later joins read in place.
 
-Defined cases: null text is empty text; lines shorter than `min_chars` after trimming
-(blank ones too) always stay and are in no group; rows that repeat an identifier have lines
+`EVERY_LINE` are the options that leave nothing out: lines of any length are compared and have
+a row; a line shorter than a shingle is one shingle, so it only equals itself.
+
+Defined cases: null text is empty text; lines shorter than `min_chars` after trimming are not
+looked at: they stay, are in no group and have no row; blank lines always stay and are in no
+group; rows that repeat an identifier have lines
 at the same places, which stay or go together; rows without identifier come first; two
 lines whose 64-bit hashes collide are told apart by a second hash, and the one with the
 larger second hash stays as it is; other columns are kept by `without_repeated_lines`.
@@ -35,18 +39,31 @@ from reporank.operators.components import connected_components
 from reporank.session import written
 
 SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 9, 4, 10, 0.8, 20
+EVERY_LINE = {"min_chars": 0}
 HELD = 4096
 FEW = 4  # lines of a key up to which Python's sets are quicker than arrays
+HELD_BYTES = 4 << 20  # of the texts of one part of a key
+SIGNED = 1024  # rows taken out of an Arrow batch at a time
 CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
 
 
+def _points(lines):
+    """The code points of all lines, end to end, and how many each line has."""
+    data = b"".join(lines)
+    if data.isascii():
+        return np.frombuffer(data, dtype=np.uint8), np.array([len(x) for x in lines], dtype=np.int64)
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    length = np.array([len(x) for x in texts], dtype=np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"), length
+
+
 def shingle_hashes(lines: list[bytes], powers: Powers, size: int = SHINGLE):
-    """Hashes of all shingles of all lines, end to end, and how many each line has.
+    """Hashes of all shingles of all lines, end to end, where each line's begin, and how many
+    it has.
 
     A line shorter than a shingle is one shingle.
     """
-    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
-    length = np.array([len(x) for x in lines], dtype=np.int64)
+    data, length = _points(lines)
     begin = np.cumsum(length) - length
     count = np.maximum(1, length - size + 1)
     first = np.cumsum(count) - count
@@ -58,8 +75,8 @@ def shingle_hashes(lines: list[bytes], powers: Powers, size: int = SHINGLE):
     return hashes, first, count
 
 
-def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int = ROWS, size: int = SHINGLE):
-    """One 64-bit key per line and band."""
+def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int = ROWS, size: int = SHINGLE, cut=shingle_hashes):
+    """One 64-bit key per line and band; `cut` makes the hashes of the shingles."""
     bands = len(factors) // rows
     out = np.empty((len(lines), bands), dtype=np.uint64)
     begin = 0
@@ -68,7 +85,7 @@ def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int
         while end < len(lines) and (held < CHUNK or end == begin):
             held += len(lines[end])
             end += 1
-        hashes, first, _ = shingle_hashes(lines[begin:end], powers, size)
+        hashes, first, _ = cut(lines[begin:end], powers, size)
         scratch = np.empty_like(hashes)
         for band in range(bands):
             key = np.full(end - begin, band, dtype=np.uint64)
@@ -88,7 +105,8 @@ def factors(rows: int = ROWS, bands: int = BANDS, seed: int = 8111) -> np.ndarra
 
 def _links_of_few(lines, similarity, size):
     """The same as `links` for a handful of lines, by sets of shingles."""
-    sets = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in lines]
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    sets = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in texts]
     group, out = list(range(len(lines))), []
     for x, a in enumerate(sets):
         for y in range(x + 1, len(sets)):
@@ -100,15 +118,15 @@ def _links_of_few(lines, similarity, size):
     return out
 
 
-def links(lines: list[bytes], powers: Powers, similarity: float, split: int | None = None, size: int = SHINGLE):
+def links(lines: list[bytes], powers: Powers, similarity: float, split: int | None = None, size: int = SHINGLE, cut=shingle_hashes):
     """Index pairs that connect all lines that are similar, as few as needed.
 
     With `split`, only lines before it and lines from it on are compared with each other.
     A line is compared with all others at once, unless it is connected to all of them.
     """
-    if split is None and len(lines) <= FEW and sum(map(len, lines)) < CHUNK:
+    if cut is shingle_hashes and split is None and len(lines) <= FEW and sum(map(len, lines)) < CHUNK:
         return _links_of_few(lines, similarity, size)
-    hashes, first, count = shingle_hashes(lines, powers, size)
+    hashes, first, count = cut(lines, powers, size)
     owner = np.repeat(np.arange(len(lines)), count)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
@@ -148,25 +166,27 @@ def _lines(docs, id_column, text_column, min_chars):
     return rows.select("doc_id", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
 
 
-def _keyed(lines, rows, bands):
-    """(key, id) for each line and band."""
+def _keyed(lines, rows, bands, size, cut):
+    """(key, id, bytes of the line) for each line and band."""
     drawn = factors(rows, bands)
 
     def sign(batches):
         powers = Powers()
-        for batch in batches:
-            own = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-            if own:
-                keys = band_keys(own, powers, drawn, rows)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIGNED):
+                batch = whole.slice(at, SIGNED)
+                own = [t.as_buffer().to_pybytes() for t in batch.column("text")]
+                keys = band_keys(own, powers, drawn, rows, size, cut)
+                of = pa.array(np.repeat(np.arange(len(own)), bands))
+                sizes = pa.array([len(x) for x in own], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), batch.column("id").take(pa.array(np.repeat(np.arange(len(own)), bands)))],
-                    ["key", "id"],
+                    [pa.array(keys.ravel()), batch.column("id").take(of), sizes.take(of)], ["key", "id", "bytes"]
                 )
 
-    return lines.select("id", "text").mapInArrow(sign, "key long, id long")
+    return lines.select("id", "text").mapInArrow(sign, "key long, id long, bytes long")
 
 
-def _compared(members, similarity):
+def _compared(members, similarity, size, cut):
     """Links among the lines of each (key, i, j); rows come grouped by it.
 
     Parts i and j of a key are compared with each other, or one part with itself.
@@ -180,17 +200,19 @@ def _compared(members, similarity):
             ids, texts = [x[1] for x in held], [x[2] for x in held]
             split = sum(x[0] == last[1] for x in held) if last[1] != last[2] else None
             if len(held) > 1 and split not in (0, len(held)):
-                for x, y in links(texts, powers, similarity, split):
+                for x, y in links(texts, powers, similarity, split, size, cut):
                     yield ids[x], ids[y]
 
-        for batch in batches:
+        for whole in batches:
             edges = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id", "text")))
-            for key, i, j, part, id_, text in rows:
-                if last != (key, i, j):
-                    edges += close() if held else []
-                    last, held = (key, i, j), []
-                held.append((part, id_, text.encode()))
+            for at in range(0, whole.num_rows, SIGNED):
+                batch = whole.slice(at, SIGNED)
+                rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id")), batch.column("text"))
+                for key, i, j, part, id_, text in rows:
+                    if last != (key, i, j):
+                        edges += close() if held else []
+                        last, held = (key, i, j), []
+                    held.append((part, id_, text.as_buffer().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in edges], pa.int64()) for c in (0, 1)], ["a", "b"])
         if held:
             edges = list(close())
@@ -199,15 +221,17 @@ def _compared(members, similarity):
     return members.mapInArrow(compare, "a long, b long")
 
 
-def _similar(lines, partitions, similarity, rows, bands, held):
+def _similar(lines, partitions, similarity, rows, bands, held, size, cut):
     """Edges between similar lines of the bucketed table `lines`."""
-    keyed = _keyed(lines, rows, bands)
-    found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    keyed = _keyed(lines, rows, bands, size, cut)
+    found = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
+    )
     # The same lines mostly share several keys: one key is enough for each set of lines.
     # Written, so that the join below can split a key that very many share.
-    shared = written(found.filter("n > 1").groupBy("n", "who").agg(F.min("key").alias("key")))
-    members = keyed.join(shared, "key")
-    parts = F.ceil(F.col("n") / held).cast("int")
+    shared = written(found.filter("n > 1").groupBy("n", "bytes", "who").agg(F.min("key").alias("key")))
+    members = keyed.select("key", "id").join(shared, "key")
+    parts = F.greatest(F.ceil(F.col("n") / held), F.ceil(F.col("bytes") / HELD_BYTES)).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
     members = members.select("key", "id", part.alias("part"), F.sequence(F.lit(0), parts - 1).alias("others"))
     meeting = members.select("key", "id", "part", F.explode("others").alias("other"))
@@ -215,34 +239,33 @@ def _similar(lines, partitions, similarity, rows, bands, held):
         "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id"
     )
     texts = meeting.join(lines.select("id", "text"), "id")
-    grouped = texts.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return _compared(grouped, similarity).distinct()
+    met = texts.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _compared(met, similarity, size, cut).distinct()
 
 
-def line_groups(
-    docs: DataFrame,
+def grouped(
+    occurrences: DataFrame,
     similarity: float = SIMILARITY,
-    min_chars: int = MIN_CHARS,
-    id_column: str = "doc_id",
-    text_column: str = "text",
     rows: int = ROWS,
     bands: int = BANDS,
     held: int = HELD,
-) -> tuple[DataFrame, DataFrame]:
-    """The lines of the documents (doc_id, line, id, check), and for the hash of every line
-    that is there more than once, or has similar ones, the check and place of the line that
-    stays: (id, check, keep_doc, keep_line)."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    occurrences = _lines(docs, id_column, text_column, min_chars)
+    size: int = SHINGLE,
+    cut=shingle_hashes,
+    blank: bool = False,
+) -> DataFrame:
+    """For the hash of every text of (doc_id, line, id, check, text) that is there more than
+    once, or has similar ones, the check and place of the one that stays: (id, check,
+    keep_doc, keep_line). Empty texts are in no group unless `blank`."""
+    partitions = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     different = occurrences.groupBy("id").agg(
         F.min(F.struct("check", "doc_id", "line")).alias("first"),
         F.min(F.struct("check", "text")).alias("least"),
         F.count(F.lit(1)).alias("n"),
     )
     table = different.select("id", "first", F.col("least.text").alias("text"), "n")
+    table = table if blank else table.filter("text <> ''")
     lines, delete = bucketed(table, "id", partitions)
-    edges = written(_similar(lines, partitions, similarity, rows, bands, held))
+    edges = written(_similar(lines, partitions, similarity, rows, bands, held, size, cut))
     groups = connected_components(edges, "a", "b")
     slim = lines.select("id", "first", "n").join(groups, lines.id == groups.node, "left")
     slim = slim.filter("n > 1 OR component IS NOT NULL")
@@ -254,7 +277,21 @@ def line_groups(
     )
     kept = written(kept)
     delete()
-    return occurrences.drop("text"), kept
+    return kept
+
+
+def line_groups(
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """The lines of the documents (doc_id, line, id, check), and for the hash of every line
+    that is there more than once, or has similar ones, the check and place of the line that
+    stays: (id, check, keep_doc, keep_line). The options are those of `grouped`."""
+    occurrences = _lines(docs, id_column, text_column, min_chars)
+    return occurrences.drop("text"), grouped(occurrences, **options)
 
 
 def _judged(docs, **options):
@@ -264,7 +301,7 @@ def _judged(docs, **options):
 
 
 def repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """Per line of at least `min_chars`: doc_id, line (from 0), keep_doc, keep_line (the line
+    """Per line of at least `min_chars` (0: of every line, blank ones too): doc_id, line (from 0), keep_doc, keep_line (the line
     of its group that stays; itself if it is alone) and kept."""
     judged = _judged(docs, **options)
     alone = F.col("keep_line").isNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reporank.llm.common import table
 from reporank.llm.decontaminate import contamination
 from reporank.llm.exact_dedup import exact_duplicates
-from reporank.llm.line_dedup import repeated_lines
+from reporank.llm.line_dedup import EVERY_LINE, repeated_lines
 from reporank.llm.packing import pack
 from reporank.llm.pseudonyms import pseudonyms
 from reporank.llm.secret_scan import base_only, counted, listed, scan
@@ -67,7 +67,7 @@ def op7_decontamination(spark, d):
 
 
 def op8_line_dedup(spark, d):
-    return repeated_lines(table(spark, d, "documents"))
+    return repeated_lines(table(spark, d, "documents"), **EVERY_LINE)
 
 
 def op9_suffix_dedup(spark, d):
