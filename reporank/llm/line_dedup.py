@@ -10,15 +10,18 @@ first line in (identifier, line number) order stays.
 A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)^BANDS:
 0.995 at 0.8, 0.9998 at 0.87. Lines that share a key are compared in the task that holds
 the key, as far as they are not connected yet; no pairs are produced. A key with more than
-`HELD` lines, or `HELD_BYTES` of text, is cut into parts, and every two parts meet in a task of their own, so all
+`HELD` lines (or `held_bytes` of text, where given) is cut into parts, and every two parts meet in a task of their own, so all
 lines of the key are still compared. Keys that the same lines share (by their number and a
 64-bit hash of their ids) are one.
 
 The different lines' texts are shuffled once, into a table in buckets of the line's hash,
 which later joins read in place.
 
-`EVERY_LINE` are the options that leave nothing out: lines of any length are compared and have
-a row; a line shorter than a shingle is one shingle, so it only equals itself.
+`EVERY_LINE` are the options that leave nothing out: lines of any length are compared, in
+shingles of 5 code points. Then a line of 49 or more with one inner letter changed is at 0.8
+or more, unless shingles repeat in it; a line shorter than a shingle is one shingle, so it
+only equals itself. Lines have more of such shingles in common by chance, so a key is made of
+five hashes; the probability at 0.8 is 0.994.
 
 Defined cases: null text is empty text; lines shorter than `min_chars` after trimming are not
 looked at: they stay, are in no group and have no row; blank lines always stay and are in no
@@ -39,10 +42,9 @@ from reporank.operators.components import connected_components
 from reporank.session import written
 
 SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 9, 4, 10, 0.8, 20
-EVERY_LINE = {"min_chars": 0}
+EVERY_LINE = {"min_chars": 0, "size": 5, "rows": 5, "bands": 13}
 HELD = 4096
 FEW = 4  # lines of a key up to which Python's sets are quicker than arrays
-HELD_BYTES = 4 << 20  # of the texts of one part of a key
 SIGNED = 1024  # rows taken out of an Arrow batch at a time
 CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
 
@@ -221,17 +223,18 @@ def _compared(members, similarity, size, cut):
     return members.mapInArrow(compare, "a long, b long")
 
 
-def _similar(lines, partitions, similarity, rows, bands, held, size, cut):
+def _similar(lines, partitions, similarity, rows, bands, held, size, cut, held_bytes):
     """Edges between similar lines of the bucketed table `lines`."""
     keyed = _keyed(lines, rows, bands, size, cut)
+    weight = F.sum("bytes") if held_bytes else F.lit(0)
     found = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
+        F.count(F.lit(1)).alias("n"), weight.alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
     )
     # The same lines mostly share several keys: one key is enough for each set of lines.
     # Written, so that the join below can split a key that very many share.
     shared = written(found.filter("n > 1").groupBy("n", "bytes", "who").agg(F.min("key").alias("key")))
     members = keyed.select("key", "id").join(shared, "key")
-    parts = F.greatest(F.ceil(F.col("n") / held), F.ceil(F.col("bytes") / HELD_BYTES)).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / held), F.ceil(F.col("bytes") / (held_bytes or 1))).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
     members = members.select("key", "id", part.alias("part"), F.sequence(F.lit(0), parts - 1).alias("others"))
     meeting = members.select("key", "id", "part", F.explode("others").alias("other"))
@@ -251,6 +254,7 @@ def grouped(
     held: int = HELD,
     size: int = SHINGLE,
     cut=shingle_hashes,
+    held_bytes: int | None = None,
     blank: bool = False,
 ) -> DataFrame:
     """For the hash of every text of (doc_id, line, id, check, text) that is there more than
@@ -265,7 +269,7 @@ def grouped(
     table = different.select("id", "first", F.col("least.text").alias("text"), "n")
     table = table if blank else table.filter("text <> ''")
     lines, delete = bucketed(table, "id", partitions)
-    edges = written(_similar(lines, partitions, similarity, rows, bands, held, size, cut))
+    edges = written(_similar(lines, partitions, similarity, rows, bands, held, size, cut, held_bytes))
     groups = connected_components(edges, "a", "b")
     slim = lines.select("id", "first", "n").join(groups, lines.id == groups.node, "left")
     slim = slim.filter("n > 1 OR component IS NOT NULL")

@@ -1,11 +1,15 @@
-"""Dedup that leaves nothing out."""
+"""Dedup that leaves nothing out: every line, short shingles, near copies at 0.8 on five words."""
 
+import random
 from collections import defaultdict
 
 import brute
-from test_dedup import frame, line_corpus
+import corpus_pipeline
+import pytest
+from test_dedup import corpus, frame, line_corpus, prose
 
-from reporank.llm import line_dedup
+from reporank.llm import line_dedup, near_dedup
+from reporank.llm.rolling import Powers
 
 
 def jaccard(a, b):
@@ -48,3 +52,25 @@ def test_short_and_blank_lines_have_rows(spark):
     assert got[501, 0] == (500, 0) and got[503, 0] == (502, 3) and got[500, 3] == (500, 3)
     done = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs, **line_dedup.EVERY_LINE).collect()}
     assert done[500] == "ok\n\n \n--\nyes" and done[501] == "no\nчто\nab" and done[503] == ""
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop rstu", "абвгдежзийклмно рсту", "あいうえおかきくけこ さしすせ"])
+def test_one_letter_changed(letters):
+    """Such lines are linked exactly if their Jaccard is 0.8, so from 49 code points on always."""
+    rng, powers, options = random.Random(7), Powers(), line_dedup.EVERY_LINE
+    size, hashes = options.get("size", line_dedup.SHINGLE), options.get("rows", line_dedup.ROWS)
+    drawn = line_dedup.factors(hashes, options.get("bands", line_dedup.BANDS))
+    near = shared = 0
+    for length in range(20, 101):
+        line = "".join(rng.choice(letters) for _ in range(length))
+        at = rng.randrange(5, length - 5)
+        other = line[:at] + "#" + line[at + 1 :]
+        similar = jaccard(points(line), points(other)) >= 0.8
+        two = [line.encode(), other.encode()]
+        assert bool(line_dedup.links(two, powers, 0.8, size=size)) == similar
+        assert bool(line_dedup.links(two, powers, 0.8, 1, size=size)) == similar  # by arrays
+        assert similar or length < 49 + 9
+        keys = line_dedup.band_keys(two, powers, drawn, hashes, size)
+        near += similar
+        shared += similar and bool(set(keys[0].tolist()) & set(keys[1].tolist()))
+    assert near >= 50 and shared >= 0.98 * near
