@@ -74,3 +74,47 @@ def test_one_letter_changed(letters):
         near += similar
         shared += similar and bool(set(keys[0].tolist()) & set(keys[1].tolist()))
     assert near >= 50 and shared >= 0.98 * near
+
+
+def words(text):
+    own = brute.lower(text).encode().split()
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+
+def near_corpus():
+    rng = random.Random(11)
+    rows = corpus()
+    for i in range(30):  # one to three words changed in a hundred or more: mostly beyond two bits
+        base = prose(rng, rng.randrange(100, 200)).split()
+        rows.append((1000 + 10 * i, " ".join(base)))
+        for k in range(1, 4):
+            other = list(base)
+            for _ in range(k):
+                other[rng.randrange(len(other))] = f"n{i}k{k}"
+            rows.append((1000 + 10 * i + k, "\n ".join(other)))
+    return rows + [(None, rows[0][1]), (2000, rows[1][1].upper())]
+
+
+@pytest.mark.parametrize("held_bytes", [near_dedup.HELD_BYTES, 300])
+def test_near_copies_at_five_words(spark, held_bytes):
+    rows = near_corpus()
+    sets = {i: words(t) for i, t in rows if i is not None}
+    group = brute.components(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 - 1e-9)
+    docs = frame(spark, rows)
+    got = near_dedup.without_similar_documents(docs, held_bytes=held_bytes)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(group.values()))
+
+
+def test_the_stage_finds_them(spark):
+    """One changed word in a hundred: Jaccard over 0.9, but mostly more than two bits."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(20):
+        base = prose(rng, 120).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:60], "changed", *base[61:]]))]
+    left = corpus_pipeline.near_dedup(spark, frame(spark, rows), None).collect()
+    assert sorted(r.doc_id for r in left) == list(range(0, 40, 2))
+    assert near_dedup.without_similar_documents(frame(spark, [])).count() == 0
+    nulls = frame(spark, [(None, "a b c"), (3, "a b c"), (None, None), (9, "x y z q r s")])
+    assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_dedup(spark, nulls, None).collect()))) == ["3", "9", "None"]
