@@ -11,7 +11,8 @@ get a grade by how many words typical of toxic documents they hold, 1 up to the
 2 above it.
 
 The model is fitted on the driver from at most `sample_rows` labelled rows (a documented
-bound; rows are chosen by hash; features are in at least `min_documents` of them and more
+bound; identifiers are chosen by hash and reduced to one row each before the driver gets
+them, of several texts the one with the smallest hash; features are in at least `min_documents` of them and more
 common in one class than in the other). Everything else covers all rows: every document is scored over its whole text, in
 the task that reads it. Weights are at most `sample_rows` documents' words, so what is sent
 to the tasks does not grow with the data.
@@ -148,8 +149,9 @@ def fit(counts, toxic, min_documents=MIN_DOCUMENTS, ridge=2e-4, rounds=150, rate
     return Ordinal({w: float(state[i]) for w, i in vocabulary.items()}, cut)
 
 
-def _sample(docs, labels, sample_rows, id_column, text_column, label_column):
-    """Word counts and marks of at most `sample_rows` labelled documents."""
+def _sampled(docs, labels, sample_rows, id_column, text_column, label_column):
+    """One row for each of at most `sample_rows` labelled identifiers: the word counts of its
+    text (of several, the one with the smallest hash) and its mark."""
     marked = (
         labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic"))
         .dropna()
@@ -158,7 +160,7 @@ def _sample(docs, labels, sample_rows, id_column, text_column, label_column):
     )
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id")  # at most sample_rows short rows
+    rows = texts.join(F.broadcast(chosen), "id").withColumn("hash", F.xxhash64("text"))
 
     def count(batches):
         for batch in batches:
@@ -167,21 +169,27 @@ def _sample(docs, labels, sample_rows, id_column, text_column, label_column):
                 [
                     batch.column("id"),
                     batch.column("toxic"),
+                    batch.column("hash"),
                     pa.array([b" ".join(x) for x in own], pa.binary()),
                     pa.array([list(x.values()) for x in own], pa.list_(pa.int32())),
                 ],
-                ["id", "toxic", "words", "counts"],
+                ["id", "toxic", "hash", "words", "counts"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    table = rows.mapInArrow(count, f"id {kind}, toxic int, words binary, counts array<int>").toArrow()
-    taken, counts, toxic = set(), [], []
+    found = rows.mapInArrow(count, f"id {kind}, toxic int, hash long, words binary, counts array<int>")
+    # rows of one identifier are reduced in every task before they meet
+    least = found.groupBy("id").agg(F.min(F.struct("hash", "words", "counts", "toxic")).alias("least"))
+    return least.select("id", "least.toxic", "least.words", "least.counts")
+
+
+def _sample(*args):
+    """Word counts and marks of the sample, by identifier."""
+    table = _sampled(*args).toArrow()
+    counts, toxic = [], []
     for i in np.argsort(np.array([str(x) for x in table.column("id").to_pylist()]), kind="stable").tolist():
-        identifier = table.column("id")[i].as_py()
-        if identifier not in taken:  # a document that is there twice is one label
-            taken.add(identifier)
-            counts.append(Counter(dict(zip(table.column("words")[i].as_py().split(), table.column("counts")[i].as_py()))))
-            toxic.append(table.column("toxic")[i].as_py() > 0)
+        counts.append(Counter(dict(zip(table.column("words")[i].as_py().split(), table.column("counts")[i].as_py()))))
+        toxic.append(table.column("toxic")[i].as_py() > 0)
     return counts, toxic
 
 

@@ -228,6 +228,18 @@ def test_cards_before_code_and_expiry():
 # toxicity
 
 
+def test_one_sampled_row_for_each_identifier(spark):
+    rows = [(1, f"text of one {i % 50}") for i in range(400)] + [(2, "two words"), (2, None), (3, "three")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 1)], "doc_id long, toxic int")
+    columns = (10, "doc_id", "text", "toxic")
+    docs = frame(spark, rows).repartition(7)
+    assert toxicity._sampled(docs, labels, *columns).count() == 2
+    some = toxicity._sample(docs, labels, *columns)
+    assert some[1] == [True, False]
+    for other in (rows[::-1], rows[200:] + rows[:200]):
+        assert toxicity._sample(frame(spark, other).coalesce(1), labels, *columns) == some
+
+
 def labelled(seed=3, n=600):
     rng = random.Random(seed)
     rows, labels = [], []
