@@ -85,6 +85,62 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (n)"""
 
 
+#: Every term of every document; impacts and weights as the contract states them.
+SEARCH = f"""WITH d AS (
+  SELECT row_number() OVER () AS n_row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (
+  SELECT row_number() OVER () AS n_item, item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM d WHERE len(w) > 0),
+tf AS (SELECT n_row, term, count(*)::BIGINT AS tf FROM (SELECT n_row, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+weight AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+asked AS (SELECT n_item, item_id, term, count(*)::BIGINT AS c FROM (SELECT n_item, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+long AS (SELECT n_row, doc_id, 100 - 75 + ((75 * len(w)::BIGINT * N) // L) AS m FROM d, total),
+scored AS (
+  SELECT n_item, item_id, n_row, doc_id, sum(c * weight.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN long USING (n_row) GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+#: All pairs of a label, then everything that can be reached.
+VECTORS = """WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+sound AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND list_bool_and(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_inner_product(v, v) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.n AS a, b.n AS b FROM sound a JOIN sound b ON a.label = b.label AND a.n <> b.n AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT n AS a, n AS b FROM e UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN e ON e.n = reach.b GROUP BY a),
+many AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN least ON least.a = n LEFT JOIN many ON many.a = n"""
+
+#: All products of anchors with all rows; they are whole numbers far below 2**53.
+NEGATIVES = """WITH e AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS MATERIALIZED (
+  SELECT a.n AS n, a.vec_id AS anchor_id, b.n AS other, b.vec_id AS other_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.n <> b.n AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, other_id, other) <= 5),
+r AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.n, p.other ORDER BY s.score DESC, s.other_id, s.other) AS rank
+  FROM p JOIN s ON s.n = p.n AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10"""
+
+
 #: Fingerprints need XXH64, which DuckDB lacks; no twin for op4.
 def statements():
-    return {"op2_exact_dedup": EXACT, "op7_decontamination": LEAKS, "op10_secret_scan": _secrets()}
+    return {
+        "op2_exact_dedup": EXACT, "op7_decontamination": LEAKS, "op10_secret_scan": _secrets(),
+        "op11_lexical_search": SEARCH, "op12_embedding_dedup": VECTORS, "op13_hard_negatives": NEGATIVES,
+    }

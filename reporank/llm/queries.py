@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from reporank.llm.common import table
 from reporank.llm.decontaminate import contamination
 from reporank.llm.exact_dedup import exact_duplicates
+from reporank.llm.hard_negatives import hard_negatives
+from reporank.llm.lexical_search import ranked
 from reporank.llm.line_dedup import EVERY_LINE, repeated_lines
 from reporank.llm.packing import pack
 from reporank.llm.pseudonyms import pseudonyms
@@ -15,6 +17,7 @@ from reporank.llm.simhash import near_duplicates
 from reporank.llm.suffix_dedup import without_repeats
 from reporank.llm.token_counts import count_tokens
 from reporank.llm.toxicity import severity, trained
+from reporank.llm.vector_links import linked_vectors
 from reporank.session import scratch_root
 
 
@@ -84,10 +87,25 @@ def op10_secret_scan(spark, d):
     )
 
 
+def op11_lexical_search(spark, d):
+    return ranked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op12_embedding_dedup(spark, d):
+    return linked_vectors(table(spark, d, "embeddings"))
+
+
+def op13_hard_negatives(spark, d):
+    """Every seventh label is moved by one, as the contract asks."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, d, "embeddings").withColumn("label", moved))
+
+
 REGISTERED = {
     f.__name__: f
     for f in (
         op1_packing, op2_exact_dedup, op3_token_counts, op4_simhash, op5_pii, op6_toxicity,
         op7_decontamination, op8_line_dedup, op9_suffix_dedup, op10_secret_scan,
+        op11_lexical_search, op12_embedding_dedup, op13_hard_negatives,
     )
 }
