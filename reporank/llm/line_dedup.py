@@ -3,48 +3,54 @@
 Lines are compared after trimming blanks and lower-casing A-Z. Equal lines become one row.
 Each different line gets `BANDS` x `ROWS` minimum hashes over its shingles of `size` code
 points; lines that agree in all rows of a band share a key and are compared exactly: they are
-linked if the Jaccard similarity of their shingle sets is at least `SIMILARITY`. Linked
+linked if the Jaccard similarity of their shingle sets (64-bit hashes of the shingles) is at
+least `SIMILARITY`. Linked
 lines form groups (connected components, distributed union-find), and of each group the
 first line in (identifier, line number) order stays.
 
-A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)^BANDS:
-0.995 at 0.8, 0.9998 at 0.87. Lines that share a key are compared in the task that holds
-the key, as far as they are not connected yet; no pairs are produced. A key with more than
-`HELD` lines (or `held_bytes` of text, where given) is cut into parts, and every two parts meet in a task of their own, so all
-lines of the key are still compared. Keys that the same lines share (by their number and a
-64-bit hash of their ids) are one.
+A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.994
+at 0.8, 0.9997 at 0.87. Lines are signed once; rows of (key, line) are sorted by key within
+tasks, and those that have no equal neighbour go. A key with more than a task's share of all
+rows (told from every `SAMPLED`th line) is dealt out by line and skips that test. Lines that
+share a key are compared in the task that holds the key, as far as they are not connected yet
+and their sizes allow it; no pairs are produced. A key with more than `HELD` lines or
+`HELD_BYTES` of text is cut into parts, and every two parts meet in a task of their own, so
+all lines of the key are still compared. Keys that the same lines share (by their number and
+a 64-bit hash of their ids) are one.
 
 The different lines' texts are shuffled once, into a table in buckets of the line's hash,
-which later joins read in place.
-
-`EVERY_LINE` are the options that leave nothing out: lines of any length are compared, in
-shingles of 5 code points. Then a line of 49 or more with one inner letter changed is at 0.8
-or more, unless shingles repeat in it; a line shorter than a shingle is one shingle, so it
-only equals itself. Lines have more of such shingles in common by chance, so a key is made of
-five hashes; the probability at 0.8 is 0.994.
-
-Defined cases: null text is empty text; lines shorter than `min_chars` after trimming are not
-looked at: they stay, are in no group and have no row; blank lines always stay and are in no
-group; rows that repeat an identifier have lines
-at the same places, which stay or go together; rows without identifier come first; two
-lines whose 64-bit hashes collide are told apart by a second hash, and the one with the
-larger second hash stays as it is; other columns are kept by `without_repeated_lines`.
+which later joins read in place; it is dropped in the end, also after a failure.
+
+Lines of any length are compared. Shingles are 5 code points: a line of 49 or more with one
+inner letter changed is at 0.8 or more, unless shingles repeat in it; a line shorter than a
+shingle is one shingle, so it only equals itself.
+
+Defined cases: null text is empty text; lines shorter than `min_chars` after trimming (none
+by default) are not looked at: they stay, are in no group and have no row; blank lines always
+stay and are in no group; a place is an identifier, a hash of the whole text and a line
+number, in this order: rows that repeat an identifier with another text are documents of
+their own, rows that repeat both have the same lines, which stay or go together; rows without
+identifier come first; two lines whose 64-bit hashes collide are told apart by a second hash,
+and the one with the larger second hash stays as it is; other columns are kept by
+`without_repeated_lines`.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reporank.llm.common import bucketed, lower_ascii
 from reporank.llm.rolling import Powers, Prefixes, mixed
 from reporank.operators.components import connected_components
 from reporank.session import written
 
-SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 9, 4, 10, 0.8, 20
-EVERY_LINE = {"min_chars": 0, "size": 5, "rows": 5, "bands": 13}
-HELD = 4096
-FEW = 4  # lines of a key up to which Python's sets are quicker than arrays
+SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 5, 5, 13, 0.8, 0
+HELD = 4096  # lines of one part of a key
+HELD_BYTES = 4 << 20  # of their texts
+SAMPLED, HOT = 64, 64  # every how manieth line is judged by; rows there of a key that may be hot
+FEW = 4  # sets up to which pairs are compared at once
 SIGNED = 1024  # rows taken out of an Arrow batch at a time
 CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
 
@@ -77,8 +83,8 @@ def shingle_hashes(lines: list[bytes], powers: Powers, size: int = SHINGLE):
     return hashes, first, count
 
 
-def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int = ROWS, size: int = SHINGLE, cut=shingle_hashes):
-    """One 64-bit key per line and band; `cut` makes the hashes of the shingles."""
+def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int = ROWS, size: int = SHINGLE):
+    """One 64-bit key per line and band, over the upper halves of the shingles' hashes."""
     bands = len(factors) // rows
     out = np.empty((len(lines), bands), dtype=np.uint64)
     begin = 0
@@ -87,7 +93,8 @@ def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int
         while end < len(lines) and (held < CHUNK or end == begin):
             held += len(lines[end])
             end += 1
-        hashes, first, _ = cut(lines[begin:end], powers, size)
+        hashes, first, _ = shingle_hashes(lines[begin:end], powers, size)
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
         scratch = np.empty_like(hashes)
         for band in range(bands):
             key = np.full(end - begin, band, dtype=np.uint64)
@@ -101,75 +108,86 @@ def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int
 
 def factors(rows: int = ROWS, bands: int = BANDS, seed: int = 8111) -> np.ndarray:
     """Odd factors; a product with one orders mixed hashes anew."""
-    drawn = np.random.default_rng(seed).integers(0, 1 << 63, rows * bands, dtype=np.uint64)
-    return drawn * np.uint64(2) + np.uint64(1)
+    drawn = np.random.default_rng(seed).integers(0, 1 << 31, rows * bands, dtype=np.uint32)
+    return drawn * np.uint32(2) + np.uint32(1)
 
 
-def _links_of_few(lines, similarity, size):
-    """The same as `links` for a handful of lines, by sets of shingles."""
-    texts = [x.decode("utf-8", "replace") for x in lines]
-    sets = [{x[i : i + size] for i in range(max(1, len(x) - size + 1))} for x in texts]
-    group, out = list(range(len(lines))), []
-    for x, a in enumerate(sets):
-        for y in range(x + 1, len(sets)):
-            if group[x] != group[y]:
-                shared = len(a & sets[y])
-                if shared >= similarity * (len(a) + len(sets[y]) - shared) - 1e-9:
-                    group = [group[x] if g == group[y] else g for g in group]
-                    out.append((x, y))
+def shingle_sets(lines: list[bytes], powers: Powers, size: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted different shingle hashes of each line."""
+    hashes, first, count = shingle_hashes(lines, powers, size)
+    out = []
+    for begin, end in zip(first.tolist(), (first + count).tolist()):
+        own = np.sort(hashes[begin:end])
+        fresh = own[1:] != own[:-1]
+        out.append(own if fresh.all() else own[np.append(True, fresh)])
     return out
 
 
-def links(lines: list[bytes], powers: Powers, similarity: float, split: int | None = None, size: int = SHINGLE, cut=shingle_hashes):
-    """Index pairs that connect all lines that are similar, as few as needed.
+def _near(a, b, similarity):
+    """Whether two sorted sets have the Jaccard similarity."""
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
 
-    With `split`, only lines before it and lines from it on are compared with each other.
-    A line is compared with all others at once, unless it is connected to all of them.
+def links(sets: list[np.ndarray], similarity: float, split: int | None = None):
+    """Index pairs that connect all sets that are similar, as few as needed.
+
+    With `split`, only sets before it and sets from it on are compared with each other. What
+    is connected already is not compared, nor are sizes that are too far apart. Many sets are
+    first counted by slots of their hashes, of which two different ones may share one: that
+    gives too large a count at most, and only what passes by it is compared exactly.
     """
-    if cut is shingle_hashes and split is None and len(lines) <= FEW and sum(map(len, lines)) < CHUNK:
-        return _links_of_few(lines, similarity, size)
-    hashes, first, count = cut(lines, powers, size)
-    owner = np.repeat(np.arange(len(lines)), count)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
-    hashes, owner = hashes[fresh], owner[fresh]
-    size_of = np.bincount(owner, minlength=len(lines))
-    _, number = np.unique(hashes, return_inverse=True)
+    n = len(sets)
+    if n == 2:
+        a, b = sets
+        possible = min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9
+        return [(0, 1)] if possible and _near(a, b, similarity) else []
+    size_of = np.array([len(s) for s in sets])
     begin = np.cumsum(size_of) - size_of
-    marked = np.zeros(int(number.max()) + 1, dtype=bool)
-    group = np.arange(len(lines))
-    out = []
-    for x in range(split or len(lines)):
-        others = slice(split, None) if split else slice(x + 1, None)
-        if not (group[others] != group[x]).any():
+    slots = (np.concatenate(sets) >> np.uint64(48)).astype(np.uint16)
+    marked, group, out = np.zeros(1 << 16, dtype=bool), np.arange(n), []
+    for x in range(split or n - 1):
+        low = split or x + 1
+        others = np.flatnonzero(
+            (group[low:] != group[x])
+            & (np.minimum(size_of[low:], size_of[x]) >= similarity * np.maximum(size_of[low:], size_of[x]) - 1e-9)
+        )
+        if not len(others):
             continue
-        own = number[begin[x] : begin[x] + size_of[x]]
-        marked[own] = True
-        shared = np.add.reduceat(marked[number].astype(np.int32), begin)
-        marked[own] = False
-        both = size_of + size_of[x] - shared
-        near = shared >= similarity * both - 1e-9
-        near[: split or x + 1] = False
-        for y in np.flatnonzero(near & (group != group[x])).tolist():
-            if group[y] != group[x]:
+        if len(others) > FEW:
+            own = slots[begin[x] : begin[x] + size_of[x]]
+            marked[own] = True
+            shared = np.add.reduceat(marked[slots[begin[low] :]].astype(np.int32), begin[low:] - begin[low])[others]
+            marked[own] = False
+            shared = np.minimum(shared, size_of[low:][others])
+            others = others[shared >= similarity * (size_of[low:][others] + size_of[x] - shared) - 1e-9]
+        for y in (others + low).tolist():
+            if group[y] != group[x] and _near(sets[x], sets[y], similarity):
                 group[group == group[y]] = group[x]
                 out.append((x, y))
     return out
 
 
+def _whole(text):
+    """Tells rows of one identifier apart: a hash of the whole text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _lines(docs, id_column, text_column, min_chars):
     """Every line that can be a duplicate: where it is, its hash, its text."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
+    each = F.posexplode(F.split(text, "\n", -1)).alias("line", "text")
+    rows = docs.select(F.col(id_column).alias("doc_id"), _whole(F.col(text_column)).alias("whole"), each)
     # filtered first: lower-casing keeps the length, and a filter after it would do it twice
     rows = rows.withColumn("text", F.trim("text")).filter(F.char_length("text") >= min_chars)
     rows = rows.withColumn("text", lower_ascii(F.col("text")))
-    return rows.select("doc_id", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
+    return rows.select("doc_id", "whole", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
 
 
-def _keyed(lines, rows, bands, size, cut):
-    """(key, id, bytes of the line) for each line and band."""
+def _keyed(lines, rows, bands, size):
+    """(key, id) for each line and band."""
     drawn = factors(rows, bands)
 
     def sign(batches):
@@ -178,17 +196,55 @@ def _keyed(lines, rows, bands, size, cut):
             for at in range(0, whole.num_rows, SIGNED):
                 batch = whole.slice(at, SIGNED)
                 own = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-                keys = band_keys(own, powers, drawn, rows, size, cut)
+                keys = band_keys(own, powers, drawn, rows, size)
                 of = pa.array(np.repeat(np.arange(len(own)), bands))
-                sizes = pa.array([len(x) for x in own], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), batch.column("id").take(of), sizes.take(of)], ["key", "id", "bytes"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(of)], ["key", "id"])
+
+    return lines.select("id", "text").mapInArrow(sign, "key long, id long")
 
-    return lines.select("id", "text").mapInArrow(sign, "key long, id long, bytes long")
 
+def _hot_keys(lines, partitions, rows, bands, size, least):
+    """Keys that hold more than a task's share of all rows, judged by every `SAMPLED`th line.
 
-def _compared(members, similarity, size, cut):
+    At most `partitions` keys, so they can travel with the plan.
+    """
+    drawn = lines.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SAMPLED)) == 0)
+    counts = written(_keyed(drawn, rows, bands, size).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r.key for r in counts.filter(F.col("n") > max(least, total / partitions)).select("key").collect()]
+
+
+def _shared(keyed, partitions, hot):
+    """The rows whose key other rows have too. Rows of hot keys are dealt out by line."""
+    place = F.when(F.col("key").isin(hot), F.xxhash64("id")).otherwise(F.col("key")) if hot else F.col("key")
+    dealt = keyed.repartition(partitions, place).sortWithinPartitions("key")
+    known = np.array(sorted(hot), dtype=np.int64)
+
+    def pick(batches):
+        # the last row of a batch is decided with the next one
+        key, id_, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def chosen(key, id_, before, end):
+            """Rows up to `end` that have an equal neighbour."""
+            same = key[1:] == key[:-1]
+            stays = np.append(same, False) | np.append(before is not None and len(key) > 0 and key[0] == before, same)
+            stays |= np.isin(key, known)
+            stays[end:] = False
+            return pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(id_[stays])], ["key", "id"])
+
+        for batch in batches:
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            id_ = np.concatenate([id_, batch.column("id").to_numpy()])
+            if len(key) > 1:
+                yield chosen(key, id_, before, len(key) - 1)
+                before, key, id_ = key[-2], key[-1:], id_[-1:]
+        if len(key):
+            yield chosen(key, id_, before, len(key))
+
+    return dealt.mapInArrow(pick, "key long, id long")
+
+
+def _compared(members, similarity, size):
     """Links among the lines of each (key, i, j); rows come grouped by it.
 
     Parts i and j of a key are compared with each other, or one part with itself.
@@ -198,43 +254,46 @@ def _compared(members, similarity, size, cut):
         powers, last, held = Powers(), None, []
 
         def close():
-            held.sort()
-            ids, texts = [x[1] for x in held], [x[2] for x in held]
+            held.sort(key=lambda x: x[:2])
             split = sum(x[0] == last[1] for x in held) if last[1] != last[2] else None
             if len(held) > 1 and split not in (0, len(held)):
-                for x, y in links(texts, powers, similarity, split, size, cut):
-                    yield ids[x], ids[y]
+                for x, y in links([x[2] for x in held], similarity, split):
+                    yield held[x][1], held[y][1]
+
+        def landed(edges):
+            return pa.RecordBatch.from_arrays([pa.array([e[c] for e in edges], pa.int64()) for c in (0, 1)], ["a", "b"])
 
         for whole in batches:
             edges = []
             for at in range(0, whole.num_rows, SIGNED):
                 batch = whole.slice(at, SIGNED)
-                rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id")), batch.column("text"))
-                for key, i, j, part, id_, text in rows:
+                sets = shingle_sets([t.as_buffer().to_pybytes() for t in batch.column("text")], powers, size)
+                rows = zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id")), sets)
+                for key, i, j, part, id_, own in rows:
                     if last != (key, i, j):
                         edges += close() if held else []
                         last, held = (key, i, j), []
-                    held.append((part, id_, text.as_buffer().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in edges], pa.int64()) for c in (0, 1)], ["a", "b"])
+                    held.append((part, id_, own))
+            yield landed(edges)
         if held:
-            edges = list(close())
-            yield pa.RecordBatch.from_arrays([pa.array([e[c] for e in edges], pa.int64()) for c in (0, 1)], ["a", "b"])
+            yield landed(list(close()))
 
     return members.mapInArrow(compare, "a long, b long")
 
 
-def _similar(lines, partitions, similarity, rows, bands, held, size, cut, held_bytes):
+def _similar(lines, partitions, similarity, rows, bands, size, held, held_bytes, least):
     """Edges between similar lines of the bucketed table `lines`."""
-    keyed = _keyed(lines, rows, bands, size, cut)
-    weight = F.sum("bytes") if held_bytes else F.lit(0)
-    found = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), weight.alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
+    hot = _hot_keys(lines, partitions, rows, bands, size, least)
+    shared = written(_shared(_keyed(lines, rows, bands, size), partitions, hot))
+    found = shared.join(lines.select("id", "bytes"), "id").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
     )
     # The same lines mostly share several keys: one key is enough for each set of lines.
     # Written, so that the join below can split a key that very many share.
-    shared = written(found.filter("n > 1").groupBy("n", "bytes", "who").agg(F.min("key").alias("key")))
-    members = keyed.select("key", "id").join(shared, "key")
-    parts = F.greatest(F.ceil(F.col("n") / held), F.ceil(F.col("bytes") / (held_bytes or 1))).cast("int")
+    one = written(found.filter("n > 1").groupBy("n", "bytes", "who").agg(F.min("key").alias("key")))
+    members = shared.join(one, "key")
+    parts = F.greatest(F.ceil(F.col("n") / held), F.ceil(F.col("bytes") / held_bytes))
+    parts = F.least(parts, F.col("n")).cast("int")
     part = F.pmod(F.xxhash64("id"), parts).cast("int")
     members = members.select("key", "id", part.alias("part"), F.sequence(F.lit(0), parts - 1).alias("others"))
     meeting = members.select("key", "id", "part", F.explode("others").alias("other"))
@@ -243,7 +302,7 @@ def _similar(lines, partitions, similarity, rows, bands, held, size, cut, held_b
     )
     texts = meeting.join(lines.select("id", "text"), "id")
     met = texts.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return _compared(met, similarity, size, cut).distinct()
+    return _compared(met, similarity, size).distinct()
 
 
 def grouped(
@@ -253,35 +312,33 @@ def grouped(
     bands: int = BANDS,
     held: int = HELD,
     size: int = SHINGLE,
-    cut=shingle_hashes,
-    held_bytes: int | None = None,
-    blank: bool = False,
+    held_bytes: int = HELD_BYTES,
+    hot: int = HOT,
 ) -> DataFrame:
-    """For the hash of every text of (doc_id, line, id, check, text) that is there more than
-    once, or has similar ones, the check and place of the one that stays: (id, check,
-    keep_doc, keep_line). Empty texts are in no group unless `blank`."""
+    """For the hash of every line of (doc_id, whole, line, id, check, text) that is there more
+    than once, or has similar ones, the check and place of the one that stays: (id, check,
+    keep_doc, keep_whole, keep_line). Empty lines are in no group."""
     partitions = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     different = occurrences.groupBy("id").agg(
-        F.min(F.struct("check", "doc_id", "line")).alias("first"),
+        F.min(F.struct("check", "doc_id", "whole", "line")).alias("first"),
         F.min(F.struct("check", "text")).alias("least"),
         F.count(F.lit(1)).alias("n"),
     )
-    table = different.select("id", "first", F.col("least.text").alias("text"), "n")
-    table = table if blank else table.filter("text <> ''")
+    table = different.select("id", "first", F.col("least.text").alias("text"), "n").filter("text <> ''")
+    table = table.withColumn("bytes", F.octet_length("text"))
     lines, delete = bucketed(table, "id", partitions)
-    edges = written(_similar(lines, partitions, similarity, rows, bands, held, size, cut, held_bytes))
-    groups = connected_components(edges, "a", "b")
-    slim = lines.select("id", "first", "n").join(groups, lines.id == groups.node, "left")
-    slim = slim.filter("n > 1 OR component IS NOT NULL")
-    slim = written(slim.select("id", "first", F.coalesce("component", "id").alias("component")))
-    place = F.struct("first.doc_id", "first.line")
-    keepers = written(slim.groupBy("component").agg(F.min(place).alias("keep")))
-    kept = slim.join(keepers, "component").select(
-        "id", F.col("first.check").alias("check"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line")
-    )
-    kept = written(kept)
-    delete()
-    return kept
+    try:
+        edges = written(_similar(lines, partitions, similarity, rows, bands, size, held, held_bytes, hot))
+        groups = connected_components(edges, "a", "b")
+        slim = lines.select("id", "first", "n").join(groups, lines.id == groups.node, "left")
+        slim = slim.filter("n > 1 OR component IS NOT NULL")
+        slim = written(slim.select("id", "first", F.coalesce("component", "id").alias("component")))
+        place = F.struct("first.doc_id", "first.whole", "first.line")
+        keepers = written(slim.groupBy("component").agg(F.min(place).alias("keep")))
+        keep = (F.col(f"keep.{c}").alias(f"keep_{name}") for c, name in (("doc_id", "doc"), ("whole", "whole"), ("line", "line")))
+        return written(slim.join(keepers, "component").select("id", F.col("first.check").alias("check"), *keep))
+    finally:
+        delete()
 
 
 def line_groups(
@@ -291,9 +348,9 @@ def line_groups(
     text_column: str = "text",
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """The lines of the documents (doc_id, line, id, check), and for the hash of every line
-    that is there more than once, or has similar ones, the check and place of the line that
-    stays: (id, check, keep_doc, keep_line). The options are those of `grouped`."""
+    """The lines of the documents (doc_id, whole, line, id, check), and for the hash of every
+    line that is there more than once, or has similar ones, the check and place of the line
+    that stays: (id, check, keep_doc, keep_whole, keep_line). The options are those of `grouped`."""
     occurrences = _lines(docs, id_column, text_column, min_chars)
     return occurrences.drop("text"), grouped(occurrences, **options)
 
@@ -301,7 +358,13 @@ def line_groups(
 def _judged(docs, **options):
     """Every line with the place of the line that stays, null if it is in no group."""
     lines, kept = line_groups(docs, **options)
-    return lines.join(kept, ["id", "check"], "left").select("doc_id", "line", "keep_doc", "keep_line")
+    places = ("doc_id", "whole", "line", "keep_doc", "keep_whole", "keep_line")
+    return lines.join(kept, ["id", "check"], "left").select(*places)
+
+
+def _is_keeper():
+    same = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line") == F.col("keep_line"))
+    return same & (F.col("whole") == F.col("keep_whole"))
 
 
 def repeated_lines(docs: DataFrame, **options) -> DataFrame:
@@ -309,14 +372,30 @@ def repeated_lines(docs: DataFrame, **options) -> DataFrame:
     of its group that stays; itself if it is alone) and kept."""
     judged = _judged(docs, **options)
     alone = F.col("keep_line").isNull()
-    judged = judged.select(
+    return judged.select(
         "doc_id",
         "line",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_doc")).alias("keep_doc"),
         F.coalesce("keep_line", "line").alias("keep_line"),
+        (alone | _is_keeper()).alias("kept"),
     )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line") == F.col("keep_line"))
-    return judged.withColumn("kept", kept)
+
+
+@F.arrow_udf(StringType())
+def _rest(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines at the given places; null where either is null."""
+    out = []
+    for text, places in zip(texts, gone):
+        text, places = text.as_py(), places.as_py()
+        if text is None or places is None:
+            out.append(None)
+            continue
+        places = set(places)
+        out.append("\n".join(line for n, line in enumerate(text.split("\n")) if n not in places))
+    return pa.array(out, pa.string())
+
+
+_rest = _rest.asNondeterministic()  # called once per row
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
@@ -325,11 +404,9 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     A document all of whose lines go keeps an empty text: no document is dropped.
     """
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    judged = _judged(docs, **options).filter("keep_line IS NOT NULL")
-    same = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line") == F.col("keep_line"))
-    gone = judged.filter(~same).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_gone_from"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, docs[id_column].eqNullSafe(gone["_gone_from"]), "left")
-    rest = F.filter(F.split(F.col(text_column), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumn(text_column, text).select(*docs.columns)
+    gone = _judged(docs, **options).filter(F.col("keep_line").isNotNull() & ~_is_keeper())
+    gone = gone.groupBy("doc_id", "whole").agg(F.collect_set("line").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_from"), F.col("whole").alias("_whole"), "_gone")
+    own = docs[id_column].eqNullSafe(gone["_from"]) & (_whole(docs[text_column]) == gone["_whole"])
+    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(_rest(text_column, "_gone"))
+    return docs.join(gone, own, "left").withColumn(text_column, text).select(*docs.columns)

@@ -90,20 +90,20 @@ def repeats(texts, length):
     return out
 
 
-def shingles(line, size=9):
-    raw = line.encode()
-    return {raw[i : i + size] for i in range(max(1, len(raw) - size + 1))}
+def shingles(line, size=5):
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def line_keepers(docs, similarity=0.8, min_chars=20):
-    """(doc_id, line) -> place of the line of its group that stays."""
+def line_keepers(docs, similarity=0.8, min_chars=0, size=5):
+    """(doc_id, line) -> place of the line of its group that stays; blank lines are alone."""
     places = defaultdict(list)
     for doc, text in docs:
         for n, line in enumerate((text or "").split("\n")):
             own = lower(line.strip(" "))
             if len(own) >= min_chars:
                 places[own].append((doc, n))
-    sets = {line: shingles(line) for line in places}
+    blank = places.pop("", [])
+    sets = {line: shingles(line, size) for line in places}
 
     def near(a, b):
         both = len(sets[a] & sets[b])
@@ -112,7 +112,8 @@ def line_keepers(docs, similarity=0.8, min_chars=20):
     group, first = components(sorted(places), near), {}
     for line, root in group.items():
         first[root] = min([first[root], *places[line]] if root in first else places[line])
-    return {place: first[group[line]] for line, own in places.items() for place in own}
+    kept = {place: first[group[line]] for line, own in places.items() for place in own}
+    return kept | {place: place for place in blank}
 
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import brute
@@ -143,17 +144,68 @@ def line_corpus(seed=2):
     return rows + [(100, None), (101, ""), (102, "\n\n"), (103, "  " + lines[0].upper() + " \nshort"), (104, "short\nshort")]
 
 
-@pytest.mark.parametrize("held", [4096, 3])
-def test_lines_match_brute_force(spark, held):
+@pytest.mark.parametrize(
+    "options", [{}, {"held": 3}, {"held_bytes": 200}, {"hot": 0}, {"min_chars": 20}, {"size": 9, "rows": 4, "bands": 10}]
+)
+def test_lines_match_brute_force(spark, options):
     rows = line_corpus()
-    found = line_dedup.repeated_lines(frame(spark, rows), held=held).collect()
+    found = line_dedup.repeated_lines(frame(spark, rows), **options).collect()
     got = {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in found}
-    want = brute.line_keepers(rows)
+    want = brute.line_keepers(rows, **{k: v for k, v in options.items() if k in ("min_chars", "size")})
     assert got.keys() == want.keys()
     assert got == want
     assert all(r.kept == ((r.doc_id, r.line) == (r.keep_doc, r.keep_line)) for r in found)
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """Lines of one template: nearly all share keys, which are then spread over all tasks."""
+    rng = random.Random(4)
+    head = prose(rng, 30)
+    rows = [(i, f"{head} page {i} of 900\n{prose(rng, 12)}") for i in range(900)]
+    occurrences = line_dedup._lines(frame(spark, rows), "doc_id", "text", 0)
+    lines = occurrences.select("id", "text")
+    hot = line_dedup._hot_keys(lines, 64, line_dedup.ROWS, line_dedup.BANDS, line_dedup.SHINGLE, 3)
+    assert 0 < len(hot) <= 64
+    keyed = line_dedup._keyed(lines, line_dedup.ROWS, line_dedup.BANDS, line_dedup.SHINGLE)
+    counts = keyed.groupBy("key").count().filter("count > 1")
+    want = sorted(tuple(r) for r in keyed.join(counts, "key").select("key", "id").collect())
+    for known in ([], hot):
+        got = line_dedup._shared(keyed, 8, known)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = line_dedup.repeated_lines(frame(spark, rows), hot=3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in found} == brute.line_keepers(rows)
+
+
+def test_few_and_many_sets_are_linked_alike():
+    """Slots and pairs give the components of plain comparisons, whole or in two parts."""
+    rng, powers = random.Random(6), Powers()
+    base = [prose(rng, 40, 60) for _ in range(6)]
+    lines = []
+    for i in range(60):
+        words = rng.choice(base).split()[: rng.randrange(20, 41)]
+        words[rng.randrange(len(words))] = f"q{i}"
+        lines.append(" ".join(words))
+    lines += ["ab", "abc", "ab" * 300, lines[0] + " ä"]
+    sets = line_dedup.shingle_sets([x.encode() for x in lines], powers)
+    assert [len(s) for s in sets] == [len(brute.shingles(x)) for x in lines]
+
+    def near(a, b):
+        x, y = brute.shingles(lines[a]), brute.shingles(lines[b])
+        return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+    for split in (None, 25):
+        edges = {frozenset(e) for e in line_dedup.links(sets, 0.8, split)}
+        want = brute.components(range(len(lines)), lambda a, b: near(a, b) and (split is None or (a < split) != (b < split)))
+        assert brute.components(range(len(lines)), lambda a, b: frozenset((a, b)) in edges) == want
+    for a in range(20):
+        for b in range(a):
+            assert bool(line_dedup.links([sets[a], sets[b]], 0.8)) == near(a, b)
+
+
 def test_repeated_lines_go_documents_stay(spark):
     rows = line_corpus()
     docs = frame(spark, rows)
@@ -179,6 +231,34 @@ def test_line_corner_cases(spark):
     assert line_dedup.without_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_identifier_keep_their_own_lines(spark):
+    """Lines go by row: what nobody repeats stays, whatever other rows share the identifier."""
+    again = "this very line is repeated in several rows"
+    rows = [
+        (7, f"zz top unique opening of the first row\n{again}"),
+        (7, f"second row with words of its own\nanother unique sentence nobody repeats\n{again}"),
+        (None, f"{again}\nthe first row without identifier"),
+        (None, "the second one has quite different words\nand one more line of its own"),
+        (8, f"eight\n{again}\nlast of eight"),
+    ]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.without_repeated_lines(frame(spark, rows)).collect())
+    left = [line for _, text in got for line in text.split("\n")]
+    assert sorted(left) == sorted({line for _, text in rows for line in text.split("\n")})
+    assert [i for i, _ in got] == [0, 0, 7, 7, 8]
+
+
+def test_document_of_very_many_lines(spark):
+    """Linear in the lines of one document: 60,000 lines, a third of them there before."""
+    rng = random.Random(3)
+    own = [f"{rng.getrandbits(160):x}" for _ in range(40_000)]
+    lines = own + rng.sample(own, 20_000)
+    rows = [(1, "\n".join(lines)), (2, "x" * 300_000 + "\nshort"), (3, "x" * 300_001 + "\n" + own[5])]
+    start = time.monotonic()
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: "\n".join(own), 2: rows[1][1], 3: ""}
+    assert time.monotonic() - start < 120  # seconds; quadratic work takes several minutes
+
+
 def test_recall_of_the_bands():
     """Pairs at 0.8 or more share a key nearly always."""
     rng = random.Random(9)

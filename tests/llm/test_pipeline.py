@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 

@@ -1,14 +1,12 @@
-"""Dedup that leaves nothing out: every line, short shingles, near copies at 0.8 on five words."""
+"""Line dedup that leaves nothing out: every line, short shingles."""
 
 import random
-from collections import defaultdict
 
 import brute
-import corpus_pipeline
 import pytest
-from test_dedup import corpus, frame, line_corpus, prose
+from test_llm_dedup import frame, line_corpus
 
-from reporank.llm import line_dedup, near_dedup
+from reporank.llm import line_dedup
 from reporank.llm.rolling import Powers
 
 
@@ -20,46 +18,25 @@ def points(line, size=5):
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def keepers(docs, size):
-    """(doc_id, line) -> place of the line of its group that stays; blank lines are alone."""
-    places, out = defaultdict(list), {}
-    for doc, text in docs:
-        for n, line in enumerate((text or "").split("\n")):
-            own = brute.lower(line.strip(" "))
-            places[own].append((doc, n))
-    blank = places.pop("", [])
-    sets = {line: points(line, size) for line in places}
-    group = brute.components(sorted(places), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 - 1e-9)
-    first = defaultdict(list)
-    for line, root in group.items():
-        first[root] += places[line]
-    for line, root in group.items():
-        out.update((place, min(first[root])) for place in places[line])
-    return out | {place: place for place in blank}
-
-
 SHORT = [(500, "ok\n\nok\n \n--\nyes"), (501, "OK \nno\n--\nчто\nab"), (502, "что\nab\n\n1234567 abcdef"), (503, "1234567 abcdef")]
 
 
 def test_short_and_blank_lines_have_rows(spark):
     rows = line_corpus() + SHORT
-    size = line_dedup.EVERY_LINE.get("size", line_dedup.SHINGLE)
     docs = frame(spark, rows)
-    found = line_dedup.repeated_lines(docs, **line_dedup.EVERY_LINE).collect()
+    found = line_dedup.repeated_lines(docs).collect()
     assert len(found) == sum(len((t or "").split("\n")) for _, t in rows)
-    got, want = {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in found}, keepers(rows, size)
+    got, want = {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in found}, brute.line_keepers(rows)
     assert got == want
     assert got[501, 0] == (500, 0) and got[503, 0] == (502, 3) and got[500, 3] == (500, 3)
-    done = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs, **line_dedup.EVERY_LINE).collect()}
+    done = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
     assert done[500] == "ok\n\n \n--\nyes" and done[501] == "no\nчто\nab" and done[503] == ""
 
 
 @pytest.mark.parametrize("letters", ["abcdefghijklmnop rstu", "абвгдежзийклмно рсту", "あいうえおかきくけこ さしすせ"])
 def test_one_letter_changed(letters):
     """Such lines are linked exactly if their Jaccard is 0.8, so from 49 code points on always."""
-    rng, powers, options = random.Random(7), Powers(), line_dedup.EVERY_LINE
-    size, hashes = options.get("size", line_dedup.SHINGLE), options.get("rows", line_dedup.ROWS)
-    drawn = line_dedup.factors(hashes, options.get("bands", line_dedup.BANDS))
+    rng, powers, drawn = random.Random(7), Powers(), line_dedup.factors()
     near = shared = 0
     for length in range(20, 101):
         line = "".join(rng.choice(letters) for _ in range(length))
@@ -67,54 +44,9 @@ def test_one_letter_changed(letters):
         other = line[:at] + "#" + line[at + 1 :]
         similar = jaccard(points(line), points(other)) >= 0.8
         two = [line.encode(), other.encode()]
-        assert bool(line_dedup.links(two, powers, 0.8, size=size)) == similar
-        assert bool(line_dedup.links(two, powers, 0.8, 1, size=size)) == similar  # by arrays
+        assert bool(line_dedup.links(line_dedup.shingle_sets(two, powers), 0.8)) == similar
         assert similar or length < 49 + 9
-        keys = line_dedup.band_keys(two, powers, drawn, hashes, size)
+        keys = line_dedup.band_keys(two, powers, drawn)
         near += similar
         shared += similar and bool(set(keys[0].tolist()) & set(keys[1].tolist()))
     assert near >= 50 and shared >= 0.98 * near
-
-
-def words(text):
-    own = brute.lower(text).encode().split()
-    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
-
-
-def near_corpus():
-    rng = random.Random(11)
-    rows = corpus()
-    for i in range(30):  # one to three words changed in a hundred or more: mostly beyond two bits
-        base = prose(rng, rng.randrange(100, 200)).split()
-        rows.append((1000 + 10 * i, " ".join(base)))
-        for k in range(1, 4):
-            other = list(base)
-            for _ in range(k):
-                other[rng.randrange(len(other))] = f"n{i}k{k}"
-            rows.append((1000 + 10 * i + k, "\n ".join(other)))
-    return rows + [(None, rows[0][1]), (2000, rows[1][1].upper())]
-
-
-@pytest.mark.parametrize("held_bytes", [near_dedup.HELD_BYTES, 300])
-def test_near_copies_at_five_words(spark, held_bytes):
-    rows = near_corpus()
-    sets = {i: words(t) for i, t in rows if i is not None}
-    group = brute.components(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 - 1e-9)
-    docs = frame(spark, rows)
-    got = near_dedup.without_similar_documents(docs, held_bytes=held_bytes)
-    assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(group.values()))
-
-
-def test_the_stage_finds_them(spark):
-    """One changed word in a hundred: Jaccard over 0.9, but mostly more than two bits."""
-    rng = random.Random(12)
-    rows = []
-    for i in range(20):
-        base = prose(rng, 120).split()
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:60], "changed", *base[61:]]))]
-    left = corpus_pipeline.near_dedup(spark, frame(spark, rows), None).collect()
-    assert sorted(r.doc_id for r in left) == list(range(0, 40, 2))
-    assert near_dedup.without_similar_documents(frame(spark, [])).count() == 0
-    nulls = frame(spark, [(None, "a b c"), (3, "a b c"), (None, None), (9, "x y z q r s")])
-    assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_dedup(spark, nulls, None).collect()))) == ["3", "9", "None"]
