@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from reporank.llm.common import table
 from reporank.llm.decontaminate import decontaminated
-from reporank.llm.line_dedup import EVERY_LINE, without_repeated_lines
-from reporank.llm.near_dedup import without_similar_documents
+from reporank.llm.line_dedup import without_repeated_lines
 from reporank.llm.packing import pack
 from reporank.llm.queries import tokenizer_path
+from reporank.llm.simhash import without_near_duplicates
 from reporank.llm.toxicity import trained, without_toxic
 
 
@@ -22,12 +22,12 @@ def toxicity(spark, docs, sf_dir):
 def line_dedup(spark, docs, sf_dir):
     """Repeated lines go, documents stay; n_chars is that of the new text."""
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))
-    return without_repeated_lines(docs, **EVERY_LINE).withColumn("n_chars", length)
+    return without_repeated_lines(docs).withColumn("n_chars", length)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group stays; near copies have a five-word Jaccard of 0.8 or more."""
-    return without_similar_documents(docs)
+    """One document of each group stays; fingerprints of three-word shingles link at two bits or fewer."""
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark, docs, sf_dir):
@@ -47,7 +47,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: MinHash and the fitted model are beyond SQL.
+#: MinHash, XXH64 and the fitted model are beyond SQL.
 ORACLE_SQL = None
 
 
