@@ -9,8 +9,8 @@ lines form groups (connected components, distributed union-find), and of each gr
 first line in (identifier, line number) order stays.
 
 A pair as similar as `SIMILARITY` shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.994
-at 0.8, 0.9997 at 0.87. Lines are signed once; rows of (key, line) are sorted by key within
-tasks, and those that have no equal neighbour go. A key with more than a task's share of all
+at 0.8, 0.9997 at 0.87. Lines are signed once; the rows of (key, line) are dealt out by key,
+about `PICKED` to a task, and those whose key nobody else has go. A key with more than a task's share of all
 rows (told from every `SAMPLED`th line) is dealt out by line and skips that test. Lines that
 share a key are compared in the task that holds the key, as far as they are not connected yet
 and their sizes allow it; no pairs are produced. A key with more than `HELD` lines or
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from reporank.llm.common import bucketed, lower_ascii
+from reporank.llm.common import bucketed
 from reporank.llm.rolling import Powers, Prefixes, mixed
 from reporank.operators.components import connected_components
 from reporank.session import written
@@ -50,6 +50,9 @@ SHINGLE, ROWS, BANDS, SIMILARITY, MIN_CHARS = 5, 5, 13, 0.8, 0
 HELD = 4096  # lines of one part of a key
 HELD_BYTES = 4 << 20  # of their texts
 SAMPLED, HOT = 64, 64  # every how manieth line is judged by; rows there of a key that may be hot
+CUT_BYTES = 8 << 20  # of lines in an Arrow batch
+PACKED = 1 << 20  # rows of (key, line) that are dealt out at a time
+PICKED = 1 << 22  # and that a task looks through, about: 64 MB
 FEW = 4  # sets up to which pairs are compared at once
 SIGNED = 1024  # rows taken out of an Arrow batch at a time
 CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
@@ -177,17 +180,36 @@ def _whole(text):
 
 def _lines(docs, id_column, text_column, min_chars):
     """Every line that can be a duplicate: where it is, its hash, its text."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    each = F.posexplode(F.split(text, "\n", -1)).alias("line", "text")
-    rows = docs.select(F.col(id_column).alias("doc_id"), _whole(F.col(text_column)).alias("whole"), each)
-    # filtered first: lower-casing keeps the length, and a filter after it would do it twice
-    rows = rows.withColumn("text", F.trim("text")).filter(F.char_length("text") >= min_chars)
-    rows = rows.withColumn("text", lower_ascii(F.col("text")))
-    return rows.select("doc_id", "whole", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
+    rows = docs.select(F.col(id_column).alias("doc_id"), _whole(F.col(text_column)).alias("whole"), F.col(text_column).alias("text"))
 
+    def landed(batch, of, line, text):
+        columns = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "whole")]
+        texts = pa.array(text, pa.binary()).cast(pa.string())  # bytes.lower() changes A-Z only
+        return pa.RecordBatch.from_arrays([*columns, pa.array(line, pa.int32()), texts], ["doc_id", "whole", "line", "text"])
 
-def _keyed(lines, rows, bands, size):
-    """(key, id) for each line and band."""
+    def cut(batches):
+        for batch in batches:
+            of, line, text, held = [], [], [], 0
+            for i, whole in enumerate(batch.column("text")):
+                data = whole.as_buffer().to_pybytes() if whole.is_valid else b""
+                for n, own in enumerate(data.lower().split(b"\n")):
+                    own = own.strip(b" ")
+                    if min_chars and len(own.decode()) < min_chars:
+                        continue
+                    of.append(i), line.append(n), text.append(own)
+                    held += len(own) + 16
+                    if held >= CUT_BYTES:
+                        yield landed(batch, of, line, text)
+                        of, line, text, held = [], [], [], 0
+            yield landed(batch, of, line, text)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut_ = rows.mapInArrow(cut, f"doc_id {kind}, whole long, line int, text string")
+    return cut_.select("doc_id", "whole", "line", F.xxhash64("text").alias("id"), F.hash("text").alias("check"), "text")
+
+
+def _signatures(lines, rows, bands, size):
+    """Function for mapInArrow over (id, text): (ids, keys by line and band) of some lines at a time."""
     drawn = factors(rows, bands)
 
     def sign(batches):
@@ -196,11 +218,9 @@ def _keyed(lines, rows, bands, size):
             for at in range(0, whole.num_rows, SIGNED):
                 batch = whole.slice(at, SIGNED)
                 own = [t.as_buffer().to_pybytes() for t in batch.column("text")]
-                keys = band_keys(own, powers, drawn, rows, size)
-                of = pa.array(np.repeat(np.arange(len(own)), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(of)], ["key", "id"])
+                yield batch.column("id").to_numpy(), band_keys(own, powers, drawn, rows, size)
 
-    return lines.select("id", "text").mapInArrow(sign, "key long, id long")
+    return sign
 
 
 def _hot_keys(lines, partitions, rows, bands, size, least):
@@ -208,40 +228,65 @@ def _hot_keys(lines, partitions, rows, bands, size, least):
 
     At most `partitions` keys, so they can travel with the plan.
     """
-    drawn = lines.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SAMPLED)) == 0)
-    counts = written(_keyed(drawn, rows, bands, size).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.key for r in counts.filter(F.col("n") > max(least, total / partitions)).select("key").collect()]
+    sign = _signatures(lines, rows, bands, size)
 
+    def keys(batches):
+        for _, own in sign(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel())], ["key"])
 
-def _shared(keyed, partitions, hot):
-    """The rows whose key other rows have too. Rows of hot keys are dealt out by line."""
-    place = F.when(F.col("key").isin(hot), F.xxhash64("id")).otherwise(F.col("key")) if hot else F.col("key")
-    dealt = keyed.repartition(partitions, place).sortWithinPartitions("key")
-    known = np.array(sorted(hot), dtype=np.int64)
+    drawn = lines.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SAMPLED)) == 0).select("id", "text")
+    counts = written(drawn.mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r.key for r in counts.filter(F.col("n") > max(least, total / partitions)).select("key").collect()]
 
-    def pick(batches):
-        # the last row of a batch is decided with the next one
-        key, id_, before = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-        def chosen(key, id_, before, end):
-            """Rows up to `end` that have an equal neighbour."""
-            same = key[1:] == key[:-1]
-            stays = np.append(same, False) | np.append(before is not None and len(key) > 0 and key[0] == before, same)
-            stays |= np.isin(key, known)
-            stays[end:] = False
-            return pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(id_[stays])], ["key", "id"])
+def _shared(lines, partitions, rows, bands, size, hot):
+    """(key, id) of the lines and bands whose key other lines have too.
 
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            id_ = np.concatenate([id_, batch.column("id").to_numpy()])
-            if len(key) > 1:
-                yield chosen(key, id_, before, len(key) - 1)
-                before, key, id_ = key[-2], key[-1:], id_[-1:]
-        if len(key):
-            yield chosen(key, id_, before, len(key))
+    Rows of a key meet in one task, in packets of bytes, and those that have no equal
+    neighbour in its order go. Rows of hot keys are dealt out by line and all stay.
+    """
+    sign, known = _signatures(lines, rows, bands, size), np.array(sorted(hot), dtype=np.int64)
+
+    def deal(batches):
+        held, size_ = [], 0
+
+        def packets():
+            key = np.concatenate([k.ravel() for _, k in held])
+            id_ = np.concatenate([np.repeat(i, bands) for i, _ in held])
+            place = np.where(np.isin(key, known), id_, key) if len(known) else key
+            task = (mixed(place.view(np.uint64)) % np.uint64(partitions)).astype(np.uint16 if partitions < 1 << 16 else np.int64)
+            order = np.argsort(task, kind="stable")
+            end = np.cumsum(np.bincount(task, minlength=partitions))
+            both = np.stack([key[order], id_[order]], axis=1)
+            used = np.unique(task)
+            data = [both[end[t - 1] if t else 0 : end[t]].tobytes() for t in used.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], ["task", "rows"])
+
+        for own in sign(batches):
+            held.append(own)
+            size_ += own[1].size
+            if size_ >= PACKED:
+                yield packets()
+                held, size_ = [], 0
+        if held:
+            yield packets()
 
-    return dealt.mapInArrow(pick, "key long, id long")
+    def pick(batches):
+        data = [x.as_buffer().to_pybytes() for b in batches for x in b.column("rows")]
+        both = np.frombuffer(b"".join(data), dtype=np.int64).reshape(-1, 2)
+        data.clear()
+        order = np.argsort(both[:, 0])
+        key = both[order, 0]
+        same = key[1:] == key[:-1]
+        stays = (np.append(same, False) | np.append(False, same)) if len(key) else np.zeros(0, dtype=bool)
+        stays |= np.isin(key, known)
+        key, id_ = key[stays], both[order[stays], 1]
+        for at in range(0, max(1, len(key)), PACKED):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + PACKED]), pa.array(id_[at : at + PACKED])], ["key", "id"])
+
+    dealt = lines.select("id", "text").mapInArrow(deal, "task int, rows binary").repartitionById(partitions, F.col("task"))
+    return dealt.select("rows").mapInArrow(pick, "key long, id long")
 
 
 def _compared(members, similarity, size):
@@ -284,7 +329,8 @@ def _compared(members, similarity, size):
 def _similar(lines, partitions, similarity, rows, bands, size, held, held_bytes, least):
     """Edges between similar lines of the bucketed table `lines`."""
     hot = _hot_keys(lines, partitions, rows, bands, size, least)
-    shared = written(_shared(_keyed(lines, rows, bands, size), partitions, hot))
+    tasks = max(partitions, -(-lines.count() * bands // PICKED))  # the count is in the files' footers
+    shared = written(_shared(lines, tasks, rows, bands, size, hot))
     found = shared.join(lines.select("id", "bytes"), "id").groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("who")
     )

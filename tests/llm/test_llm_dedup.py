@@ -166,11 +166,12 @@ def test_hot_keys_are_dealt_out(spark):
     lines = occurrences.select("id", "text")
     hot = line_dedup._hot_keys(lines, 64, line_dedup.ROWS, line_dedup.BANDS, line_dedup.SHINGLE, 3)
     assert 0 < len(hot) <= 64
-    keyed = line_dedup._keyed(lines, line_dedup.ROWS, line_dedup.BANDS, line_dedup.SHINGLE)
-    counts = keyed.groupBy("key").count().filter("count > 1")
-    want = sorted(tuple(r) for r in keyed.join(counts, "key").select("key", "id").collect())
+    powers, want, texts = Powers(), Counter(), lines.collect()
+    keys = line_dedup.band_keys([r.text.encode() for r in texts], powers, line_dedup.factors())
+    counts = Counter(keys.ravel().tolist())
+    want = sorted((k, r.id) for r, own in zip(texts, keys.tolist()) for k in own if counts[k] > 1)
     for known in ([], hot):
-        got = line_dedup._shared(keyed, 8, known)
+        got = line_dedup._shared(lines, 8, line_dedup.ROWS, line_dedup.BANDS, line_dedup.SHINGLE, known)
         assert sorted(tuple(r) for r in got.collect()) == want
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
