@@ -7,23 +7,33 @@ every document, different ones different pseudonyms, and whoever holds the key c
 them. Separators and case are kept, check digits are computed anew.
 
 Kinds, in order of precedence where findings overlap: email (letters and digits of the local
-part), iban, card, ssn, phone, date, ip.
+part), iban, phone with country code, ssn, phone without, card, date, ip.
+
+Digits of every script count (Unicode decimal digits): a value is read as if they were 0-9,
+so equal values in other digits get the same pseudonym, and every digit is written back in
+the script it was in.
+
+Where a phone number with country code ends does not depend on what stands behind it: with
+the length that its country's plan fixes (`NATIONAL`), or else with its first block if that
+has 8 digits, or else with the first group from which it has 9 national digits.
 
 What stands behind a card or an IBAN can look like more of it (security code, expiry, year).
 Where the longest reading fails its check, shorter ones up to each group border are tried, and
-then readings from each later group on, these with one kind of mark between groups only
-(blanks or hyphens; with both it is mostly dates and numbers in a row). A pseudonym beside
+then readings from each later group on. The groups of a card have one kind of mark between
+them (blanks or hyphens; with both it is mostly dates and numbers in a row). A pseudonym beside
 such digits can by chance (one in ten for a card) pass its check together with them, and a
 search of the new text then reads another value there; the spans tell where the value is,
 and `Pseudonyms(key, back=True).replace` reverses it.
 
 Defined cases: null text stays null and has no findings; values that fail their check are
-left alone; repeated rows get the same text; other columns are kept by `pseudonymised`; an
+left alone, and so are dates before 1900 or after 2099; repeated rows get the same text; other columns are kept by `pseudonymised`; an
 empty table gives an empty result. Whole texts are searched, and a row is rewritten in the
 task that reads it.
 """
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_left
 from datetime import date, timedelta
 from functools import lru_cache
@@ -39,17 +49,31 @@ ROUNDS = 10
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 EDGE, END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+_GROUPS = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + END
 PATTERNS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
-    "iban": re.compile(EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END),
-    "card": re.compile(EDGE + r"\d(?:[ -]?\d){12,18}" + END),
-    "ssn": re.compile(EDGE + r"\d{3}-\d{2}-\d{4}" + END),
-    "phone": re.compile(
-        r"(?<![A-Za-z0-9+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}" + END
-        + r"|(?<![A-Za-z0-9+])\+\d{1,3}(?:[ .-]?\d){7,12}" + END
+    "iban": re.compile(EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END),
+    "plus": re.compile(r"(?<![A-Za-z0-9+])\+(?:[0-9]{1,3}[ .-]?" + _GROUPS + r"|[0-9]{1,3}(?:[ .-]?[0-9]){7,12}" + END + ")"),
+    "ssn": re.compile(EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + END),
+    # behind a digit and a dot only if that is a trunk 1: the end of an address is no number
+    "phone": re.compile(r"(?<![A-Za-z0-9+])(?:(?<![0-9]\.)|(?<=\b1\.))" + _GROUPS),
+    "card": re.compile(r"(?<![A-Za-z0-9+])[0-9](?:[ -]?[0-9]){12,18}" + END),
+    "date": re.compile(
+        EDGE + r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![A-Za-z0-9]|[-/.][0-9])"
     ),
-    "date": re.compile(EDGE + r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![A-Za-z0-9]|[-/.]\d)"),
-    "ip": re.compile(r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)"),
+    "ip": re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"),
+}
+# Fixed values of the international numbering plan: country codes of one and of two digits (all
+# others have three), and digits behind the code where a plan has one length only.
+CODES_OF_ONE = "1 7".split()
+CODES_OF_TWO = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98"
+).split()
+NATIONAL = {
+    "1": 10, "7": 10, "27": 9, "30": 10, "31": 9, "33": 9, "34": 9, "40": 9, "41": 9, "44": 10, "45": 8, "47": 8,
+    "48": 9, "52": 10, "61": 9, "65": 8, "86": 11, "90": 10, "91": 10, "351": 9, "380": 9, "420": 9, "421": 9,
+    "852": 8, "966": 9,
 }
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
@@ -161,20 +185,42 @@ def _nanp_valid(x):
     return x // 10**9 > 1 and x // 10**6 % 10 > 1
 
 
+def _code(digits):
+    """The country code that the digits behind a plus begin with."""
+    n = 1 if digits[:1] in CODES_OF_ONE else 2 if digits[:2] in CODES_OF_TWO else 3
+    return digits[:n]
+
+
 def _phone(text, permute, back):
     digits = re.sub(r"\D", "", text)
-    country, national = digits[:-10], digits[-10:]
-    if text[0] == "+" and not (country == "1" and len(national) == 10):
+    country, national = _code(digits) if text[0] == "+" else "", digits
+    national = digits[len(country) :]
+    if country and not (country == "1" and len(national) == 10):
         if not 8 <= len(digits) <= 15:
             return None
-        country, national = digits[:2], digits[2:]
         new = permute(int(national), 10 ** len(national), "phone" + country, back)
-        return "+" + _spread(text[1:], country + str(new).zfill(len(national)))
+        return _spread(text, country + str(new).zfill(len(national)))
     if not _nanp_valid(int(national)):
         return None
     return _spread(text, country + f"{permute(int(national), 10**10, 'phone1', back, _nanp_valid):010d}")
 
 
+def _phone_end(text):
+    """How far a number with a plus goes in what its pattern has matched."""
+    borders, n = [], 0  # digits before each group's end, and where it is
+    for i, c in enumerate(text):
+        if c in DIGITS:
+            n += 1
+        elif n and text[i - 1] in DIGITS:
+            borders.append((n, i))
+    borders.append((n, len(text)))
+    country = _code(re.sub(r"\D", "", text))
+    exact = [i for n, i in borders if n == len(country) + NATIONAL.get(country, 99)]
+    block = [i for n, i in borders[:1] if n >= 8]
+    enough = [i for n, i in borders if n >= len(country) + 9]
+    return [*exact, *block, *enough, len(text)][0]
+
+
 def _date(text, permute, back):
     mark = re.sub(r"\d", "", text)[0]
     parts = [int(x) for x in text.split(mark)]
@@ -220,18 +266,24 @@ def _ip(text, permute, back):
 
 
 RULES = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date, "ip": _ip}
-
+#: Kind and pattern, in order of precedence.
+SEARCHES = [
+    ("email", "email"), ("iban", "iban"), ("phone", "plus"), ("ssn", "ssn"), ("phone", "phone"), ("card", "card"),
+    ("date", "date"), ("ip", "ip"),
+]
 
 #: Kinds whose pattern can read on into what stands behind the value: characters between
 #: groups, and how many digits or letters the value has.
 GROUPED = {"iban": (" ", 15, 34), "card": (" -", 13, 19)}
 
 
-def _ends(kind, hit):
+def _ends(pattern, hit):
     """Where the value can end: with the match or, for grouped kinds, with an earlier group."""
+    if pattern == "plus":
+        return [hit.start() + _phone_end(hit.group())]
     ends = [hit.end()]
-    if kind in GROUPED:
-        marks, least, most = GROUPED[kind]
+    if pattern in GROUPED:
+        marks, least, most = GROUPED[pattern]
         text, n = hit.group(), 0
         borders = []  # digits and letters before each, and where it is
         for i, c in enumerate(text):
@@ -240,9 +292,38 @@ def _ends(kind, hit):
             else:
                 n += 1
         ends += [end for n, end in reversed(borders) if least <= n <= most]
+    if pattern == "card":
+        ends = [e for e in ends if not {" ", "-"} <= set(hit.group()[: e - hit.start()])]
     return ends
 
 
+@lru_cache(1)
+def _other_digits():
+    """All decimal digits beyond ASCII: code point to its ASCII digit."""
+    beyond = (chr(c) for c in range(128, sys.maxunicode + 1))
+    return {ord(c): chr(48 + unicodedata.digit(c)) for c in beyond if c.isdecimal()}
+
+
+def _zero(c):
+    """The zero of a digit's script."""
+    return ord(c) - unicodedata.digit(c) if c.isdecimal() else 48
+
+
+def _in_script(kind, old, new):
+    """`new`, each digit in the script of the digit that was there.
+
+    Octets change their length: each is written in its own script, and an address with an
+    octet of several scripts has no pseudonym, as it could not be restored.
+    """
+    if kind == "ip":
+        scripts = [{_zero(c) for c in octet} for octet in old.split(".")]
+        if any(len(s) > 1 for s in scripts):
+            return None
+        octets = zip(scripts, new.split("."))
+        return ".".join("".join(chr(min(zero) + int(d)) for d in octet) for zero, octet in octets)
+    return "".join(chr(_zero(was) + int(now)) if now in DIGITS else now for was, now in zip(old, new))
+
+
 def _next_group(hit):
     """Start of the match's second group, or its end if it has one only."""
     border = re.search("[ -]", hit.group())
@@ -259,26 +340,26 @@ class Pseudonyms:
 
     def findings(self, text):
         """(kind, start, end, pseudonym) by start, without overlaps."""
+        plain = text if text.isascii() else text.translate(_other_digits())
         taken, starts = [], []
-        for kind in KINDS[0 if "@" in text else 1 :]:
-            hit, read = PATTERNS[kind].search(text), 0
+        for kind, pattern in SEARCHES[0 if "@" in text else 1 :]:
+            hit = PATTERNS[pattern].search(plain)
             while hit:
-                start, ends = hit.start(), _ends(kind, hit)
-                if start < read:  # part of an earlier reading
-                    ends = [e for e in ends if not {" ", "-"} <= set(text[start:e])]
-                read = max(read, hit.end())
-                after = _next_group(hit) if kind in GROUPED else hit.end()
-                for end in ends:
+                start = hit.start()
+                after = _next_group(hit) if pattern in GROUPED else hit.end()
+                for end in _ends(pattern, hit):
                     place = bisect_left(starts, end)
                     if place and taken[place - 1][2] > start:
                         continue
-                    new = self.replace(kind, text[start:end])
+                    old, new = text[start:end], self.replace(kind, plain[start:end])
+                    if new is not None and not old.isascii():
+                        new = _in_script(kind, old, new)
                     if new is not None:
                         starts.insert(place, start)
                         taken.insert(place, (kind, start, end, new))
                         after = end
                         break
-                hit = PATTERNS[kind].search(text, after)
+                hit = PATTERNS[pattern].search(plain, after)
         return taken
 
     def __call__(self, text):

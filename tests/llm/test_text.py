@@ -186,7 +186,8 @@ ALONE = {
     "iban": ["GB82WEST12345698765432", "BE68 5390 0754 7034"],
     "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
     "ssn": ["078-05-1120"],
-    "phone": ["269-555-3296", "(269) 555-3296", "(269)555-3296", "269.555.3296", "+4930123456", "+49 30 1234567", "+49.3.0.1.2.3.4.5"],
+    "phone": ["269-555-3296", "(269) 555-3296", "(269)555-3296", "269.555.3296", "+4930123456", "+49 30 1234567", "+49.3.0.1.2.3.4.5",
+        "+12125550123", "+1 212-555-0123", "+442079460958", "+44 20 7946 0958", "+33 1 23 45 67 89", "+351 21 123 4567"],
     "date": ["12/05/1980", "2020/12/05", "2020-12-05", "31.01.1980", "31/12/1999"],
     "ip": ["9.8.7.6", "16.195.23.156"],
 }
@@ -218,6 +219,74 @@ def test_values_beside_other_groups(kind, value, before, after):
     assert back.replace(kind, new[one[1] : one[2]]) == text[one[1] : one[2]]
 
 
+NEIGHBOURS = [("", " 12 items"), ("", " 2 times"), ("", ", 4"), ("", " 2031"), ("7 of ", ""), ("12 ", " 34"), ("no. 5: ", "; 6"), ("(", ")"), ("2020-12-05 ", " 9.8.7.6")]
+SINGLE = {k: [v for v in values if v != "+49.3.0.1.2.3.4.5"] for k, values in ALONE.items() if k not in ("email", "iban", "card")}
+
+
+@pytest.mark.parametrize("before,after", NEIGHBOURS)
+@pytest.mark.parametrize("kind", sorted(SINGLE))
+def test_equal_values_are_linked_beside_anything(kind, before, after):
+    """The pseudonym of a value does not depend on its neighbours, which stay as they are."""
+    to, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    for value in SINGLE[kind]:
+        alone = to(value)[0]
+        text = f"{before}{value}{after}"
+        new, found = to(text)
+        one = next(f for f in found if f[0] == kind and f[1] == len(before))
+        assert (one[2], one[3]) == (len(before) + len(value), alone) and alone != value
+        assert back(new)[0] == text
+        if not any(c.isdigit() for c in before + after) or len(found) == 1:
+            assert new == f"{before}{alone}{after}"
+
+
+SCRIPTS = {"arabic": 0x660, "persian": 0x6F0, "devanagari": 0x966, "bengali": 0x9E6, "fullwidth": 0xFF10}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+@pytest.mark.parametrize("kind", [k for k in pseudonyms.KINDS if k != "email"])
+def test_digits_of_every_script(kind, script):
+    """Values in other digits keep their script, are linked with the ASCII ones and come back."""
+    to, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    there = {48 + d: chr(SCRIPTS[script] + d) for d in range(10)}
+    for value in ALONE[kind]:
+        new, found = to(f"x {value.translate(there)} y")
+        assert [f[0] for f in found] == [kind]
+        assert new == f"x {to(value)[0].translate(there)} y"
+        assert back(new)[0] == f"x {value.translate(there)} y"
+    mixed = "1\u0662/\u0660\u0665/198\u0966"  # one date in three scripts
+    new = to(mixed)[0]
+    assert back(new)[0] == mixed and [c > "\x7f" for c in new] == [c > "\x7f" for c in mixed]
+
+
+def plainly(permute, x, size, tweak, valid=lambda x: True):
+    """The permutation by its definition: where the smallest valid numbers go, one by one."""
+    image = [permute(y, size, tweak, valid=valid) for y in range(size) if valid(y)]
+    assert sorted(image) == [y for y in range(size) if valid(y)]
+    return image
+
+
+def test_values_against_plain_versions():
+    """Whole small formats: every valid value goes to another one, by the rule for its kind."""
+    permute = pseudonyms.Permutation(b"k")
+    to = pseudonyms.Pseudonyms(b"k")
+    days = [date.fromordinal(date(1900, 1, 1).toordinal() + i) for i in range(73049)]
+    assert days[-1] == date(2099, 12, 31)
+    image = plainly(permute, None, len(days), "date")
+    for i in range(0, len(days), 997):
+        assert to(days[i].isoformat())[0] == days[image[i]].isoformat()
+        assert to(days[i].strftime("%d.%m.%Y"))[0] == days[image[i]].strftime("%d.%m.%Y")
+    assert to("1899-12-31 2100-01-01")[1] == []
+    small = [to(f"+49 {n:03d} 12345")[0] for n in range(1000)]
+    assert len(set(small)) == 1000
+
+
+def test_very_long_text():
+    to, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    text = ("1 " * 50 + "born 12/05/1980 " + "\u0661" * 40 + " x" * 100) * 500
+    new, found = to(text)
+    assert len(found) == 500 and back(new)[0] == text
+
+
 def test_cards_before_code_and_expiry():
     to = pseudonyms.Pseudonyms(b"k")
     for text in ("4111111111111111 123", "4111 1111 1111 1111 12/25"):
