@@ -27,7 +27,7 @@ BLOCK = 1024  # incoming vectors per matrix product
 HIT = "query_id string, job_id string, similarity double"
 
 
-def _unit(vectors, dims):
+def unit(vectors, dims):
     matrix = as_matrix(vectors, dims)
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size != 0)
@@ -49,11 +49,11 @@ def _hits(incoming_ids, incoming, stored_ids, stored, threshold):
             )
 
 
-def _strings(column):
+def strings(column):
     return column.to_numpy(zero_copy_only=False).astype(object)
 
 
-def _slim(df, key, vector):
+def slim(df, key, vector):
     """String id and vector of the rows that have one."""
     return df.filter(F.size(vector) > 0).select(
         F.col(key).cast("string").alias("id"), F.col(vector).cast(VECTOR).alias("v")
@@ -62,13 +62,13 @@ def _slim(df, key, vector):
 
 def _by_broadcast(table, stored, dims, threshold):
     spark = stored.sparkSession
-    ids, matrix = _strings(table.column("id")), _unit(table.column("v").combine_chunks(), dims)
+    ids, matrix = strings(table.column("id")), unit(table.column("v").combine_chunks(), dims)
     shipped = spark.sparkContext.broadcast((ids, matrix))
 
     def score(batches):
         ids, matrix = shipped.value
         for b in batches:
-            yield from _hits(ids, matrix, _strings(b.column(0)), _unit(b.column(1), dims), threshold)
+            yield from _hits(ids, matrix, strings(b.column(0)), unit(b.column(1), dims), threshold)
 
     return stored.mapInArrow(score, HIT)
 
@@ -78,10 +78,10 @@ def _by_tiles(incoming, stored, dims, threshold):
     picked = stored.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toArrow()
     if not picked.num_rows:
         return stored.sparkSession.createDataFrame([], HIT)
-    pivots = _unit(picked.column("v").combine_chunks(), dims)
+    pivots = unit(picked.column("v").combine_chunks(), dims)
 
     def distances(vectors):
-        return np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(_unit(vectors, dims) @ pivots.T, -1, 1)))
+        return np.sqrt(np.maximum(0.0, 2 - 2 * np.clip(unit(vectors, dims) @ pivots.T, -1, 1)))
 
     @F.arrow_udf("struct<cell:int,distance:double>")
     def home(vectors: pa.Array) -> pa.Array:
@@ -110,6 +110,16 @@ def _by_tiles(incoming, stored, dims, threshold):
     for row in probing.groupBy("cell").count().collect():  # at most one row per pivot
         chunks[row["cell"]] = -(-row["count"] // INCOMING_TILE)
 
+    return tiled_hits(housed, probing, slices, chunks, dims, threshold)
+
+
+def tiled_hits(housed, probing, slices, chunks, dims, threshold):
+    """Hits of ``probing`` (id, v, cell) among ``housed`` (id, v, cell) of the same cell.
+
+    Every cell's stored rows are cut into ``slices[cell]`` parts and its incoming ones into
+    ``chunks[cell]``; each pair of parts is a tile, and a task holds one stored part.
+    """
+
     def per_cell(numbers):
         return F.element_at(F.array(*map(F.lit, numbers)), F.col("cell") + 1)
 
@@ -134,8 +144,8 @@ def _by_tiles(incoming, stored, dims, threshold):
     def match(batches):
         current, ids, parts = None, [], []
         for batch in batches:
-            tiles, sides = _strings(batch.column(0)), batch.column(1).to_numpy()
-            names, matrix = _strings(batch.column(2)), _unit(batch.column(3), dims)
+            tiles, sides = strings(batch.column(0)), batch.column(1).to_numpy()
+            names, matrix = strings(batch.column(2)), unit(batch.column(3), dims)
             change = (tiles[1:] != tiles[:-1]) | (sides[1:] != sides[:-1])
             edges = np.concatenate(([0], np.flatnonzero(change) + 1, [len(tiles)]))
             for a, b in zip(edges[:-1], edges[1:]):
@@ -158,6 +168,20 @@ def _by_tiles(incoming, stored, dims, threshold):
     )
 
 
+def best_hits(hits: DataFrame, query_id, query_type, job_id, job_type) -> DataFrame:
+    """The most similar stored vector of each query, the smaller job id of a tie."""
+    best = F.min(F.struct((-F.col("similarity")).alias("far"), F.col("job_id"))).alias("best")
+    return (
+        hits.groupBy("query_id")
+        .agg(best)
+        .select(
+            F.col("query_id").cast(query_type).alias(query_id),
+            F.col("best.job_id").cast(job_type).alias(job_id),
+            (-F.col("best.far")).alias("similarity"),
+        )
+    )
+
+
 def nearest_stored(
     incoming: DataFrame,
     stored: DataFrame,
@@ -173,7 +197,7 @@ def nearest_stored(
     (as text), kept when the cosine is at least ``threshold``. Vectors that are
     null or empty match nothing.
     """
-    asked, held = _slim(incoming, query_id, vector), _slim(stored, job_id, vector)
+    asked, held = slim(incoming, query_id, vector), slim(stored, job_id, vector)
     head = asked.select(F.size("v").alias("n")).first()
     if head is None:
         hits = asked.sparkSession.createDataFrame([], HIT)
@@ -184,13 +208,5 @@ def nearest_stored(
             hits = _by_broadcast(table, held, head.n, threshold)
         else:
             hits = _by_tiles(written(asked), held, head.n, threshold)
-    best = F.min(F.struct((-F.col("similarity")).alias("far"), F.col("job_id"))).alias("best")
-    return (
-        hits.groupBy("query_id")
-        .agg(best)
-        .select(
-            F.col("query_id").cast(incoming.schema[query_id].dataType).alias(query_id),
-            F.col("best.job_id").cast(stored.schema[job_id].dataType).alias(job_id),
-            (-F.col("best.far")).alias("similarity"),
-        )
-    )
+    kinds = incoming.schema[query_id].dataType, stored.schema[job_id].dataType
+    return best_hits(hits, query_id, kinds[0], job_id, kinds[1])

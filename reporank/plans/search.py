@@ -8,6 +8,7 @@ from reporank.functions.text import is_blank
 from reporank.functions.vectors import cosine_to
 from reporank.operators.jobs import latest_status, top
 from reporank.operators.nearest import nearest_stored
+from reporank.operators.vector_index import PROBES, nearest_indexed
 from reporank.plans.ranking import rank_jobs
 from reporank.session import written
 from reporank.sources.tables import append_status, read_or_empty, save_queries, write_results
@@ -52,14 +53,22 @@ def search(
     stored: DataFrame,
     events: DataFrame | None = None,
     any_status: bool = False,
+    index: str | None = None,
+    probes: int = PROBES,
 ) -> DataFrame:
     """``(query_id, job_id, cached)`` for every non-blank query.
 
     A query near a reusable stored one gets that job; any other gets a new job
     id, derived from its own id so that a retried task gives the same one.
+    With ``index``, the folder of an index of ``stored``, only the cells around a query are
+    read: a match outside of them is missed, and the query gets a new job.
     """
     asked = valid_queries(incoming)
-    hits = nearest_stored(asked, reusable(stored, events, any_status))
+    if index is None:
+        hits = nearest_stored(asked, reusable(stored, events, any_status))
+    else:
+        allowed = None if any_status else reusable(stored.select("job_id"), events)
+        hits = nearest_indexed(asked, index, probes=probes, allowed=allowed)
     fresh = F.sha2(F.col("query_id").cast("string"), 256)
     return asked.join(hits, "query_id", "left").select(
         "query_id",

@@ -264,6 +264,18 @@ bands AS (
   FROM prints, range(16) r(b))"""
 
 
+#: Token sets, equal ones as one class, and all pairs of classes at 0.8 or more.
+SETS = """
+sets AS (SELECT k, list(t ORDER BY t) AS s FROM tok GROUP BY k),
+classes AS (SELECT k, s, min(k) OVER (PARTITION BY s) AS class FROM sets),
+one AS MATERIALIZED (SELECT k, s, len(s) AS n FROM classes WHERE k = class),
+compared AS (
+  SELECT a.k AS a, b.k AS b, a.n + b.n AS n, len(list_intersect(a.s, b.s)) AS common
+  FROM one a JOIN one b ON a.k < b.k AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+alike AS (SELECT a, b, common / (n - common)::DOUBLE AS jaccard
+  FROM compared WHERE 10 * common >= 8 * (n - common))"""
+
+
 def _buckets(ranked, batch="0"):
     """Members of every bucket in keeping order; ``ranked`` is (id, k, stars)."""
     return f"""
@@ -463,6 +475,11 @@ def statements() -> dict[str, str]:
     norms = ", ".join(f"{f}_norm" for f in FEATURES)
     words = "bought"
     twins = _twins(scored, prints, bands, code, ranked, deduped, norms, words)
+    twins |= {
+        "dedup_batches_cluster": twins["dedup_cluster"],
+        "dedup_batches_any_band": twins["dedup_any_band"],
+        "semantic_cache_indexed": twins["semantic_cache"],
+    }
     return {**twins, "analyzed_files": twins["code_metrics"], "rank_jobs": jobs_ranked, "search_answers": answers}
 
 
@@ -541,6 +558,11 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         + """SELECT full_name, description, stars FROM repos
             WHERE contains(lower(concat_ws(' ', full_name, description)), 'machinery')
             ORDER BY stars DESC, full_name LIMIT 40""",
+        "word_search": _with(REPOS)
+        + """SELECT full_name, description, stars FROM repos
+            WHERE list_has_all(regexp_extract_all(lower(concat_ws(' ', full_name, description)), '[a-z0-9]+'),
+              ['machinery', 'customer'])
+            ORDER BY stars DESC, full_name LIMIT 40""",
         "code_signatures": _with(CODE)
         + "SELECT repo, path, line_no, ext, sig, is_public, is_error FROM annotated",
         "file_counts": code + "SELECT * FROM files",
@@ -590,6 +612,13 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         + """SELECT keeper, duplicate, bands, len(list_filter(range(1, 129),
               lambda i: a.fp[i] = b.fp[i])) / 128e0 AS jaccard
           FROM pairs JOIN prints a ON a.k = keeper JOIN prints b ON b.k = duplicate""",
+        "set_pairs": _with(_tokens("documents", "doc_id", "text"), SETS)
+        + "SELECT a, b, round(jaccard, 6) AS jaccard FROM alike",
+        "set_members": _with(_tokens("documents", "doc_id", "text"), SETS)
+        + "SELECT k AS doc_id, class FROM classes",
+        "band_recall": _with(*DOCUMENT_PRINTS, BANDS, SETS)
+        + """SELECT count(*) AS pairs, count(*) FILTER (EXISTS (SELECT 1 FROM bands x JOIN bands y
+              USING (band, bucket) WHERE x.k = a AND y.k = b)) AS found FROM alike""",
         "embed_hashing": _with(
             "low AS (SELECT doc_id, lower(text) AS text FROM documents)",
             f"""every AS (SELECT doc_id AS k, unnest(string_split_regex(text, '{SPACES}')) AS t

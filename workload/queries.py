@@ -10,11 +10,15 @@ from reporank.functions import scores as S
 from reporank.functions import text as T
 from reporank.functions import vectors as V
 from reporank.operators import dedup as D
+from reporank.operators import dedup_store as DS
 from reporank.operators import jobs as J
 from reporank.operators import metrics as C
 from reporank.operators import stats as ST
 from reporank.operators.nearest import nearest_stored
 from reporank.operators.normalize import minmax_normalize
+from reporank.operators.set_join import set_classes, similar_sets
+from reporank.operators.vector_index import append_index, build_index, nearest_indexed
+from reporank.operators.word_index import append_words, build_word_index, search_words
 from reporank.plans import ranking as R
 from reporank.plans.records import assemble_repos
 from reporank.plans.results import present, result_count
@@ -185,6 +189,15 @@ def search_candidates(spark, d):
     return found.select("full_name", "description", "stars")
 
 
+def word_search(spark, d):
+    """Two words, over an index that was built from the even customers and then appended to."""
+    repos, place = W.repos(spark, d), _place(spark, "words")
+    half = repos.filter("repo_id % 2 = 0"), repos.filter("repo_id % 2 = 1")
+    build_word_index(half[0], place)
+    append_words(half[1], place)
+    return search_words(repos, place, QUESTION + " Customer").select("full_name", "description", "stars")
+
+
 # code metrics
 
 
@@ -310,6 +323,47 @@ def jaccard_estimate(spark, d):
     return D.verify_pairs(D.candidate_pairs(prints, "doc_id"), prints, "doc_id")
 
 
+def _in_batches(spark, d, rule):
+    """Documents come in three batches; each later one meets what is stored of the others."""
+    prints, place = W.landed_fingerprints(spark, d), _place(spark, "dedup")
+    for part in (2, 0, 1):
+        DS.add_batch(prints.filter(F.col("doc_id") % 3 == part), place, f"part-{part}", "doc_id")
+    return DS.stored_flags(spark, place, rule).withColumnRenamed("id", "doc_id")
+
+
+def dedup_batches_cluster(spark, d):
+    return _in_batches(spark, d, "cluster")
+
+
+def dedup_batches_any_band(spark, d):
+    return _in_batches(spark, d, "any_band")
+
+
+def _token_sets(spark, d):
+    documents = W.spread(W.table(spark, d, "documents").select("doc_id", "text"))
+    return written(documents.select("doc_id", T.tokens("text").alias("tokens")))
+
+
+def set_pairs(spark, d):
+    """All pairs of different token sets with a Jaccard similarity of 0.8 or more."""
+    return similar_sets(_token_sets(spark, d), "doc_id", "tokens").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def set_members(spark, d):
+    return set_classes(_token_sets(spark, d), "doc_id", "tokens")
+
+
+def band_recall(spark, d):
+    """How many of the truly similar pairs share one of the 16 bands of 8 minima."""
+    pairs = similar_sets(_token_sets(spark, d), "doc_id", "tokens")
+    bands = W.landed_fingerprints(spark, d).select("doc_id", M.band_keys("minhash_fingerprint").alias("keys"))
+    one = bands.select(F.col("doc_id").alias("a"), F.col("keys").alias("x"))
+    two = bands.select(F.col("doc_id").alias("b"), F.col("keys").alias("y"))
+    met = F.exists(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same)
+    found = pairs.join(one, "a").join(two, "b").select(met.alias("met"))
+    return found.agg(F.count("*").alias("pairs"), F.count_if("met").alias("found"))
+
+
 # embedding and semantic reuse
 
 
@@ -324,6 +378,15 @@ def semantic_cache(spark, d):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+def semantic_cache_indexed(spark, d):
+    """The index is built from two thirds of the stored vectors and then appended to."""
+    stored, place = W.stored_queries(spark, d), _place(spark, "vectors")
+    build_index(stored.filter("job_id % 3 > 0"), place, cells=32)
+    append_index(stored.filter("job_id % 3 = 0"), place)
+    hits = nearest_indexed(W.incoming_queries(spark, d), place, probes=12, job_type="long")
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 def cached_job(spark, d):
     found = find_cached_job(W.stored_queries(spark, d), W.query_vector(spark, d))
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -535,11 +598,12 @@ REGISTERED = {
     for f in (
         relevance_topk, cosine_pairs, minmax, minmax_by_job, quality_score, health_score,
         composite_rank, composite_by_job, score_breakdown, rank_repos, rank_repos_any_band,
-        rank_jobs, lite_scores, lite_rank, search_candidates,
+        rank_jobs, lite_scores, lite_rank, search_candidates, word_search,
         code_signatures, file_counts, first_signatures, dominant_language, code_metrics,
         analyzed_files, document_lines, contributor_stats, assembled_repos,
         minhash, band_keys, bucket_flags, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,
-        embed_hashing, semantic_cache, cached_job, search_split, vector_json,
+        dedup_batches_cluster, dedup_batches_any_band, set_pairs, set_members, band_recall,
+        embed_hashing, semantic_cache, semantic_cache_indexed, cached_job, search_split, vector_json,
         latest_status, job_status, last_write, insert_if_absent, orphan_results,
         referenced_results, job_manifest, result_counts, fetch_results, present_results,
         minmax_by_job_nulls, minmax_text_values, rank_repos_recrawled, lite_search,
