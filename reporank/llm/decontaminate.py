@@ -9,8 +9,12 @@ A suffix whose first word is in no item cannot match and stays out of the array.
 are never shuffled: each row is decided where it is read, so common passages and large
 groups of copies cost no more than other text.
 
-The benchmark is sent to the tasks in slices of bounded size, however large it is; a task
-holds one slice at a time. Slices hold whole items.
+The benchmark is written to the shared folder in slices of about `SLICE_BYTES`, by a job of its
+own, however large it is; tasks open one slice at a time and let it go for the next. Slices
+hold whole items. The driver handles their names only.
+
+A document with a hit also gets its longest verbatim match with any item: every match of a
+window's length or more starts with a window, so it is found by extending those.
 
 Defined cases: null and empty texts have no words and no hits; an item without words is in
 no document; items and documents may repeat, each row gets its own answer, and repeated item
@@ -18,19 +22,24 @@ ids count once; null item ids are skipped; null document ids are returned as suc
 benchmark contaminates nothing; other columns are ignored.
 """
 
+import pickle
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reporank.llm.common import words
+from reporank.session import written
+from reporank.sources.raw import _filesystem
 
 SHARD_WORDS = 1 << 20
 SLICE_BYTES = 4 << 20
 CELLS = 1 << 20  # words compared at a time
 
+DECIDED = "n_words long, n_hit long, items array<string>, longest long, longest_item string, longest_at long"
 MATCHES = "item_id string, start int, n_words int, doc_id {id}, position long"
 
 
@@ -154,13 +163,13 @@ class Shard:
         self.array = suffix_array(self.text, pad)
 
     def windows(self, tests):
-        """Document positions, words and items of all occurrences of windows."""
+        """Document positions and test suffixes of all occurrences of windows."""
         low = _bound(self.text, self.array, tests, tests.needs, False)
         high = _bound(self.text, self.array, tests, tests.needs, True)
         count = np.where(tests.needs > 0, high - low, 0)
         within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         at = self.array[np.repeat(low, count) + within]
-        return at, np.repeat(tests.needs, count), np.repeat(tests.item, count)
+        return at, np.repeat(np.arange(len(count)), count)
 
     def longest(self, tests):
         """For each test suffix the number of words of its longest match, and where it is."""
@@ -181,17 +190,38 @@ class Shard:
 
 
 def _slices(benchmark, item_column, text_column, window, slice_bytes):
-    """Broadcast slices of the benchmark; the driver holds one at a time."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_column).cast("string"), text_column)
-    out, held, size = [], [], 0
-    for item, text in rows.toLocalIterator():
-        held.append((item, text))
-        size += len(text or "") + 32
-        if size >= slice_bytes:
-            out.append(spark.sparkContext.broadcast(Tests(held, window)))
-            held, size = [], 0
-    return [*out, spark.sparkContext.broadcast(Tests(held, window))] if held or not out else out
+    """Write the benchmark in slices; a function that gives one after the other in a task."""
+    rows = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).alias("text"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
+    count = max(1, -(-size // slice_bytes))
+
+    def build(batches):
+        items = [(r["item"], r["text"]) for b in batches for r in b.to_pylist()]
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(Tests(items, window)))], pa.binary())], ["tests"])
+
+    slice_ = F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
+    dealt = rows.repartitionById(count, slice_).sortWithinPartitions("row").select("item", "text")
+    files = written(dealt.mapInArrow(build, "tests binary")).inputFiles()
+    held = []
+
+    def each():
+        for file in files:
+            if held[:1] != [file]:
+                held.clear()
+                system, path = _filesystem(file)
+                with system.open_input_file(path) as opened:
+                    blobs = pq.read_table(opened).column("tests").to_pylist()
+                tests = []
+                for blob in blobs:
+                    one = Tests.__new__(Tests)
+                    vars(one).update(pickle.loads(blob))
+                    tests.append(one)
+                held[:] = [file, tests]
+            yield from held[1]
+
+    return each
 
 
 def _shards(batches, shard_words):
@@ -207,22 +237,32 @@ def _shards(batches, shard_words):
                 first, held, size = i + 1, [], 0
 
 
-def _decide(documents, slices, window):
-    """Hit words and item ids of each document."""
+def _decide(documents, slices, window, longest=False):
+    """Words, hit words and item ids of each document and, if asked for, its longest match:
+    (words, item, position), of equally long ones the smallest item and position."""
     sizes = np.array([len(x) for x in documents], dtype=np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     change = np.zeros(int(sizes.sum()) + len(sizes) + 1, dtype=np.int64)
-    items = [set() for _ in documents]
-    for tests in slices:
-        shard = Shard(documents, tests.value, window)
-        at, length, item = shard.windows(tests.value)
+    items, best = [set() for _ in documents], [None] * len(documents)
+    for tests in slices():
+        shard = Shard(documents, tests, window)
+        at, suffix = shard.windows(tests)
+        length, item = tests.needs[suffix], tests.item[suffix]
         change += np.bincount(at, minlength=len(change)) - np.bincount(at + length, minlength=len(change))
-        pairs = np.unique(shard.document(at) * max(1, len(tests.value.ids)) + item)
-        for pair in pairs.tolist():
-            document, which = divmod(pair, len(tests.value.ids))
-            items[document].add(tests.value.ids[which])
+        of = shard.document(at)
+        for pair in np.unique(of * max(1, len(tests.ids)) + item).tolist():
+            document, which = divmod(pair, len(tests.ids))
+            items[document].add(tests.ids[which])
+        if longest and len(at):
+            common = _common(shard.text, at, tests, suffix)
+            most = np.zeros(len(documents), dtype=np.int64)
+            np.maximum.at(most, of, common)
+            for i in np.flatnonzero(common == most[of]).tolist():
+                d = int(of[i])
+                one = (-int(common[i]), tests.ids[item[i]], int(at[i] - begin[d]))
+                best[d] = one if best[d] is None else min(best[d], one)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
-    return sizes, hit[begin + sizes] - hit[begin], items
+    return sizes, hit[begin + sizes] - hit[begin], items, best
 
 
 def _two(docs, id_column, text_column):
@@ -239,20 +279,27 @@ def contamination(
     shard_words: int = SHARD_WORDS,
     slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids with a window in it)."""
+    """Per document: doc_id, n_words, n_hit, items (sorted ids with a window in it), and its
+    longest match: longest (words, 0 without a hit), longest_item and longest_at (word)."""
     slices = _slices(benchmark, item_column, text_column, window, slice_bytes)
     rows = _two(docs, id_column, text_column)
 
     def decide(batches):
         for ids, documents in _shards(batches, shard_words):
-            n_words, n_hit, items = _decide(documents, slices, window)
+            n_words, n_hit, items, best = _decide(documents, slices, window, longest=True)
+            lists = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+            match = [
+                pa.array([-b[0] if b else 0 for b in best], pa.int64()),
+                pa.array([b and b[1] for b in best], pa.string()),
+                pa.array([b and b[2] for b in best], pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "items"],
+                [ids, pa.array(n_words), pa.array(n_hit), lists, *match],
+                ["doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(decide, f"doc_id {kind}, n_words long, n_hit long, items array<string>")
+    return rows.mapInArrow(decide, f"doc_id {kind}, {DECIDED}")
 
 
 def longest_matches(
@@ -276,15 +323,15 @@ def longest_matches(
 
     def search(batches):
         for ids, documents in _shards(batches, shard_words):
-            for tests in slices:
-                shard = Shard(documents, tests.value, window)
-                best, where = shard.longest(tests.value)
+            for tests in slices():
+                shard = Shard(documents, tests, window)
+                best, where = shard.longest(tests)
                 found = np.flatnonzero(best)
                 of = shard.document(where[found])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([tests.value.ids[i] for i in tests.value.item[found].tolist()], pa.string()),
-                        pa.array(tests.value.at[found], pa.int32()),
+                        pa.array([tests.ids[i] for i in tests.item[found].tolist()], pa.string()),
+                        pa.array(tests.at[found], pa.int32()),
                         pa.array(best[found], pa.int32()),
                         ids.take(pa.array(of)),
                         pa.array(where[found] - shard.begin[of]),
@@ -320,7 +367,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, **op
                 [pa.array(np.arange(batch.num_rows)), batch.column(at)], ["doc_id", "text"]
             )
             for rows, documents in _shards([slim], shard_words):
-                _, n_hit, _ = _decide(documents, slices, window)
+                _, n_hit, _, _ = _decide(documents, slices, window)
                 yield batch.take(rows.filter(pa.array(n_hit == 0)))
 
     return docs.mapInArrow(keep, docs.schema)

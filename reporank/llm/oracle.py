@@ -28,10 +28,23 @@ hit AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + n)) AS r(k) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items,
-    array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS listed FROM found GROUP BY doc_id)
+    array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS listed FROM found GROUP BY doc_id),
+starts AS (
+  SELECT item_id, w, j, least(10, len(w)) AS n, array_to_string(w[j : j + least(10, len(w)) - 1], ' ') AS grams
+  FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(j) WHERE len(w) > 0),
+pairs AS (
+  SELECT p.doc_id, p.i, s.item_id::VARCHAR AS item, s.j, d.w AS x, s.w AS y, least(len(d.w) - p.i, len(s.w) - s.j) + 1 AS most
+  FROM places p JOIN starts s USING (n, grams) JOIN d USING (doc_id)),
+common AS (
+  SELECT doc_id, i, item,
+    coalesce(list_position(list_transform(range(0, most), lambda k: x[i + k] = y[j + k]), false) - 1, most) AS words FROM pairs),
+best AS (
+  SELECT doc_id, words, item, i FROM common
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item, i) = 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(words, 0)::BIGINT AS longest, item AS longest_item, (i - 1)::BIGINT AS longest_at
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 # The patterns of the secret scan, as RE2 reads them.
 SECRETS = (
@@ -71,6 +84,7 @@ f AS (
   FROM k GROUP BY val),
 j AS (
   SELECT n, a::BIGINT AS a, z::BIGINT AS z,
+    CASE WHEN copied THEN 'copied' WHEN random THEN 'owned' ELSE 'unclear' END AS verdict,
     CASE WHEN kind <> 'long' THEN kind WHEN copied THEN 'copied' WHEN random THEN 'owned' ELSE 'unclear' END AS kind
   FROM k JOIN f USING (val)),
 o AS (
@@ -79,9 +93,13 @@ o AS (
 g AS (
   SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex, string_agg(one, ',' ORDER BY a, rank) FILTER (rank <= 3) AS base,
-    string_agg(one, ',' ORDER BY a, rank) AS spans FROM o GROUP BY n)
+    string_agg(one, ',' ORDER BY a, rank) AS spans,
+    string_agg(one || ':' || verdict, ',' ORDER BY a, rank) FILTER (rank <= 3) AS verdicts,
+    count(*) FILTER (rank <= 3 AND verdict = 'copied') AS n_copied,
+    count(*) FILTER (rank <= 3 AND verdict = 'owned') AS n_owned FROM o GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS base_verdicts,
+  coalesce(n_copied, 0) AS n_copied, coalesce(n_owned, 0) AS n_owned
 FROM d LEFT JOIN g USING (n)"""
 
 

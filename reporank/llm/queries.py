@@ -12,7 +12,7 @@ from reporank.llm.lexical_search import ranked
 from reporank.llm.line_dedup import repeated_lines
 from reporank.llm.packing import pack
 from reporank.llm.pseudonyms import pseudonyms
-from reporank.llm.secret_scan import base_only, counted, listed, scan
+from reporank.llm.secret_scan import base_only, counted, judged, listed, scan
 from reporank.llm.simhash import near_duplicates
 from reporank.llm.suffix_dedup import without_repeats
 from reporank.llm.token_counts import count_tokens
@@ -66,6 +66,9 @@ def op7_decontamination(spark, d):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest",
+        "longest_item",
+        "longest_at",
     )
 
 
@@ -84,6 +87,9 @@ def op10_secret_scan(spark, d):
         *(counted(spans, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
         F.sha2(listed(base_only(spans)), 256).alias("base_sha256"),
         listed(spans).alias("spans"),
+        listed(base_only(spans), "verdict").alias("base_verdicts"),
+        judged(base_only(spans), "copied").alias("n_copied"),
+        judged(base_only(spans), "owned").alias("n_owned"),
     )
 
 

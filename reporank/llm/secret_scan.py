@@ -123,9 +123,10 @@ def scan(
     return all_rows.select(F.col("id").alias(id_column), F.coalesce("spans", F.from_json(F.lit("[]"), by_row.schema["spans"].dataType)).alias("spans"))
 
 
-def listed(spans):
-    """kind:start:end of an array of spans, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+def listed(spans, *more):
+    """kind:start:end of an array of spans (and more fields of them), comma-joined."""
+    fields = ("kind", "start", "end", *more)
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *(s[f] for f in fields))), ",")
 
 
 def base_only(spans):
@@ -134,3 +135,8 @@ def base_only(spans):
 
 def counted(spans, kind):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def judged(spans, verdict):
+    """How many of the spans have the verdict."""
+    return F.size(F.filter(spans, lambda s: s["verdict"] == verdict)).cast("long")

@@ -235,31 +235,33 @@ def _stretch_rows(texts, length, gram):
                 found = stretches(np.frombuffer(raw, dtype=np.uint8), length, gram)
                 if len(found[0]):
                     start, count, at, key = found
-                    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-                    ends = (start + count + length - 1).tolist()
-                    content = [digest(view[s:e]) for s, e in zip(start.tolist(), ends)]
-                    columns.append((key, np.array(content, dtype=np.uint64), start, count, at - start))
+                    view, ends = memoryview(raw), (start + count + length - 1).tolist()
+                    pieces = [view[s:e] for s, e in zip(start.tolist(), ends)]
+                    content = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], dtype=np.uint64)
+                    check = np.array([xxhash.xxh64_intdigest(p) for p in pieces], dtype=np.uint64)
+                    columns.append((key, content, check, start, count, at - start))
                     row += [i] * len(start)
                 if len(row) >= 1 << 17 or i + 1 == batch.num_rows:
                     if row:
-                        key, content, start, count, at = (np.concatenate(c) for c in zip(*columns))
+                        key, content, check, start, count, at = (np.concatenate(c) for c in zip(*columns))
                         take = pa.array(np.array(row))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(key.view(np.int64)),
                                 pa.array((content ^ (count * 1000 + at).astype(np.uint64)).view(np.int64)),
+                                pa.array(check.view(np.int64)),
                                 batch.column("id").take(take),
                                 pa.array(start.astype(np.int64)),
                                 pa.array(count.astype(np.int32)),
                                 pa.array(at.astype(np.int32)),
                                 batch.column("copies").take(take),
                             ],
-                            ["key", "content", "id", "start", "n", "at", "copies"],
+                            ["key", "content", "check", "id", "start", "n", "at", "copies"],
                         )
                     columns, row = [], []
 
     return texts.select("id", "text", "copies").mapInArrow(
-        cut, "key long, content long, id long, start long, n int, at int, copies long"
+        cut, "key long, content long, check long, id long, start long, n int, at int, copies long"
     )
 
 
@@ -359,14 +361,18 @@ def _windows(members, length):
 
 def _repeated_ranges(texts, length, gram, held):
     """(id, start, n): runs of n windows from `start` on that occur more than once."""
-    all_ = _stretch_rows(texts, length, gram)
+    all_ = written(_stretch_rows(texts, length, gram))
     # written, so that the join below can split a minimizer that very many stretches have
     counts = written(all_.groupBy("key").agg(F.sum("copies").alias("places")).filter("places > 1").select("key"))
     shared = written(all_.join(counts, "key"))
     contents = shared.groupBy("key", "content").agg(
-        F.sum("copies").alias("weight"), F.min(F.struct("id", "start", "n", "at")).alias("one")
+        F.sum("copies").alias("weight"), F.min(F.struct("id", "start", "n", "at")).alias("one"),
+        (F.min("check") != F.max("check")).alias("clash"),
     )
-    contents = written(contents.select("key", "content", "weight", "one.*"))
+    contents = written(contents.select("key", "content", "weight", "one.*", "clash"))
+    if contents.filter("clash").limit(1).count():
+        raise ValueError("two different passages have the same 64-bit digest")
+    contents = contents.drop("clash")
     mixed_keys = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("weight").alias("least"))
     mixed_keys = written(mixed_keys.filter("m > 1 AND least = 1").select("key", "m"))
     open_ = written(_with_bytes(contents.join(mixed_keys, "key"), texts, length))
@@ -445,12 +451,14 @@ def without_repeats(
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, kept:
     the bytes that are left (cuts may fall within a character)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts, _ = bucketed(_different_texts(docs, text_column), "id", partitions)
+    texts, delete = bucketed(_different_texts(docs, text_column), "id", partitions)
     if texts.filter("clash").limit(1).count():
+        delete()
         raise ValueError("two different texts have the same 64-bit id")
     ranges = _repeated_ranges(texts, length, gram, held)
     by_text = ranges.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
-    results = _cut_out(texts.join(by_text, "id", "left").select("id", "text", "starts", "sizes"), length, with_text)
+    results = written(_cut_out(texts.join(by_text, "id", "left").select("id", "text", "starts", "sizes"), length, with_text))
+    delete()
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
         F.col(id_column).alias("doc_id"), _id(F.unhex(F.sha2(text, 256))).alias("id"), F.octet_length(text).cast("long").alias("n_bytes")

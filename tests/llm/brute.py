@@ -53,7 +53,8 @@ def words(text):
 
 
 def leaks(docs, benchmark):
-    """One row per document: doc_id, n_words, n_hit, sorted item ids."""
+    """One row per document: doc_id, n_words, n_hit, sorted item ids, and the longest match:
+    words, item, position."""
     windows = defaultdict(set)
     for item, text in benchmark:
         own = words(text)
@@ -70,10 +71,26 @@ def leaks(docs, benchmark):
                 if found:
                     hit |= set(range(i, i + n))
                     items |= found
-        out.append((doc, len(own), len(hit), sorted(items)))
+        out.append((doc, len(own), len(hit), sorted(items), *longest(own, benchmark)))
     return out
 
 
+def longest(own, benchmark):
+    """The longest run of words of any item that holds a whole window of it."""
+    best = (0, None, None)
+    for item, text in benchmark:
+        test = words(text)
+        size = min(10, len(test))
+        for start in range(len(test) - size + 1 if test and item is not None else 0):
+            for p in range(len(own) - size + 1):
+                n = 0
+                while p + n < len(own) and start + n < len(test) and own[p + n] == test[start + n]:
+                    n += 1
+                if n >= size and (best[1] is None or (-n, str(item), p) < (-best[0], best[1], best[2])):
+                    best = (n, str(item), p)
+    return best
+
+
 def repeats(texts, length):
     """n_bytes, n_removed, n_spans, digest of the rest, of each text."""
     raw = [(t or "").encode() for t in texts]

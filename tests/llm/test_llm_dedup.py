@@ -295,10 +295,14 @@ def repeat_corpus(seed=4, length=24):
 
 
 @pytest.mark.parametrize("held", [2048, 2])
-@pytest.mark.parametrize("length,gram", [(24, 8), (10, 4)])
+@pytest.mark.parametrize("length,gram", [(24, 8), (10, 4), (200, 32)])
 def test_substrings_match_brute_force(spark, length, gram, held):
-    rows = repeat_corpus()
+    rows = repeat_corpus(length=length)
+    if length > 100:  # longer texts and passages for the query's own options
+        rows = [(i, t and t * 7 + str(i % 3) * 150) for i, t in rows] + [(90 + i, t) for i, t in repeat_corpus(9)]
+    tables = len(spark.catalog.listTables())
     found = suffix_dedup.without_repeats(frame(spark, rows), length=length, gram=gram, held=held).collect()
+    assert len(spark.catalog.listTables()) == tables
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert got == dict(zip([i for i, _ in rows], brute.repeats([t for _, t in rows], length)))
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)

@@ -440,9 +440,24 @@ def test_longest_matches(spark, monkeypatch, shard_words):
                 assert any(i == doc and w[position : position + n] == own[start : start + n] for i, w in texts)
 
 
+def test_slices_are_opened_one_at_a_time(spark):
+    """The benchmark lies in files; a task holds one slice, the driver only their names."""
+    items = [(i, f"item number {i} has its own words w{i} and some more of them x{i} y{i}") for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    each = decontaminate._slices(benchmark, "item_id", "text", 10, 400)
+    seen, ids = 0, []
+    for tests in each():
+        seen += 1
+        ids += tests.ids
+    assert seen > 3 and sorted(map(int, ids)) == list(range(40))
+    cells = dict(zip(each.__code__.co_freevars, (c.cell_contents for c in each.__closure__)))
+    assert len(cells["held"]) == 2 and isinstance(cells["files"][0], str)
+    assert [t.ids for t in each()] == [t.ids for t in each()]
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = frame(spark, [(1, "a b c")]), spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(r) for r in decontaminate.contamination(docs, none).collect()] == [(1, 3, 0, [])]
+    assert [tuple(r) for r in decontaminate.contamination(docs, none).collect()] == [(1, 3, 0, [], 0, None, None)]
     assert decontaminate.contamination(frame(spark, []), none).count() == 0
 
 
