@@ -13,6 +13,7 @@ from reporank.functions.text import _col
 from reporank.schemas import FINGERPRINT
 
 CHUNK = 1 << 15  # token occurrences hashed at a time (16 MB), whatever the text length
+HELD_TOKENS = 1 << 16  # different tokens of a batch that are hashed once for all chunks (32 MB)
 HELD_KEYS = 1 << 14  # fingerprints a task folds before it passes them on (8 MB)
 _SEEDS = np.arange(fixed.NUM_HASHES, dtype=np.uint32)
 
@@ -20,9 +21,16 @@ _SEEDS = np.arange(fixed.NUM_HASHES, dtype=np.uint32)
 def _minima(values: pa.Array, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Element-wise minimum of the hashes of ``values``, per row (``rows`` ascending)."""
     out = np.full((n_rows, fixed.NUM_HASHES), fixed.EMPTY_MINIMUM, np.uint32)
+    whole = values.dictionary_encode()
+    once = len(whole.dictionary) <= HELD_TOKENS
+    if once:
+        hashes, picks = token_hashes(whole.dictionary, _SEEDS), whole.indices.to_numpy()
     for start in range(0, len(values), CHUNK):
-        part = values.slice(start, CHUNK).dictionary_encode()
-        hashes, pick = token_hashes(part.dictionary, _SEEDS), part.indices.to_numpy()
+        if once:
+            pick = picks[start : start + CHUNK]
+        else:
+            part = values.slice(start, CHUNK).dictionary_encode()
+            hashes, pick = token_hashes(part.dictionary, _SEEDS), part.indices.to_numpy()
         owner = rows[start : start + CHUNK]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         least = np.minimum.reduceat(hashes[pick], first, axis=0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reporank import fixed
 from reporank.functions.scores import rounded
-from reporank.operators.skew import join_lookup
+from reporank.session import written
 
 
 def _value(source) -> Column:
@@ -50,14 +50,15 @@ def minmax_normalize(df: DataFrame, by: str | None = None, features=None) -> Dat
     """``df`` with a ``normalized`` struct.
 
     The bounds are one row per batch: without ``by`` a scalar subquery, so no row
-    of ``df`` moves; with ``by`` a lookup that broadcasts hot batches.
+    of ``df`` moves. With ``by`` they are written, one row per batch, and joined: few of them
+    are broadcast by their known size; of many, adaptive execution splits hot batches.
     """
     if by is None:
         stats = df.agg(bounds(features).alias("stats")).scalar()
         staged = df.withColumn("_stats", stats)
     else:
-        stats = df.groupBy(by).agg(bounds(features).alias("_stats"), F.count("*").alias("_size"))
-        staged = join_lookup(df, stats, [by], "_size")
+        stats = written(df.groupBy(F.col(by).alias("_batch")).agg(bounds(features).alias("_stats")))
+        staged = df.join(stats, df[by].eqNullSafe(stats["_batch"])).drop("_batch")
     return staged.withColumn("normalized", scaled_features(F.col("_stats"), features)).drop(
         "_stats"
     )

@@ -479,6 +479,11 @@ def statements() -> dict[str, str]:
         "dedup_batches_cluster": twins["dedup_cluster"],
         "dedup_batches_any_band": twins["dedup_any_band"],
         "semantic_cache_indexed": twins["semantic_cache"],
+        "code_signatures_sql": twins["code_signatures"],
+        "first_signatures_sql": twins["first_signatures"],
+        "metrics_versions": twins["code_metrics"],
+        "insert_keyed": twins["insert_if_absent"],
+        "status_stream": twins["latest_status"].replace("SELECT * FROM current", "SELECT job_id, status FROM current"),
     }
     return {**twins, "analyzed_files": twins["code_metrics"], "rank_jobs": jobs_ranked, "search_answers": answers}
 
@@ -612,6 +617,11 @@ def _twins(scored, prints, bands, code, ranked, deduped, norms, words):
         + """SELECT keeper, duplicate, bands, len(list_filter(range(1, 129),
               lambda i: a.fp[i] = b.fp[i])) / 128e0 AS jaccard
           FROM pairs JOIN prints a ON a.k = keeper JOIN prints b ON b.k = duplicate""",
+        "contributor_sketches": """SELECT o_custkey AS repo, count(DISTINCT l_suppkey) AS contributor_count, true AS within
+          FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""",
+        "tree_source": """SELECT 'lang=' || lang AS repo, sum(len(lines))::BIGINT AS lines,
+            sum(list_sum(list_transform(lines, lambda x: length(x))))::BIGINT AS chars
+          FROM (SELECT lang, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) GROUP BY lang""",
         "set_pairs": _with(_tokens("documents", "doc_id", "text"), SETS)
         + "SELECT a, b, round(jaccard, 6) AS jaccard FROM alike",
         "set_members": _with(_tokens("documents", "doc_id", "text"), SETS)

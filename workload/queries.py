@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from reporank import fixed, schemas
 from reporank.functions import minhash as M
 from reporank.functions import scores as S
+from reporank.functions import tables
 from reporank.functions import text as T
 from reporank.functions import vectors as V
 from reporank.operators import dedup as D
 from reporank.operators import dedup_store as DS
 from reporank.operators import jobs as J
 from reporank.operators import metrics as C
+from reporank.operators import metrics_store as MS
 from reporank.operators import stats as ST
 from reporank.operators.nearest import nearest_stored
 from reporank.operators.normalize import minmax_normalize
@@ -25,7 +27,10 @@ from reporank.plans.results import present, result_count
 from reporank.plans.search import find_cached_job, run_searches, search
 from reporank.session import scratch_root, written
 from reporank.sources.raw import manifest, read_job_repos, source_lines, write_raw
+from reporank.sources.keyed import insert_absent
 from reporank.sources.tables import append_status, read_or_empty, result_rows, write_results
+from reporank.sources.tree import read_tree
+from reporank.streaming import status as SS
 from workload import views as W
 
 QUESTION = "I need a good MACHINERY library, please!"
@@ -206,6 +211,28 @@ def code_signatures(spark, d):
     return annotated.select("repo", "path", "line_no", "ext", "sig", "is_public", "is_error")
 
 
+def code_signatures_sql(spark, d):
+    """The same lines through a table function of SQL."""
+    tables.register(spark, "long")
+    lines = W.code_lines(spark, d).withColumn("ext", T.extension("path"))
+    return spark.sql(
+        """SELECT c.repo, c.path, c.line_no, c.ext, s.sig, s.is_public, s.is_error
+        FROM {lines} c, LATERAL code_signatures(c.line, c.ext) s""",
+        lines=lines,
+    )
+
+
+def first_signatures_sql(spark, d):
+    """The cap of each repository by a reducer: a table function over its ordered rows."""
+    tables.register(spark, "long")
+    signed = C.annotate_lines(W.code_lines(spark, d)).filter("sig IS NOT NULL")
+    rows = signed.select("repo", F.split("path", "/").alias("parts"), "line_no", "sig")
+    found = spark.sql(
+        "SELECT repo, n, sig FROM first_signatures(TABLE({rows}) PARTITION BY repo ORDER BY (parts, line_no, sig))", rows=rows
+    )
+    return found.select("repo", F.col("n").cast("long").alias("n"), "sig")
+
+
 def file_counts(spark, d):
     return C.file_counts(C.annotate_lines(W.code_lines(spark, d)))
 
@@ -242,6 +269,19 @@ def analyzed_files(spark, d):
     return _metrics(C.analyze_files(W.code_files(spark, d)))
 
 
+def metrics_versions(spark, d):
+    """Three versions of a tree: files are added, edited, renamed and deleted; the last is the given one."""
+    files, place = written(W.code_files(spark, d)), _place(spark, "metrics")
+    turn = F.pmod(F.xxhash64("repo", "path"), F.lit(4))
+    edited = F.when(turn == 1, F.concat("content", F.lit("\ndef added(x):"))).otherwise(F.col("content"))
+    moved = F.when(turn == 2, F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))
+    MS.update_metrics(files.filter(turn < 3).select("repo", moved.alias("path"), edited.alias("content")), place)
+    MS.update_metrics(files.filter(turn == 3), place)
+    gone = files.filter(turn == 2).select("repo", F.concat(F.lit("old/"), "path").alias("path"))
+    MS.update_metrics(files.filter(turn.isin(0, 1, 2)), place, gone)
+    return _metrics(MS.stored_metrics(spark, place))
+
+
 def document_lines(spark, d):
     """Documents as files: lines per file as the line reader counts them."""
     files = W.table(spark, d, "documents").select(
@@ -262,6 +302,16 @@ def contributor_stats(spark, d):
     )
 
 
+def contributor_sketches(spark, d):
+    """Exact counts, and whether sketches merged over days are within their stated error."""
+    commits = W.commits(spark, d)
+    exact = commits.groupBy("repo").agg(F.count_distinct("author").alias("contributor_count"))
+    merged = ST.approximate_contributors(written(ST.author_sketches(commits)))
+    merged = merged.select("repo", F.col("contributor_count").alias("estimate"))
+    near = F.abs(F.col("estimate") - F.col("contributor_count")) <= ST.SKETCH_ERROR * F.col("contributor_count")
+    return exact.join(merged, "repo").select("repo", "contributor_count", near.alias("within"))
+
+
 def assembled_repos(spark, d):
     flat = W.repos(spark, d)
     names = flat.select(F.col("repo_id").alias("repo"), "full_name")
@@ -447,6 +497,31 @@ def insert_if_absent(spark, d):
     return J.insert_if_absent(new, existing, ["job_id"])
 
 
+def insert_keyed(spark, d):
+    """The same insert into a stored table, which reads only files that may hold the keys."""
+    place, customers = _place(spark, "keyed"), W.table(spark, d, "customer")
+    known = W.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.lit("").alias("c_name"))
+    insert_absent(known, place, "job_id")
+    return insert_absent(customers.select(F.col("c_custkey").alias("job_id"), "c_name"), place, "job_id")
+
+
+def status_stream(spark, d):
+    """The status events as a stream in several batches; its last row of each job is the current one."""
+    place, conf = _place(spark, "status"), "spark.sql.streaming.stateStore.providerClass"
+    events = W.job_events(spark, d).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    events.repartition(4, "seq").write.parquet(f"{place}/events")
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, SS.PROVIDER)
+    try:
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/events")
+        changed = SS.status_changes(arriving).writeStream.outputMode("update")
+        changed = changed.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+        changed.foreachBatch(lambda rows, n: rows.write.mode("append").parquet(f"{place}/status")).start().awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return J.latest_status(spark.read.parquet(f"{place}/status")).select("job_id", "status")
+
+
 def orphan_results(spark, d):
     results = W.table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), "source")
     queries = W.table(spark, d, "labels").select(F.col("doc_id").alias("job_id"))
@@ -506,6 +581,16 @@ def status_log(spark, d):
     return J.latest_status(log).select("job_id", "status")
 
 
+def tree_source(spark, d):
+    """Documents as the files of one tree per language, read by the data source in small splits."""
+    place = _place(spark, "tree")
+    documents = W.table(spark, d, "documents")
+    documents.select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(place)
+    lines = source_lines(read_tree(spark, place, (".txt",), split_bytes=1 << 20))
+    found = lines.groupBy("repo").agg(F.count("line").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return found.select("repo", "lines", "chars")
+
+
 def job_manifest(spark, d):
     return manifest(W.repos(spark, d))
 
@@ -599,12 +684,12 @@ REGISTERED = {
         relevance_topk, cosine_pairs, minmax, minmax_by_job, quality_score, health_score,
         composite_rank, composite_by_job, score_breakdown, rank_repos, rank_repos_any_band,
         rank_jobs, lite_scores, lite_rank, search_candidates, word_search,
-        code_signatures, file_counts, first_signatures, dominant_language, code_metrics,
-        analyzed_files, document_lines, contributor_stats, assembled_repos,
+        code_signatures, code_signatures_sql, file_counts, first_signatures, first_signatures_sql, dominant_language, code_metrics,
+        analyzed_files, document_lines, tree_source, metrics_versions, contributor_stats, contributor_sketches, assembled_repos,
         minhash, band_keys, bucket_flags, dedup_any_band, dedup_cluster, duplicate_links, jaccard_estimate,
         dedup_batches_cluster, dedup_batches_any_band, set_pairs, set_members, band_recall,
         embed_hashing, semantic_cache, semantic_cache_indexed, cached_job, search_split, vector_json,
-        latest_status, job_status, last_write, insert_if_absent, orphan_results,
+        latest_status, status_stream, job_status, last_write, insert_if_absent, insert_keyed, orphan_results,
         referenced_results, job_manifest, result_counts, fetch_results, present_results,
         minmax_by_job_nulls, minmax_text_values, rank_repos_recrawled, lite_search,
         search_answers, raw_round_trip, stored_results, stored_lite_results, status_log,
