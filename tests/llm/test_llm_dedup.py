@@ -105,6 +105,14 @@ def test_pairs_and_middles_give_the_same_groups(spark):
         assert brute.components(list(want), lambda a, b: frozenset((a, b)) in linked) == want
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    rng = random.Random(8)
+    text = prose(rng, 150_000, 900)
+    rows = [(1, text), (2, text + " one more"), (3, "word " * 300_000), (4, "x" * 2_000_000), (5, None)]
+    got = {r.doc_id: (f"{r.print % (1 << 64):016x}", r.component_id) for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.simhash(rows) and got[2][1] == 1
+
+
 def test_block_masks():
     masks = [m % (1 << 64) for m in simhash.block_masks(5, 2)]
     assert len(masks) == 10 and all(37 <= m.bit_count() <= 40 for m in masks)

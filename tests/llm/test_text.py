@@ -1,8 +1,9 @@
 """Tokens, packing, pseudonyms, toxicity, decontamination and secrets against plain versions."""
 
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import date
 
 import brute
@@ -33,7 +34,7 @@ def library():
 TEXTS = [
     (1, "The quick brown fox, it's THE fox. 12ab"), (2, None), (3, ""), (4, "The quick brown fox, it's THE fox. 12ab"),
     (5, "<|endoftext|> and <|ENDOFTEXT|>x"), (6, "Straße Σίσυφος été é ﬁn 中文　字 \x1c\x85."), (None, "no id"),
-    (8, "word " * 3000), (8, "same id"),
+    (8, "word " * 3000), (8, "same id"), (9, "Very long text, 12 of it. é " * 20_000),
 ]
 
 
@@ -368,6 +369,29 @@ def test_gradient_is_that_of_the_likelihood():
             assert loss(model.weights, moved) >= best - 1e-4
 
 
+def test_scores_against_a_plain_version(spark):
+    """Every document's probabilities by the definition, over whole texts of any length."""
+    rows, labels = labelled(n=200)
+    rows += [(900, "Awful " * 200_000 + "the end"), (901, "12 34 56"), (902, "ÄWFUL nasty\tNASTY"), (903, None), (None, "vile")]
+    docs = frame(spark, rows)
+    model = toxicity.trained(docs, spark.createDataFrame([(i, x) for i, _, x in labels], "doc_id long, toxic int"), min_documents=5)
+    assert model.weights
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.severity, r.grade, r.rejected) for r in toxicity.severity(docs, model).collect()))
+    want = []
+    for i, text in rows:
+        own = Counter(w for w in brute.words(text) if not w.isascii() or not w.isdigit())
+        score = 0.0
+        for w, n in own.items():
+            raw = w.encode()
+            for f in {raw} | {raw[:k] for k in (4, 5, 6) if k < len(raw)}:
+                score += model.weights.get(f, 0.0) * (1 + math.log(n))
+        p = [1 / (1 + math.exp(min(500, max(-500, c - score)))) for c in model.cuts]
+        chances = [1 - p[0], p[0] - p[1], p[1]]
+        want.append((-1 if i is None else i, pytest.approx(sum(p)), chances.index(max(chances)), p[0] >= toxicity.REJECT_AT))
+    assert got == sorted(want, key=lambda x: x[0])
+    assert next(r for r in got if r[0] == 900)[3]
+
+
 def test_toxicity_corner_cases(spark):
     docs = frame(spark, [(1, "a b"), (None, None), (1, "")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -491,6 +515,13 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_in_a_very_long_text(spark):
+    text = ("filler words " * 4000 + "password = Tr0ub4dor3x " + "é" * 5000 + " AKIA" + "Q7" * 10 + "\n") * 12
+    row = secret_scan.scan(frame(spark, [(1, text)])).first()
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.spans if s.rank <= 3] == brute.secrets(text)
+    assert len(brute.secrets(text)) == 24
+
+
 def test_secrets_use_no_python(spark):
     found = secret_scan.scan(frame(spark, SECRETS))
     found = found.select("doc_id", secret_scan.listed(found["spans"]))
