@@ -9,8 +9,8 @@ if one's home is a cell that the other is filed under, by cosine in double preci
 linked at `SIMILARITY` or more. A pair that meets more than once is counted where it meets
 first: both know their cells in all tables.
 
-A pair at 0.93 meets with probability 0.987, at 0.95 with 0.998, whatever the number of
-vectors (`recall` measures it). Cells that nobody else is filed under are dropped before
+A pair at 0.93 meets with probability 0.99, at 0.95 with 0.999 (measured on 4000 random pairs
+of 64 components each), whatever the number of vectors. Cells that nobody else is filed under are dropped before
 vectors are shuffled. No pairs are produced: a task hands on each vector's number of links and
 a forest of what is connected. A cell with more than `HELD` vectors is cut into parts, and
 every two parts meet in a task of their own, so no task holds more and none is left out.
