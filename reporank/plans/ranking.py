@@ -14,7 +14,9 @@ from reporank.functions.vectors import cosine_rows, cosine_to, embed
 from reporank.operators.dedup import dedup
 from reporank.operators.jobs import last_per_key, top
 from reporank.operators.normalize import minmax_normalize
+from reporank.operators.pools import near_best
 from reporank.operators.skew import join_lookup
+from reporank.session import written
 
 
 def search_candidates(
@@ -140,6 +142,35 @@ def rank_jobs(
     return top(ranked, k, "composite_score", "full_name", by="job_id")
 
 
+def rank_pools(
+    repos: DataFrame,
+    queries: DataFrame,
+    pool: str,
+    k: int = fixed.TOP_FULL,
+    rule: str = "cluster",
+    order: list | None = None,
+) -> DataFrame:
+    """:func:`rank_jobs` where the jobs of a pool have the same candidates.
+
+    ``repos`` carries ``pool`` and ``embedding``, each repository once per pool; ``queries`` has
+    ``(job_id, embedding, pool)``. Duplicates, bounds and the scores without the question are
+    taken once per pool, and repositories are not copied for every job: what is stored and
+    shuffled grows with repositories, jobs and results, not with jobs times repositories.
+    """
+    keyed = repos.withColumn("_key", F.concat_ws("\n", F.col(pool).cast("string"), "full_name"))
+    batch = _batch(latest_records(keyed.drop("job_id"), ["_key"], order), rule, "_key", by=pool).drop("_key")
+    scored = with_health(with_quality(batch)).withColumn("_no", F.monotonically_increasing_id())
+    scored = written(scored)
+    slim = scored.select(F.col("_no").alias("no"), pool, "full_name", "embedding", "quality_score", "health_score")
+    asked = queries.select("job_id", "embedding", pool)
+    asked = written(asked.groupBy("job_id", pool).agg(F.max_by("embedding", F.xxhash64("embedding")).alias("embedding")))
+    near = near_best(slim, asked, pool, k).withColumn("relevance_score", F.coalesce(S.rounded(F.col("cosine")), F.lit(0.0)))
+    near = near.withColumn("composite_score", S.composite("relevance_score", "quality_score", "health_score"))
+    best = top(near, k, "composite_score", "full_name", by="job_id")
+    best = best.select("job_id", F.col("no").alias("_no"), "relevance_score")
+    return with_composite(scored.drop("embedding", pool).join(best, "_no").drop("_no"))
+
+
 def lite_scores(items: DataFrame, as_of, query_vector=None) -> DataFrame:
     """Scores of search items from public metadata; the composite is not rounded.
 

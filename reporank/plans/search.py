@@ -9,7 +9,7 @@ from reporank.functions.vectors import cosine_to
 from reporank.operators.jobs import latest_status, top
 from reporank.operators.nearest import nearest_stored
 from reporank.operators.vector_index import PROBES, nearest_indexed
-from reporank.plans.ranking import rank_jobs
+from reporank.plans.ranking import rank_jobs, rank_pools
 from reporank.session import written
 from reporank.sources.tables import append_status, read_or_empty, save_queries, write_results
 
@@ -77,11 +77,14 @@ def search(
     )
 
 
-def run_searches(incoming: DataFrame, candidates: DataFrame, folder: str, at, rule: str = "cluster"):
+def run_searches(
+    incoming: DataFrame, candidates: DataFrame, folder: str, at, rule: str = "cluster", pool: str | None = None
+):
     """Answer every non-blank query; ``(query_id, job_id, cached)`` with its best results.
 
     ``incoming`` has ``query_id, text, embedding``; ``candidates`` the crawled repositories
-    of each query, by ``query_id``. Tables ``queries``, ``events`` and ``results`` lie below
+    of each query, by ``query_id``, or with ``pool`` those of each pool: both have that column,
+    and queries of one pool have the same candidates, which are not copied for them. Tables ``queries``, ``events`` and ``results`` lie below
     ``folder``. Queries near one whose job is done get that job's stored results. All others
     are saved, ranked together in one plan and stored; their jobs go from pending over
     running to done, or to failed if the ranking fails.
@@ -92,13 +95,17 @@ def run_searches(incoming: DataFrame, candidates: DataFrame, folder: str, at, ru
     log = read_or_empty(spark, events, schemas.JOB_EVENTS)
     asked = written(search(incoming, stored, log))
     new = asked.filter("NOT cached").join(incoming, "query_id").drop("cached")
-    new = written(new.select("query_id", "job_id", "text", "embedding"))
+    new = written(new.select("query_id", "job_id", "text", "embedding", *([pool] if pool else [])))
     save_queries(new, queries, events, at)
     jobs = new.select("job_id", F.col("text").alias("query"))
     append_status(jobs, "running", events, at, 1)
     try:
-        found = candidates.join(new.select("query_id", "job_id"), "query_id").drop("query_id")
-        write_results(rank_jobs(found, new.select("job_id", "embedding"), rule=rule), results)
+        if pool:
+            ranked = rank_pools(candidates, new.select("job_id", "embedding", pool), pool, rule=rule)
+        else:
+            found = candidates.join(new.select("query_id", "job_id"), "query_id").drop("query_id")
+            ranked = rank_jobs(found, new.select("job_id", "embedding"), rule=rule)
+        write_results(ranked, results)
     except Exception:
         append_status(jobs, "failed", events, at, 2)
         raise

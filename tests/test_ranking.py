@@ -161,3 +161,19 @@ def test_page_rows(spark, repo_schema):
     assert [r["rank"] for r in page] == list(range(1, 11))
     assert {r.language_badge for r in page} == {"Unknown"}
     assert all(r.composite.endswith("%") for r in page)
+
+
+@pytest.mark.parametrize("rule", ["cluster", "any_band"])
+@pytest.mark.parametrize("cut", [1 << 14, 7])
+def test_jobs_of_a_pool_share_their_candidates(spark, repo_schema, monkeypatch, rule, cut):
+    monkeypatch.setattr("reporank.operators.pools.near_best.__defaults__", (cut, 2))
+    pools = {p: frame(spark, make_repos(p), repo_schema).withColumn("pool", F.lit(p)) for p in (1, 2)}
+    shared = pools[1].unionByName(pools[2]).withColumn("job_id", F.lit("x"))
+    vectors = [[1.0, 0, 0, 0, 0, 0], [0, 1.0, 0, 0, 0, 0.5], None, [0.0] * 6, [0.2, 0, -1.0, 0, 0, 0]]
+    jobs = [(f"{p}-{n}", [float(x) for x in v] if v else None, p) for p in (1, 2) for n, v in enumerate(vectors)]
+    asked = spark.createDataFrame([*jobs, ("none", [1.0] * 6, None)], "job_id string, embedding array<double>, pool int")
+    copied = shared.drop("job_id").join(asked.select("job_id", "pool"), "pool").drop("pool")
+    columns = ["job_id", *COLUMNS, "score_breakdown", "normalized"]
+    want = R.rank_jobs(copied, asked.select("job_id", "embedding"), 7, rule).select(*columns)
+    got = R.rank_pools(shared, asked, "pool", 7, rule).select(*columns)
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr) != []
