@@ -24,6 +24,7 @@ STORED_TILE = 50_000  # stored vectors one task holds at a time
 INCOMING_TILE = 500_000  # incoming vectors streamed past one stored tile
 DIGITS = 12  # similarities that differ by less are a tie
 BLOCK = 1024  # incoming vectors per matrix product
+STORED_BLOCK = 2048  # stored vectors per matrix product (16 MB)
 HIT = "query_id string, job_id string, similarity double"
 
 
@@ -35,12 +36,17 @@ def unit(vectors, dims):
 
 def _hits(incoming_ids, incoming, stored_ids, stored, threshold):
     """Record batches with the best stored id of each incoming vector that has a close one."""
-    order = np.argsort(stored_ids, kind="stable")  # argmax then takes the smallest id of a tie
-    stored, stored_ids = stored[order], stored_ids[order]
+    order = np.argsort(stored_ids, kind="stable")  # the first of a tie is the smallest id
     for start in range(0, len(incoming), BLOCK) if len(stored) else ():
-        sims = np.round(incoming[start : start + BLOCK] @ stored.T, DIGITS)
-        at = sims.argmax(axis=1)
-        best = sims[np.arange(len(at)), at]
+        part = incoming[start : start + BLOCK]
+        best, at = np.full(len(part), -np.inf), np.zeros(len(part), np.int64)
+        for first in range(0, len(order), STORED_BLOCK):
+            block = order[first : first + STORED_BLOCK]
+            sims = np.round(part @ stored[block].T, DIGITS)
+            near = sims.argmax(axis=1)
+            sim = sims[np.arange(len(near)), near]
+            closer = sim > best
+            best[closer], at[closer] = sim[closer], block[near[closer]]
         row = np.flatnonzero(best >= threshold)
         if len(row):
             columns = [incoming_ids[start + row], stored_ids[at[row]], best[row]]
