@@ -5,7 +5,9 @@
     SELECT f.repo, s.* FROM files f, LATERAL code_signatures(f.content, f.ext) s
     SELECT * FROM first_signatures(TABLE(lines) PARTITION BY repo ORDER BY (path, line_no))
 
-Both are Python functions over Arrow batches. Patterns are those of the column expressions in
+Both are plain Python functions: Spark sends them rows in batches. As Arrow functions they would
+give a record batch of its own for every input row, which costs far more than a line does.
+Patterns are those of the column expressions in
 :mod:`reporank.functions.code`.
 """
 
@@ -67,8 +69,8 @@ class FirstSignatures:
 def register(spark, repo: str = "string"):
     """Make the functions known to SQL; ``repo`` is the type of a repository's key."""
     functions = {
-        "code_signatures": udtf(CodeSignatures, returnType=SIGNATURES, useArrow=True),
-        "first_signatures": udtf(FirstSignatures, returnType=FIRST.format(repo=repo), useArrow=True),
+        "code_signatures": udtf(CodeSignatures, returnType=SIGNATURES, useArrow=False),
+        "first_signatures": udtf(FirstSignatures, returnType=FIRST.format(repo=repo), useArrow=False),
     }
     for name, function in functions.items():
         spark.udtf.register(name, function)
