@@ -143,22 +143,33 @@ def rank_jobs(
 
 
 def rank_pools(
-    repos: DataFrame,
-    queries: DataFrame,
-    pool: str,
-    k: int = fixed.TOP_FULL,
-    rule: str = "cluster",
-    order: list | None = None,
+    repos: DataFrame, queries: DataFrame, pool: str, k: int = fixed.TOP_FULL, rule: str = "cluster"
 ) -> DataFrame:
-    """:func:`rank_jobs` where the jobs of a pool have the same candidates.
+    """:func:`rank_jobs` where the jobs of a pool have the same candidates; same rows.
 
     ``repos`` carries ``pool`` and ``embedding``, each repository once per pool; ``queries`` has
     ``(job_id, embedding, pool)``. Duplicates, bounds and the scores without the question are
     taken once per pool, and repositories are not copied for every job: what is stored and
     shuffled grows with repositories, jobs and results, not with jobs times repositories.
+
+    Of different records under one name every job takes its own, by a hash that has the job in
+    it. Pools with such names are ranked job by job, with copies, as :func:`rank_jobs` does.
     """
+    repos = repos.drop("job_id")
+    content = F.xxhash64(*repos.columns)
+    named = repos.groupBy(pool, "full_name").agg((F.min(content) != F.max(content)).alias("mixed"))
+    mixed = written(named.filter("mixed").select(pool).distinct())
+    shared = _rank_shared(repos.join(mixed, pool, "left_anti"), queries.join(mixed, pool, "left_anti"), pool, k, rule)
+    if mixed.isEmpty():
+        return shared
+    jobs = queries.join(mixed, pool, "left_semi")
+    copied = repos.join(jobs.select("job_id", pool), pool).drop(pool)
+    return shared.unionByName(rank_jobs(copied, jobs.select("job_id", "embedding"), k, rule).select(*shared.columns))
+
+
+def _rank_shared(repos, queries, pool, k, rule):
     keyed = repos.withColumn("_key", F.concat_ws("\n", F.col(pool).cast("string"), "full_name"))
-    batch = _batch(latest_records(keyed.drop("job_id"), ["_key"], order), rule, "_key", by=pool).drop("_key")
+    batch = _batch(latest_records(keyed, ["_key"]), rule, "_key", by=pool).drop("_key")
     scored = with_health(with_quality(batch)).withColumn("_no", F.monotonically_increasing_id())
     scored = written(scored)
     slim = scored.select(F.col("_no").alias("no"), pool, "full_name", "embedding", "quality_score", "health_score")

@@ -202,3 +202,19 @@ def test_presentation(spark):
         "#00ADD8", "#6b7280", "#6b7280"]
     assert values(spark, [(0.1234,), (None,)], "r double", P.ratio_label("r", 1)) == [
         "12.3%", None]
+
+
+def test_texts_and_stored_vectors_are_taken_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from reporank.functions import minhash as M
+    from reporank.operators import nearest as N
+
+    monkeypatch.setattr(M, "TEXT_BYTES", 5)
+    texts = pa.array(["a b", None, "", "c d e f g", "a"])
+    assert list(M._pieces(texts)) == [(0, 3), (3, 4), (4, 5)]
+    monkeypatch.setattr(N, "STORED_BLOCK", 2)
+    ids = np.array(["d", "c", "b", "a", "e"], object)
+    stored = np.array([[0, 1.0], [1.0, 0], [1.0, 0], [0, 1.0], [1.0, 0]])
+    found = list(N._hits(np.array(["x", "y"], object), np.array([[1.0, 0], [0, 1.0]]), ids, stored, 0.9))
+    assert [r["job_id"] for b in found for r in b.to_pylist()] == ["b", "a"]

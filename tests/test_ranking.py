@@ -169,6 +169,10 @@ def test_jobs_of_a_pool_share_their_candidates(spark, repo_schema, monkeypatch,
     monkeypatch.setattr("reporank.operators.pools.near_best.__defaults__", (cut, 2))
     pools = {p: frame(spark, make_repos(p), repo_schema).withColumn("pool", F.lit(p)) for p in (1, 2)}
     shared = pools[1].unionByName(pools[2]).withColumn("job_id", F.lit("x"))
+    if cut == 7:  # names that repeat, and some that are missing
+        again = pools[2].filter("full_name < 'o/r15'").withColumn("stars", F.col("stars") + 3)
+        lost = pools[2].filter("full_name > 'o/r25'").withColumn("full_name", F.lit(None).cast("string"))
+        shared = shared.unionByName(again.unionByName(lost).withColumn("job_id", F.lit("x")))
     vectors = [[1.0, 0, 0, 0, 0, 0], [0, 1.0, 0, 0, 0, 0.5], None, [0.0] * 6, [0.2, 0, -1.0, 0, 0, 0]]
     jobs = [(f"{p}-{n}", [float(x) for x in v] if v else None, p) for p in (1, 2) for n, v in enumerate(vectors)]
     asked = spark.createDataFrame([*jobs, ("none", [1.0] * 6, None)], "job_id string, embedding array<double>, pool int")
