@@ -53,9 +53,9 @@ SAMPLED, HOT = 64, 64  # every how manieth line is judged by; rows there of a ke
 CUT_BYTES = 8 << 20  # of lines in an Arrow batch
 PACKED = 1 << 20  # rows of (key, line) that are dealt out at a time
 PICKED = 1 << 22  # and that a task looks through, about: 64 MB
-FEW = 4  # sets up to which pairs are compared at once
+FEW = 4  # sets up to which pairs are compared at once, one by one
 SIGNED = 1024  # rows taken out of an Arrow batch at a time
-CHUNK = 1 << 16  # shingles hashed at a time; their hashes stay in the processor's cache
+CHUNK = 1 << 17  # shingles hashed at a time; their hashes stay in the processor's cache
 
 
 def _points(lines):
@@ -99,12 +99,15 @@ def band_keys(lines: list[bytes], powers: Powers, factors: np.ndarray, rows: int
         hashes, first, _ = shingle_hashes(lines[begin:end], powers, size)
         hashes = (hashes >> np.uint64(32)).astype(np.uint32)
         scratch = np.empty_like(hashes)
+        least = np.empty((rows, bands, end - begin), dtype=np.uint32)
         for band in range(bands):
-            key = np.full(end - begin, band, dtype=np.uint64)
             for row in range(rows):
                 np.multiply(hashes, factors[band * rows + row], out=scratch)
-                key = mixed(key ^ np.minimum.reduceat(scratch, first))
-            out[begin:end, band] = key
+                np.minimum.reduceat(scratch, first, out=least[row, band])
+        key = np.arange(bands, dtype=np.uint64)[:, None]
+        for own in least:
+            key = mixed(key ^ own)
+        out[begin:end] = key.T
         begin = end
     return out.view(np.int64)
 
@@ -115,15 +118,26 @@ def factors(rows: int = ROWS, bands: int = BANDS, seed: int = 8111) -> np.ndarra
     return drawn * np.uint32(2) + np.uint32(1)
 
 
+def _different(values, first):
+    """The different values of each part, sorted, end to end, and where each part ends.
+
+    Parts begin at `first`; `values` is sorted in place.
+    """
+    for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(values)]):
+        values[begin:end].sort()
+    fresh = np.append(True, values[1:] != values[:-1])
+    fresh[first] = True
+    return values[fresh], np.cumsum(np.add.reduceat(fresh, first, dtype=np.int64))
+
+
 def shingle_sets(lines: list[bytes], powers: Powers, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted different shingle hashes of each line."""
-    hashes, first, count = shingle_hashes(lines, powers, size)
-    out = []
-    for begin, end in zip(first.tolist(), (first + count).tolist()):
-        own = np.sort(hashes[begin:end])
-        fresh = own[1:] != own[:-1]
-        out.append(own if fresh.all() else own[np.append(True, fresh)])
-    return out
+    if not lines:
+        return []
+    hashes, first, _ = shingle_hashes(lines, powers, size)
+    different, ends = _different(hashes, first)
+    ends = ends.tolist()
+    return [different[begin:end] for begin, end in zip([0, *ends], ends)]
 
 
 def _near(a, b, similarity):
@@ -142,16 +156,23 @@ def links(sets: list[np.ndarray], similarity: float, split: int | None = None):
     first counted by slots of their hashes, of which two different ones may share one: that
     gives too large a count at most, and only what passes by it is compared exactly.
     """
-    n = len(sets)
-    if n == 2:
-        a, b = sets
-        possible = min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9
-        return [(0, 1)] if possible and _near(a, b, similarity) else []
+    n, out = len(sets), []
+    if n <= FEW:
+        group = list(range(n))
+        for x in range(split or n - 1):
+            for y in range(split or x + 1, n):
+                less, more = sorted((len(sets[x]), len(sets[y])))
+                if group[x] != group[y] and less >= similarity * more - 1e-9 and _near(sets[x], sets[y], similarity):
+                    group = [group[x] if g == group[y] else g for g in group]
+                    out.append((x, y))
+        return out
     size_of = np.array([len(s) for s in sets])
     begin = np.cumsum(size_of) - size_of
     slots = (np.concatenate(sets) >> np.uint64(48)).astype(np.uint16)
-    marked, group, out = np.zeros(1 << 16, dtype=bool), np.arange(n), []
+    marked, group = np.zeros(1 << 16, dtype=bool), np.arange(n)
     for x in range(split or n - 1):
+        if len(out) == n - 1:
+            break
         low = split or x + 1
         others = np.flatnonzero(
             (group[low:] != group[x])

@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from reporank.llm import line_dedup, simhash, suffix_dedup
 from reporank.llm.exact_dedup import exact_duplicates
@@ -362,3 +363,36 @@ def test_stretches_cover_every_window_once():
     covered = Counter(s + i for s, n in zip(start.tolist(), count.tolist()) for i in range(n))
     assert covered == Counter(range(len(data) - 29))
     assert all(s + n - 1 <= a <= s + 24 for s, n, a in zip(start, count, at))
+
+
+def test_line_keys_of_all_bands_are_mixed_together(monkeypatch):
+    """One pass per row over the keys of all bands: the same keys, whatever the chunk."""
+    lines = [f"a line with number {i} in it, and é".encode() for i in range(300)] + [b"", b"abc"]
+    drawn, calls = line_dedup.factors(), []
+    mixed = line_dedup.mixed
+    monkeypatch.setattr(line_dedup, "mixed", lambda x: calls.append(1) or mixed(x))
+    keys = line_dedup.band_keys(lines, Powers(), drawn)
+    assert len(calls) <= line_dedup.ROWS + 1  # and one for lines shorter than a shingle
+    hashes, first, count = line_dedup.shingle_hashes(lines, Powers())
+    for line in (0, 150, 300, 301):
+        own = (hashes[first[line] : first[line] + count[line]] >> np.uint64(32)).astype(np.uint32)
+        for band in range(line_dedup.BANDS):
+            key = np.uint64(band)
+            for factor in drawn[band * line_dedup.ROWS :][: line_dedup.ROWS]:
+                key = mixed(np.array([key ^ np.uint64((own * factor).min())]))[0]
+            assert keys[line, band] == key.view(np.int64)
+    monkeypatch.setattr(line_dedup, "CHUNK", 100)
+    assert (line_dedup.band_keys(lines, Powers(), drawn) == keys).all()
+
+
+def test_line_links_of_few_and_many_sets_agree(monkeypatch):
+    rng, powers = random.Random(5), Powers()
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(4)]
+    lines = [b[:k] + "X" + b[k + 1 :] for b in base for k in (0, 58, 30)]
+    sets = line_dedup.shingle_sets([x.encode() for x in lines], powers)
+    for n in range(2, len(sets) + 1):
+        for split in (None, *range(1, n)):
+            monkeypatch.setattr(line_dedup, "FEW", 100)
+            few = line_dedup.links(sets[:n], 0.7, split)
+            monkeypatch.setattr(line_dedup, "FEW", 0)
+            assert line_dedup.links(sets[:n], 0.7, split) == few
