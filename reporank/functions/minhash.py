@@ -17,6 +17,7 @@ CHUNK = 1 << 14  # token occurrences whose hashes are gathered at a time (8 MB),
 HELD_TOKENS = 1 << 16  # different tokens of a piece that are hashed once for all chunks (32 MB)
 TEXT_BYTES = 1 << 23  # text that is cut into tokens at a time, but one whole text at least
 HELD_KEYS = 1 << 14  # fingerprints a task folds before it passes them on (8 MB)
+PRINT_BYTES = fixed.NUM_HASHES * 4  # of a fingerprint
 _SEEDS = np.arange(fixed.NUM_HASHES, dtype=np.uint32)
 
 
@@ -74,6 +75,26 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 _fingerprints = _fingerprints.asNondeterministic()
 
 
+@F.arrow_udf(FINGERPRINT)
+def _long_fingerprints(texts: pa.Array) -> pa.Array:
+    """Fingerprints of the texts that are there, null for the others."""
+    given = texts.is_valid().to_numpy(zero_copy_only=False)
+    prints = _lists(_key_minima(texts.drop_null(), np.arange(given.sum()), int(given.sum())))
+    return prints.take(pa.array(np.cumsum(given) - 1, pa.int64(), mask=~given))
+
+
+_long_fingerprints = _long_fingerprints.asNondeterministic()
+
+
+def text_or_minhash(text) -> tuple[Column, Column]:
+    """The text itself where it is shorter than a fingerprint, and else its fingerprint.
+
+    One of the two is null, for a null text both. :func:`minhash_by` takes them together.
+    """
+    short = F.octet_length(_col(text)) <= PRINT_BYTES
+    return F.when(short, _col(text)), _long_fingerprints(F.when(~short, _col(text)))
+
+
 def minhash(text) -> Column:
     """128 seeded minima over the white-space tokens of one text. No shuffle."""
     return _fingerprints(_col(text))
@@ -97,13 +118,14 @@ def _key_minima(texts, owner, n_keys):
     return out
 
 
-def minhash_by(df: DataFrame, key: str, text: str) -> DataFrame:
+def minhash_by(df: DataFrame, key: str, text: str, fingerprint: str | None = None) -> DataFrame:
     """One fingerprint per key over many rows of text, as ``(key, minhash_fingerprint)``.
 
     What is shuffled is never longer than the text: of every batch, keys with more text than a
     fingerprint takes are folded to one at once, however many rows a key has; the texts of all
     others travel, joined to one per key. Fingerprints are made where a key's texts meet, and
-    merge by element-wise minimum.
+    merge by element-wise minimum. Where rows have a ``fingerprint`` instead of a text, those are
+    merged with the others; a key without either has no row then.
     """
 
     def packed(keys, texts, prints):
@@ -115,7 +137,7 @@ def minhash_by(df: DataFrame, key: str, text: str) -> DataFrame:
             keys, texts, owner = _grouped(batch)
             texts = pc.fill_null(texts, "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            long = np.bincount(owner, sizes, len(keys)) > fixed.NUM_HASHES * 4
+            long = np.bincount(owner, sizes, len(keys)) > PRINT_BYTES
             ends = np.searchsorted(owner, np.arange(len(keys) + 1)).astype(np.int32)
             names, rest = keys.to_pylist(), np.flatnonzero(~long)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts), " ") if len(rest) else None
@@ -148,14 +170,17 @@ def minhash_by(df: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield packed(list(held), [None] * len(held), _lists(np.stack(list(held.values()))))
 
-    slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = df if fingerprint is None else df.filter(F.col(text).isNotNull())
+    slim = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([slim.schema["key"], T.StructField("text", T.StringType()), T.StructField("fp", FINGERPRINT)])
     key_type = to_arrow_type(slim.schema["key"].dataType)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = slim.mapInArrow(reduced, schema).repartition(partitions, "key")
-    return merged_fingerprints(met.mapInArrow(fold, schema), "key", "fp").withColumnRenamed(
-        "key", key
-    )
+    folded = met.mapInArrow(fold, schema).select("key", "fp")
+    if fingerprint is not None:
+        given = df.filter(F.col(fingerprint).isNotNull())
+        folded = folded.unionByName(given.select(F.col(key).alias("key"), F.col(fingerprint).alias("fp")))
+    return merged_fingerprints(folded, "key", "fp").withColumnRenamed("key", key)
 
 
 def merged_fingerprints(df: DataFrame, key: str, fingerprint: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reporank import fixed
 from reporank.functions import code as C
-from reporank.functions.minhash import merged_fingerprints, minhash, minhash_by
+from reporank.functions.minhash import minhash_by, text_or_minhash
 from reporank.functions.text import extension, trimmed
 from reporank.schemas import FINGERPRINT
 from reporank.session import written
@@ -136,7 +136,11 @@ def code_metrics(lines: DataFrame) -> DataFrame:
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    """What each ``(repo, path, content)`` contributes, in one pass without a shuffle."""
+    """What each ``(repo, path, content)`` contributes, in one pass without a shuffle.
+
+    A content that is shorter than a fingerprint stays as ``text``; others have theirs as ``fp``.
+    """
+    text, fp = text_or_minhash("content")
     source = files.withColumn("ext", extension("path")).select(
         "repo", "path", "ext", F.when(C.is_source("ext"), F.col("content")).alias("content")
     )
@@ -158,7 +162,8 @@ def file_metrics(files: DataFrame) -> DataFrame:
         F.size(errors).cast("long").alias("error_lines"),
         F.size(public).cast("long").alias("public"),
         F.slice("sigs", 1, fixed.SIGNATURE_CAP).alias("sigs"),
-        minhash("content").alias("fp"),
+        text.alias("text"),
+        fp.alias("fp"),
     )
 
 
@@ -170,7 +175,7 @@ def analyze_files(files: DataFrame) -> DataFrame:
     """
     summary = written(file_metrics(files))
     named = summary.select("repo", "path", F.posexplode("sigs").alias("line_no", "sig"))
-    prints = merged_fingerprints(summary.filter(C.is_source("ext")), "repo", "fp")
+    prints = minhash_by(summary.filter(C.is_source("ext")), "repo", "text", "fp")
     return _record(
         repo_counts(summary),
         dominant_language(summary),

@@ -5,7 +5,8 @@ A folder keeps, for every version of the trees:
 * ``files``: ``(repo, path, ext, digest, gone)`` of the files that changed, ``gone`` where one
   was deleted; the state of a file is its last version;
 * ``summaries``: what a content contributes, by digest and extension, once for ever: a file
-  that was moved or copied, or comes back, is not analysed again;
+  that was moved or copied, or comes back, is not analysed again. Its part in a fingerprint is
+  the ``text`` where that is shorter, else ``fp``; earlier stores have ``fp`` only;
 * ``metrics``: ``(repo, ast)`` of the repositories that the version touched; ``ast`` is null
   where no file is left.
 
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reporank.functions import code as C
-from reporank.functions.minhash import merged_fingerprints
+from reporank.functions.minhash import minhash_by
 from reporank.functions.text import extension
 from reporank.operators.metrics import _record, dominant_language, file_metrics, repo_counts, signature_rows, signatures
 from reporank.session import dropped, exists, written
 
 VERSION = "version long"
+SUMMARY = (
+    "digest string, ext string, lines long, error_lines long, public long, sigs array<string>, "
+    "text string, fp array<bigint>, version long"
+)
 
 
 def _versions(spark, folder):
@@ -88,7 +93,8 @@ def update_metrics(changed: DataFrame, folder: str, deleted: DataFrame | None =
     # contents that nobody has analysed yet; of equal ones, one
     fresh = slim.filter("NOT gone AND digest <> ''").select("digest", "ext").distinct()
     if versions:
-        fresh = fresh.join(_read(spark, folder, "summaries", versions).select("digest", "ext"), ["digest", "ext"], "left_anti")
+        known = _read(spark, folder, "summaries", versions, SUMMARY).select("digest", "ext")
+        fresh = fresh.join(known, ["digest", "ext"], "left_anti")
     one = sent.join(written(fresh), ["digest", "ext"]).groupBy("digest", "ext").agg(F.first("content").alias("content"))
     summary = file_metrics(one.select(F.col("digest").alias("repo"), F.concat(F.lit("x"), "ext").alias("path"), "content"))
     landed(summary.withColumnRenamed("repo", "digest").drop("path"), "summaries")
@@ -99,7 +105,8 @@ def update_metrics(changed: DataFrame, folder: str, deleted: DataFrame | None =
     last = F.max_by(F.struct("ext", "digest", "gone"), "version").alias("last")
     tree = state.join(touched, "repo", "left_semi").groupBy("repo", "path").agg(last)
     tree = written(tree.select("repo", "path", "last.*").filter("NOT gone").drop("gone"))
-    landed(touched.join(_totals(tree, _read(spark, folder, "summaries", now).drop("version")), "repo", "left"), "metrics")
+    summaries = _read(spark, folder, "summaries", now, SUMMARY).drop("version")
+    landed(touched.join(_totals(tree, summaries), "repo", "left"), "metrics")
     mark = spark.createDataFrame([(version,)], VERSION).coalesce(1)
     mark.write.mode("append").parquet(f"{folder}/finished")
     return version
@@ -109,9 +116,9 @@ def _totals(tree, summaries):
     """``(repo, ast)`` of the files of a tree from the summaries of their contents."""
     counts = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("lines", "error_lines", "public")}
     rows = tree.join(summaries, ["digest", "ext"], "left")
-    rows = written(rows.select("repo", "path", "ext", *counts.values(), "sigs", "fp"))
+    rows = written(rows.select("repo", "path", "ext", *counts.values(), "sigs", "text", "fp"))
     named = rows.select("repo", "path", F.posexplode("sigs").alias("line_no", "sig"))
-    prints = merged_fingerprints(rows.filter(C.is_source("ext") & F.col("fp").isNotNull()), "repo", "fp")
+    prints = minhash_by(rows.filter(C.is_source("ext")), "repo", "text", "fp")
     return _record(repo_counts(rows), dominant_language(rows), signatures(signature_rows(named)), prints)
 
 

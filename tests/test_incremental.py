@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reporank import fixed
 from reporank.functions import tables
+from reporank.functions.minhash import minhash, minhash_by
 from reporank.operators import metrics_store as M
 from reporank.operators import stats
 from reporank.operators.jobs import latest_status
@@ -65,6 +66,35 @@ def test_adds_edits_renames_and_deletes(spark, tmp_path):
     assert {r.path for r in M.current_files(spark, folder).collect()} == {p for _, p in files}
 
 
+def test_short_contents_are_stored_as_text(spark, tmp_path):
+    """Files shorter than a fingerprint cost their text; the totals are those of all their tokens."""
+    long = "".join(f"def f{i}(x):\n" for i in range(200))
+    files = tree() | {("a", "long.py"): long, ("f", "long.py"): long + "x", ("f", "short.go"): "a\u2003b", ("g", "blank.js"): " \n"}
+    folder = str(tmp_path / "m")
+    M.update_metrics(frame(spark, files), folder)
+    stored = spark.read.parquet(f"{folder}/summaries").collect()
+    assert all((r.text is None) != (r.fp is None) for r in stored)
+    assert {r.text for r in stored if r.text is not None} == {c for (_, p), c in files.items() if c is not None and p[-3:] != ".md" and len(c) < 512}
+    same(spark, folder, files)
+    rows = [(repo, n, line) for (repo, p), c in files.items() if p[-3:] != ".md" for n, line in enumerate((c or "").split("\n"))]
+    want = minhash_by(spark.createDataFrame(rows, "repo string, n int, line string"), "repo", "line").collect()
+    want = {r.repo: r.minhash_fingerprint for r in want}
+    assert {r.repo: r.ast.minhash_fingerprint for r in M.stored_metrics(spark, folder).collect()} == want
+
+
+def test_stores_without_texts_are_read(spark, tmp_path):
+    """Summaries of an earlier store have a fingerprint for every content, and no text."""
+    folder, files = str(tmp_path / "m"), tree()
+    M.update_metrics(frame(spark, files), folder)
+    old = spark.read.parquet(f"{folder}/summaries").drop("version")
+    old = old.select("digest", "ext", "lines", "error_lines", "public", "sigs", F.coalesce("fp", minhash("text")).alias("fp"))
+    old.write.parquet(f"{tmp_path}/old")
+    spark.read.parquet(f"{tmp_path}/old").write.mode("overwrite").parquet(f"{folder}/summaries/version=1")
+    files[("a", "new.py")] = "def h(x):\n"
+    M.update_metrics(frame(spark, {("a", "new.py"): "def h(x):\n"}), folder)
+    same(spark, folder, files)
+
+
 def test_unchanged_files_touch_nothing(spark, tmp_path):
     folder, files = str(tmp_path / "m"), tree()
     M.update_metrics(frame(spark, files), folder)
