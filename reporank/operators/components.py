@@ -6,15 +6,20 @@ from pyspark.sql import functions as F
 from reporank.session import dropped, written_at
 
 EDGES_HELD = 500_000  # by one task: bounds the memory of its union-find
+ROWS_PASSED = 1 << 16  # rows of a forest that are handed on at a time
 
 
-def _forest():
-    """Function for mapInArrow that replaces a task's edges by (node, smallest node reached)."""
+def _forest(held):
+    """Function for mapInArrow that replaces a task's edges by (node, smallest node reached).
+
+    A task that has seen more than ``held`` nodes hands on what it knows and starts anew: the rows
+    still connect the same nodes, and no task's memory grows with its share of the edges.
+    """
 
     def link(batches):
         import pyarrow as arrow
 
-        parent, kind = {}, None
+        parent = {}
 
         def root(x):
             while parent[x] != x:
@@ -22,6 +27,15 @@ def _forest():
                 x = parent[x]
             return x
 
+        def links(kind):
+            nodes = [x for x in parent if parent[x] != x]
+            for start in range(0, len(nodes), ROWS_PASSED):
+                part = nodes[start : start + ROWS_PASSED]
+                columns = [part, [root(x) for x in part]]
+                yield arrow.RecordBatch.from_arrays(
+                    [arrow.array(c, f.type) for c, f in zip(columns, kind)], schema=kind
+                )
+
         for batch in batches:
             kind = batch.schema
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -29,12 +43,11 @@ def _forest():
                 x, y = root(a), root(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-        if kind is not None:
-            pairs = [(x, root(x)) for x in parent if parent[x] != x]
-            columns = [[p[0] for p in pairs], [p[1] for p in pairs]]
-            yield arrow.RecordBatch.from_arrays(
-                [arrow.array(c, f.type) for c, f in zip(columns, kind)], schema=kind
-            )
+            if len(parent) > held:
+                yield from links(kind)
+                parent.clear()
+        if parent:
+            yield from links(kind)
 
     return link
 
@@ -98,10 +111,11 @@ def connected_components(
 
     Every task first contracts its own edges with a union-find, so that a task hands on
     fewer rows than it has nodes; these forests are then merged the same way by as many
-    tasks as it takes to give each about ``held`` edges at most. A graph that one such task
-    holds is finished by then. For what still spans tasks, each round rewrites the edge
-    table (ids only) into the shared folder until a round changes nothing: stars around the
-    smallest nodes are the only fixed point (Kiveris et al., 2014, O(log^2 n) rounds).
+    tasks as it takes to give each about ``held`` edges at most. No task holds more than
+    twice as many nodes and those of a batch. A graph that one such task holds is finished
+    by then. For what still spans tasks, each round rewrites the edge table (ids only) into
+    the shared folder until a round changes nothing: stars around the smallest nodes are
+    the only fixed point (Kiveris et al., 2014, O(log^2 n) rounds).
     Whether it changed is told by the write itself. Folders of finished rounds are deleted.
 
     Null ends are ignored; a node linked only to itself is not returned.
@@ -109,11 +123,11 @@ def connected_components(
     spark = edges.sparkSession
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
     pairs = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    own = _Round(spark)
-    forest, state = own.edges(pairs.mapInArrow(_forest(), pairs.schema))
+    own, link = _Round(spark), _forest(2 * held)  # held edges have no more nodes
+    forest, state = own.edges(pairs.mapInArrow(link, pairs.schema))
     tasks = max(1, -(-state["n"] // held))
     merged = _Round(spark)
-    current, state = merged.edges(forest.coalesce(tasks).mapInArrow(_forest(), pairs.schema))
+    current, state = merged.edges(forest.coalesce(tasks).mapInArrow(link, pairs.schema))
     own.delete()
     own = merged
     while tasks > 1:

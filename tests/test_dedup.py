@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reporank import fixed
 from reporank.operators import dedup as D
+from reporank.operators import components as G
 from reporank.operators.components import connected_components
 from reporank.operators.skew import join_lookup
 
@@ -37,6 +39,25 @@ def test_components(spark, held):
     assert got == component_of([(a, b) for a, b in edges if a != b])
 
 
+def test_a_task_hands_on_its_forest_before_it_holds_all_edges():
+    """What a union-find holds is bounded by nodes, not by the edges of its task."""
+    rng, read = random.Random(4), []
+    edges = [(f"{a:05}", f"{b:05}") for a, b in ((rng.randrange(3000), rng.randrange(3000)) for _ in range(4000))]
+
+    def batches():
+        for start in range(0, len(edges), 100):
+            read.append(start)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in edges[start : start + 100]])
+
+    found, held = [], 0
+    for batch in G._forest(500)(batches()):
+        held = held or len(read)
+        found += zip(*(c.to_pylist() for c in batch.columns))
+    assert held <= 6  # 500 nodes are there after five batches or six
+    named, whole = component_of(found), component_of([(a, b) for a, b in edges if a != b])
+    assert named == whole
+
+
 def test_lookup_join_splits_hot_keys(spark):
     rows = [("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, v int")
