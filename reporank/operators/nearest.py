@@ -23,6 +23,7 @@ PIVOTS = 64
 STORED_TILE = 50_000  # stored vectors one task holds at a time
 INCOMING_TILE = 500_000  # incoming vectors streamed past one stored tile
 DIGITS = 12  # similarities that differ by less are a tie
+JOINED = 0.5  # share of all cells that are probed above which cells are put together
 BLOCK = 1024  # incoming vectors per matrix product
 STORED_BLOCK = 2048  # stored vectors per matrix product (16 MB)
 HIT = "query_id string, job_id string, similarity double"
@@ -37,16 +38,21 @@ def unit(vectors, dims):
 def _hits(incoming_ids, incoming, stored_ids, stored, threshold):
     """Record batches with the best stored id of each incoming vector that has a close one."""
     order = np.argsort(stored_ids, kind="stable")  # the first of a tie is the smallest id
+    rough_incoming, rough_stored = incoming.astype(np.float32), stored.astype(np.float32)
+    least = threshold - 1e-11 - (incoming.shape[1] + 4) * 2.0**-22  # what single precision may be off
     for start in range(0, len(incoming), BLOCK) if len(stored) else ():
-        part = incoming[start : start + BLOCK]
+        part, rough = incoming[start : start + BLOCK], rough_incoming[start : start + BLOCK]
         best, at = np.full(len(part), -np.inf), np.zeros(len(part), np.int64)
         for first in range(0, len(order), STORED_BLOCK):
             block = order[first : first + STORED_BLOCK]
-            sims = np.round(part @ stored[block].T, DIGITS)
+            close = np.flatnonzero((rough @ rough_stored[block].T).max(axis=1) >= least)
+            if not len(close):
+                continue
+            sims = np.round(part[close] @ stored[block].T, DIGITS)
             near = sims.argmax(axis=1)
             sim = sims[np.arange(len(near)), near]
-            closer = sim > best
-            best[closer], at[closer] = sim[closer], block[near[closer]]
+            closer = sim > best[close]
+            best[close[closer]], at[close[closer]] = sim[closer], block[near[closer]]
         row = np.flatnonzero(best >= threshold)
         if len(row):
             columns = [incoming_ids[start + row], stored_ids[at[row]], best[row]]
@@ -79,6 +85,16 @@ def _by_broadcast(table, stored, dims, threshold):
     return stored.mapInArrow(score, HIT)
 
 
+def _bins(many):
+    """Number of the bin of each cell: cells in a row that hold ``STORED_TILE`` vectors at most together, if several."""
+    bins, held = [], 0
+    for n in many.tolist():
+        new = bool(bins) and held + n > STORED_TILE
+        held = n if new else held + n
+        bins.append(bins[-1] + new if bins else 0)
+    return bins
+
+
 def _by_tiles(incoming, stored, dims, threshold):
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6  # distance of unit vectors at the cut-off
     picked = stored.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").toArrow()
@@ -101,8 +117,9 @@ def _by_tiles(incoming, stored, dims, threshold):
     housed = stored.withColumn("home", home("v")).select("id", "v", "home.*")
     held = housed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
     radius, slices = np.full(len(pivots), -np.inf), [1] * len(pivots)
+    many = np.zeros(len(pivots), np.int64)
     for row in held.collect():  # at most one row per pivot
-        radius[row.cell], slices[row.cell] = row.far, -(-row.n // STORED_TILE)
+        radius[row.cell], slices[row.cell], many[row.cell] = row.far, -(-row.n // STORED_TILE), row.n
 
     @F.arrow_udf("array<int>")
     def probes(vectors: pa.Array) -> pa.Array:
@@ -112,10 +129,20 @@ def _by_tiles(incoming, stored, dims, threshold):
         return pa.ListArray.from_arrays(offsets, pa.array(np.nonzero(near)[1].astype(np.int32)))
 
     probing = incoming.select("id", "v", F.explode(probes("v")).alias("cell"))
-    chunks = [1] * len(pivots)
+    counts = [0] * len(pivots)
     for row in probing.groupBy("cell").count().collect():  # at most one row per pivot
-        chunks[row["cell"]] = -(-row["count"] // INCOMING_TILE)
-
+        counts[row["cell"]] = row["count"]
+    total = incoming.count()
+    if sum(counts) > total * np.count_nonzero(many) * JOINED:
+        # nearly nothing is ruled out: incoming vectors are copied for few large tiles, not for every cell
+        bins = _bins(many)
+        tiles = max(bins) + 1
+        lookup = F.element_at(F.array(*map(F.lit, bins)), F.col("cell") + 1)
+        whole = [max(1, -(-int(many[np.array(bins) == b].sum()) // STORED_TILE)) for b in range(tiles)]
+        each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("cell")
+        housed, probing = housed.withColumn("cell", lookup), incoming.select("id", "v", each)
+        return tiled_hits(housed, probing, whole, [max(1, -(-total // INCOMING_TILE))] * tiles, dims, threshold)
+    chunks = [max(1, -(-count // INCOMING_TILE)) for count in counts]
     return tiled_hits(housed, probing, slices, chunks, dims, threshold)
 
 

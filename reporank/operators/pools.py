@@ -9,6 +9,7 @@ are ranked exactly.
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.compute import take
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from reporank import fixed
 from reporank.functions.vectors import as_matrix
 from reporank.schemas import VECTOR
 
-SLICE = 1 << 14  # rows of a pool that one task holds, about
-CHUNK = 1 << 13  # jobs streamed past one slice, about
-BLOCK = 128  # jobs per matrix product (16 MB)
+SLICE = 1 << 16  # rows of a pool that one task holds, about
+CHUNK = 1 << 16  # jobs streamed past one slice, about
+BLOCK = 64  # jobs that are scored together
+STEP = 1 << 11  # rows they are scored against at a time
+PASSED = 1 << 14  # rows handed on at a time, about
 # the relevance is rounded, weighted, and the sum rounded again; two scores differ by twice that
 MARGIN = 4 * 10.0**-fixed.SCORE_DECIMALS
 NEAR = "job_id string, no long, full_name string, quality_score double, health_score double, cosine double"
@@ -41,6 +44,36 @@ def _cosines(a, b, sizes):
     return np.divide(dots, sizes, out=np.zeros(len(dots)), where=sizes != 0)
 
 
+def _units(matrix, lengths):
+    return np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] != 0)
+
+
+def _candidates(asked, rows, k, margin):
+    """``(x, y)``: the rows ``y`` whose product with ``asked[x]`` is within ``margin`` of its best ``k``.
+
+    The best ``k`` so far tell what of the next rows can be left out, so few rows are ever sorted.
+    """
+    least = np.full(len(asked), -np.inf, dtype=np.float32)
+    found, room = [], 0
+    for first in range(0, len(rows), STEP):
+        score = asked @ rows[first : first + STEP].T
+        if not first and score.shape[1] > k:
+            least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        x, y = np.divmod(np.flatnonzero(score >= (least - margin)[:, None]), score.shape[1])
+        found.append((x, y + first, score[x, y]))
+        if sum(len(part[0]) for part in found) > room or first + STEP >= len(rows):
+            x, y, s = map(np.concatenate, zip(*found))
+            order = np.lexsort((-s, x))
+            x, y, s = x[order], y[order], s[order]
+            begin = np.searchsorted(x, np.arange(len(asked) + 1))
+            enough = np.flatnonzero(np.diff(begin) >= k)
+            least[enough] = np.maximum(least[enough], s[begin[enough] + k - 1])
+            kept = s >= (least - margin)[x]
+            found = [(x[kept], y[kept], s[kept])]
+            room = 2 * len(found[0][0]) + k * len(asked)
+    return found[0][:2] if found else (np.empty(0, np.int64),) * 2
+
+
 def _near(jobs, vectors, held, k):
     """Record batches of the rows in ``held`` that may be among the best ``k`` of each job."""
     nos, names, quality, health, (matrix, lengths, known) = held
@@ -49,19 +82,21 @@ def _near(jobs, vectors, held, k):
         raise ValueError("vectors differ in dimension")
     scored = bool(matrix.shape[1] and asked.shape[1])
     base = fixed.QUALITY_WEIGHT * quality + fixed.HEALTH_WEIGHT * health
-    unit = np.divide(matrix, lengths[:, None], out=np.zeros_like(matrix), where=lengths[:, None] != 0)
+    # the score is one product: of the vector and 1 with the weighted vector and the base
+    order = np.argsort(-base, kind="stable")
+    parts = [fixed.RELEVANCE_WEIGHT * _units(matrix[order], lengths[order])] if scored else []
+    rows = np.column_stack([*parts, base[order]]).astype(np.float32)
+    margin = np.float32(MARGIN + (rows.shape[1] + 4) * 2.0**-22)  # and what single precision may be off
     for start in range(0, len(jobs), BLOCK):
         part = slice(start, start + BLOCK)
-        score = np.repeat(base[None, :], len(jobs[part]), axis=0)
-        if scored:
-            wanted = np.divide(asked[part], sizes[part, None], out=np.zeros_like(asked[part]), where=sizes[part, None] != 0)
-            score += fixed.RELEVANCE_WEIGHT * (wanted @ unit.T)
-        least = np.partition(score, len(base) - k, axis=1)[:, len(base) - k] if len(base) > k else np.full(len(score), -np.inf)
-        x, y = np.nonzero(score >= least[:, None] - MARGIN)
-        for at in range(0, len(x), SLICE):  # many more than k only where very many rows tie
-            i, j = x[at : at + SLICE] + start, y[at : at + SLICE]
+        parts = [_units(asked[part], sizes[part])] if scored else []
+        wanted = np.column_stack([*parts, np.ones(len(sizes[part]))]).astype(np.float32)
+        x, y = _candidates(wanted, rows, k, margin)
+        y = order[y]
+        for at in range(0, len(x), PASSED):  # many more than k only where very many rows tie
+            i, j = x[at : at + PASSED] + start, y[at : at + PASSED]
             cosine = _cosines(asked[i], matrix[j], sizes[i] * lengths[j]) if scored else np.zeros(len(i))
-            columns = [jobs.take(pa.array(i)), pa.array(nos[j]), names.take(pa.array(j)), pa.array(quality[j]), pa.array(health[j])]
+            columns = [take(jobs, pa.array(i)), pa.array(nos[j]), take(names, pa.array(j)), pa.array(quality[j]), pa.array(health[j])]
             columns.append(pa.array(cosine, mask=~(given[i] & known[j])))
             yield pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in NEAR.split(", ")])
 

@@ -100,3 +100,20 @@ def test_search_reuses_only_finished_jobs(spark):
     assert got["q1"] == ("ok", True)
     assert not got["q2"][1] and not got["q4"][1] and got["q2"][0] != got["q4"][0]
     assert {r.query_id: r.job_id for r in search(incoming, stored, any_status=True).collect()}["q2"] == "bad"
+
+
+def test_vectors_that_rule_nothing_out_are_copied_for_few_tiles(spark, monkeypatch):
+    """Without clusters every cell is probed; incoming vectors go to tiles, not to each cell."""
+    asked, held = case(9, 200)
+    incoming, stored = frames(spark, asked, held)
+    seen, tiled = [], N.tiled_hits
+    monkeypatch.setattr(N, "tiled_hits", lambda *args: seen.append((args[1].count(), len(args[2]))) or tiled(*args))
+    monkeypatch.setattr(N, "STORED_TILE", 120)
+    got = N.nearest_stored(incoming, stored, threshold=0.6, broadcast_bytes=1)
+    found = {r.query_id: (r.job_id, pytest.approx(r.similarity)) for r in got.collect()}
+    assert found == brute_force(asked, held, 0.6)
+    assert seen[0][1] < 8 and seen[0][0] == 151 * seen[0][1]
+
+
+def test_bins():
+    assert N._bins(np.array([N.STORED_TILE, 1, 0, N.STORED_TILE - 1, 3 * N.STORED_TILE, 2])) == [0, 1, 1, 1, 2, 3]

@@ -181,3 +181,20 @@ def test_jobs_of_a_pool_share_their_candidates(spark, repo_schema, monkeypatch,
     want = R.rank_jobs(copied, asked.select("job_id", "embedding"), 7, rule).select(*columns)
     got = R.rank_pools(shared, asked, "pool", 7, rule).select(*columns)
     assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr) != []
+
+
+def test_candidates_are_few_and_hold_the_best(monkeypatch):
+    """Rows are compared in steps; what is passed on has the best of every job and little else."""
+    import numpy as np
+
+    from reporank.operators import pools
+
+    monkeypatch.setattr(pools, "STEP", 50)
+    rng = np.random.default_rng(1)
+    asked, rows = rng.normal(size=(30, 8)).astype(np.float32), rng.normal(size=(1000, 8)).astype(np.float32)
+    x, y = pools._candidates(asked, rows, 10, np.float32(1e-3))
+    best = np.argsort(-(asked @ rows.T), axis=1)[:, :10]
+    assert {(i, j) for i in range(30) for j in best[i]} <= set(zip(x.tolist(), y.tolist())) and len(x) < 330
+    x, y = pools._candidates(asked, np.ones((120, 8), np.float32), 10, np.float32(1e-3))
+    assert len(set(zip(x.tolist(), y.tolist()))) == len(x) == 30 * 120  # all tie
+    assert len(pools._candidates(asked, rows[:4], 10, np.float32(1e-3))[0]) == 120
